@@ -68,31 +68,30 @@ def augment(df: DataFrame, seed: int, enabled: bool = False, add_noise: bool = F
     return gaussian_noise(df, seed, **noise) if enabled and add_noise else df
 
 
-def with_positions(df: DataFrame, entity: str, date: str) -> DataFrame:
-    """Row position within the entity (from 0) and the entity's row count."""
-    series = W.partitionBy(entity)
-    rank = F.row_number().over(series.orderBy(date)) - 1
-    return df.withColumns({"_at": rank, "_n": F.count(F.lit(1)).over(series)})
-
-
-def _block_hits(rule: MissingBlocks, seed: int, who: Column) -> list[Column]:
-    n, at = F.col("_n"), F.col("_at")
-    allowed = F.greatest(F.lit(1), F.floor(n / max(1, rule.size_min)))
-    hits = []
-    for i in range(rule.n_blocks):
-        size = draws.integer(seed, F.lit(rule.size_min), F.lit(rule.size_max + 1), who, "block", i, "size")
-        start = draws.integer(seed, F.lit(0), F.greatest(F.lit(1), n - size + 1), who, "block", i, "start")
-        hits.append((F.lit(i) < allowed) & (at >= start) & (at < start + size))
-    return hits
-
-
-def _regime(rule: NoiseShift, seed: int, who: Column) -> Column:
-    """Segment number of a row: how many distinct cut points lie at or before it."""
-    cuts = [
-        F.when(F.lit(i) < F.col("_n") - 1, draws.integer(seed, F.lit(1), F.col("_n"), who, "cut", i))
-        for i in range(rule.n_shifts)
-    ]
-    return F.size(F.filter(F.array_distinct(F.array(*cuts)), lambda c: c <= F.col("_at")))
+def _drawn(
+    n: Column, seed: int, who: Column, missing: MissingBlocks | None, noise: NoiseShift | None, trend: TrendChange | None
+) -> dict[str, Column]:
+    """All draws that are made once per entity, from its row count ``n``."""
+    zero, one = F.lit(0), F.lit(1)
+    out: dict[str, Column] = {}
+    if missing:
+        allowed = F.greatest(one, F.floor(n / max(1, missing.size_min)))
+        for i in range(missing.n_blocks):
+            size = draws.integer(seed, F.lit(missing.size_min), F.lit(missing.size_max + 1), who, "block", i, "size")
+            start = draws.integer(seed, zero, F.greatest(one, n - size + 1), who, "block", i, "start")
+            used = F.lit(i) < allowed
+            out |= {f"block{i}": F.when(used, start), f"block_end{i}": F.when(used, start + size)}
+    if noise:
+        cuts = [F.when(F.lit(i) < n - 1, draws.integer(seed, one, n, who, "cut", i)) for i in range(noise.n_shifts)]
+        out["cuts"] = F.array_compact(F.array_distinct(F.array(*cuts)))
+    if trend:
+        for i in range(trend.n_windows):
+            drawn = draws.integer(seed, F.lit(trend.length_min), F.lit(trend.length_max + 1), who, "trend", i, "length")
+            length = F.least(drawn, n)
+            start = draws.integer(seed, zero, F.greatest(one, n - length + 1), who, "trend", i, "start")
+            slope = trend.slope_min + draws.uniform(seed, who, "trend", i, "slope") * (trend.slope_max - trend.slope_min)
+            out |= {f"trend{i}": start, f"trend_end{i}": start + length, f"slope{i}": slope}
+    return out
 
 
 def augment_timeseries(
@@ -108,36 +107,39 @@ def augment_timeseries(
     """Blank out blocks, then shift the noise level, then bend the trend; per entity.
 
     The value itself is kept (and copied to ``target_original``); ``augmentation_type`` names what was
-    done to a row, in order. One shuffle on the entity.
+    done to a row, in order. Draws are made once per entity and joined to its positions on the same
+    partitioning; only the noise is drawn per row.
     """
     require_columns(df, (date, value), "augment_timeseries input")
-    who = F.col(entity)
-    placed = with_positions(df.withColumn(date, F.col(date).cast("date")), entity, date)
+    series = W.partitionBy(entity)
+    days = df.withColumn(date, F.col(date).cast("date"))
+    made = _drawn(F.col("_n"), seed, F.col(entity), missing, noise, trend)
+    plan = days.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).select(
+        entity, F.struct(F.col("_n").alias("n"), *[c.alias(name) for name, c in made.items()]).alias("_draw")
+    )
+    placed = days.withColumn("_at", F.row_number().over(series.orderBy(date)) - 1).join(plan, entity)
+
+    at = F.col("_at")
     out = F.col(value).cast("double")
     tags: list[Column] = []
-    if missing:
-        hits = _block_hits(missing, seed, who)
-        for hit in hits:
-            out = F.when(~hit, out)
-        tags += [F.when(hit, F.lit("missing_block")) for hit in hits]
+
+    def inside(kind: str, i: int) -> Column:
+        return F.coalesce((at >= F.col(f"_draw.{kind}{i}")) & (at < F.col(f"_draw.{kind}_end{i}")), F.lit(False))
+
+    for i in range(missing.n_blocks if missing else 0):
+        out = F.when(~inside("block", i), out)
+        tags.append(F.when(inside("block", i), F.lit("missing_block")))
     if noise:
-        even = _regime(noise, seed, who) % 2 == 0
-        scale = F.when(even, F.lit(float(noise.scale_before))).otherwise(F.lit(float(noise.scale_after)))
-        out = out + scale * draws.normal(seed, who, F.col("_at"), "noise")
+        regime = F.size(F.filter("_draw.cuts", lambda cut: cut <= at))
+        scale = F.when(regime % 2 == 0, F.lit(float(noise.scale_before))).otherwise(F.lit(float(noise.scale_after)))
+        out = out + scale * draws.normal(seed, F.col(entity), at, "noise")
         tags.append(F.lit("noise_shift"))
-    if trend:
-        at, n = F.col("_at"), F.col("_n")
-        for i in range(trend.n_windows):
-            drawn = draws.integer(seed, F.lit(trend.length_min), F.lit(trend.length_max + 1), who, "trend", i, "length")
-            length = F.least(drawn, n)
-            start = draws.integer(seed, F.lit(0), F.greatest(F.lit(1), n - length + 1), who, "trend", i, "start")
-            placed = placed.withColumns({f"_start{i}": start, f"_end{i}": start + length})
-            since = F.max(F.when(at == F.col(f"_start{i}"), F.col(date))).over(W.partitionBy(entity))
-            placed = placed.withColumn(f"_since{i}", since)
-            slope = trend.slope_min + draws.uniform(seed, who, "trend", i, "slope") * (trend.slope_max - trend.slope_min)
-            inside = (at >= F.col(f"_start{i}")) & (at < F.col(f"_end{i}"))
-            out = out + F.when(inside, slope * F.datediff(F.col(date), F.col(f"_since{i}"))).otherwise(0.0)
-            tags.append(F.when(inside, F.lit("trend")))
+    for i in range(trend.n_windows if trend else 0):
+        since = F.max(F.when(at == F.col(f"_draw.trend{i}"), F.col(date))).over(series)
+        placed = placed.withColumn(f"_since{i}", since)
+        rise = F.col(f"_draw.slope{i}") * F.datediff(F.col(date), F.col(f"_since{i}"))
+        out = out + F.when(inside("trend", i), rise).otherwise(0.0)
+        tags.append(F.when(inside("trend", i), F.lit("trend")))
     listed = F.array_compact(F.array(*tags).cast("array<string>"))
     kind = F.when(F.size(listed) == 0, F.lit("original")).otherwise(F.concat_ws(",", listed))
     return placed.select(

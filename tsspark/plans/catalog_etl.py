@@ -503,15 +503,15 @@ def augment_sql(panel_cte: str, panel: str, blocks=None, shifts=None, trends=Non
             size = int_sql(str(blocks.size_min), str(blocks.size_max + 1), who, "'block'", f"'{i}'", "'size'")
             drawn.append(f"{size} AS size{i}")
             drawn.append(f"{int_sql('0', f'greatest(1, n - {size} + 1)', who, chr(39) + 'block' + chr(39), f'{chr(39)}{i}{chr(39)}', chr(39) + 'start' + chr(39))} AS block{i}")
-            hits.append(f"({i} < greatest(1, n // {max(1, blocks.size_min)}) AND at >= block{i} AND at < block{i} + size{i})")
+            hits.append(f"({i} < greatest(1, n // {max(1, blocks.size_min)}) AND idx >= block{i} AND idx < block{i} + size{i})")
         value = f"CASE WHEN NOT ({' OR '.join(hits)}) THEN target END"
         tags += [f"CASE WHEN {h} THEN 'missing_block' END" for h in hits]
     if shifts:
         cuts = ", ".join(
             f"CASE WHEN {i} < n - 1 THEN {int_sql('1', 'n', who, chr(39) + 'cut' + chr(39), f'{chr(39)}{i}{chr(39)}')} END" for i in range(shifts.n_shifts)
         )
-        drawn.append(f"len(list_filter(list_distinct([{cuts}]), lambda c: c <= at)) AS regime")
-        noise = normal_sql(who, "CAST(at AS VARCHAR)", "'noise'")
+        drawn.append(f"len(list_filter(list_distinct([{cuts}]), lambda c: c <= idx)) AS regime")
+        noise = normal_sql(who, "CAST(idx AS VARCHAR)", "'noise'")
         value = f"({value}) + CASE WHEN regime % 2 = 0 THEN {shifts.scale_before} ELSE {shifts.scale_after} END * {noise}"
         tags.append("'noise_shift'")
     later = []
@@ -520,14 +520,14 @@ def augment_sql(panel_cte: str, panel: str, blocks=None, shifts=None, trends=Non
             length = f"least({int_sql(str(trends.length_min), str(trends.length_max + 1), who, chr(39) + 'trend' + chr(39), f'{chr(39)}{i}{chr(39)}', chr(39) + 'length' + chr(39))}, n)"
             drawn.append(f"{length} AS length{i}")
             drawn.append(f"{int_sql('0', f'greatest(1, n - {length} + 1)', who, chr(39) + 'trend' + chr(39), f'{chr(39)}{i}{chr(39)}', chr(39) + 'start' + chr(39))} AS start{i}")
-            later.append(f"max(CASE WHEN at = start{i} THEN date END) OVER (PARTITION BY entity) AS since{i}")
-            inside = f"(at >= start{i} AND at < start{i} + length{i})"
+            later.append(f"max(CASE WHEN idx = start{i} THEN date END) OVER (PARTITION BY entity) AS since{i}")
+            inside = f"(idx >= start{i} AND idx < start{i} + length{i})"
             slope = f"({trends.slope_min} + {u_sql(who, chr(39) + 'trend' + chr(39), f'{chr(39)}{i}{chr(39)}', chr(39) + 'slope' + chr(39))} * ({trends.slope_max - trends.slope_min}))"
             value = f"({value}) + CASE WHEN {inside} THEN {slope} * (date - since{i}) ELSE 0 END"
             tags.append(f"CASE WHEN {inside} THEN 'trend' END")
     return with_(
         panel_cte,
-        f"placed AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - 1 AS at, count(*) OVER (PARTITION BY entity) AS n FROM {panel})",
+        f"placed AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY entity) AS n FROM {panel})",
         f"drawn AS (SELECT *, {', '.join(drawn)} FROM placed)",
         f"dated AS (SELECT * {', ' + ', '.join(later) if later else ''} FROM drawn)",
         f"""SELECT entity, CAST(date AS VARCHAR) AS date, target, target AS target_original, round({value}, 6) AS target_augmented,

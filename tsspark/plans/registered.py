@@ -2,6 +2,7 @@
 
 from tsspark.plans import (  # noqa: F401  (importing registers)
     catalog_etl,
+    catalog_models,
 )
 from tsspark.plans.catalog import ORACLES, QUERIES
 
