@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """``digits`` decimals, halves to even; the sign survives, a missing number stays missing."""
+    number = value.cast("double")
+    text = F.format_string(f"%.{digits}f", F.bround(number, digits))
+    signed = F.when((number < 0) & ~text.startswith("-"), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(number.isNotNull(), signed)
 
 
 def general(value: Column, digits: int = 4) -> Column:
     """``digits`` significant digits without trailing zeros, scientific for very small or large numbers."""
-    text = F.format_string(f"%.{digits}g", value.cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    number, size = value.cast("double"), F.abs(value.cast("double"))
+    text = F.when(number == 0, F.lit("0"))
+    for power in range(-4, digits):
+        text = text.when((size >= 10.0**power) & (size < 10.0 ** (power + 1)), fixed(number, digits - 1 - power))
+    text = text.otherwise(F.format_string(f"%.{digits - 1}e", number))
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    return F.when(number.isNotNull(), trimmed)
 
 
 def plain(value: Column, digits: int = 4) -> Column:

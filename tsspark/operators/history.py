@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,11 +60,16 @@ def rolling_error_series(
     w = max(WINDOW_MIN, min(int(window), WINDOW_MAX))
     order = W.partitionBy(entity).orderBy(date) if per_entity else W.partitionBy(F.lit(0)).orderBy(date, entity)
     frame = order.rowsBetween(-(w - 1), 0)
+
+    def exact_mean(c: str) -> Column:
+        """Stored errors have few digits; decimal sums keep a mean on a rounding edge where it is."""
+        return F.avg(F.col(c).cast("decimal(28,8)")).over(frame)
+
     rolled = history.select(
         entity,
         date,
         F.row_number().over(order).alias("_at"),
-        F.round(F.avg("abs_error").over(frame), 6).alias("mae"),
-        F.round(F.coalesce(F.lit(100.0) * F.avg("ape").over(frame), F.lit(0.0)), 4).alias("mape"),
+        F.round(exact_mean("abs_error"), 6).cast("double").alias("mae"),
+        F.round(F.coalesce(100 * exact_mean("ape"), F.lit(0)), 4).cast("double").alias("mape"),
     )
     return rolled.where((F.col("_at") >= w) & F.col("mae").isNotNull()).drop("_at")

@@ -48,7 +48,9 @@ def coefficient_of_variation(y: Column) -> Column:
     return F.coalesce(F.stddev_samp(y), F.lit(0.0)) / (F.avg(F.abs(y)) + MARGIN)
 
 
-def _measures(series: DataFrame, entity: str, step: str, value: str) -> DataFrame:
+def series_measures(
+    series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred"
+) -> DataFrame:
     changed = F.sort_array(F.collect_list(F.when(F.col("anomaly"), F.col("i"))))
     found = step_changes(series, entity, step, value)
     measured = found.groupBy(entity).agg(
@@ -99,7 +101,7 @@ def describe_series(
     series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred"
 ) -> DataFrame:
     """Trend label, rounded slope and variation, volatility, and the first change points per series."""
-    m = _measures(series, entity, step, value)
+    m = series_measures(series, entity, step, value)
     shape = _shape()
     trend = F.when(shape.isin("stable_level", "stable"), F.lit("flat")).otherwise(shape)
     volatility = (
@@ -121,7 +123,7 @@ def describe_series(
 
 def insight_confidence(series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred") -> DataFrame:
     """Confidence of the description, from length, slope, variation and change points."""
-    return _measures(series, entity, step, value).select(entity, "n_points", _confidence().alias("confidence"))
+    return series_measures(series, entity, step, value).select(entity, "n_points", _confidence().alias("confidence"))
 
 
 def _metrics_text(metrics: DataFrame | None) -> Column:
@@ -144,7 +146,7 @@ def insight_text(
     value: str = "y_pred",
 ) -> DataFrame:
     """(entity, summary, insights, confidence); ``metrics`` is one optional row per entity."""
-    m = _measures(series, entity, step, value).withColumn("shape", _shape())
+    m = series_measures(series, entity, step, value).withColumn("shape", _shape())
     if metrics is not None:
         kept = [c for c in ("mae", "rmse", "mape") if c in metrics.columns]
         m = m.join(metrics.select(entity, *kept, F.lit(True).alias("has_metrics")), entity, "left")

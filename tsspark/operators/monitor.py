@@ -193,10 +193,19 @@ def evaluation_snapshot(rows: DataFrame, record: DataFrame | None = None, entity
 
 def alert_rows(rows: DataFrame, config: MonitorConfig = MonitorConfig(), entity: str | None = None) -> DataFrame:
     """One row per raised alert."""
+    kinds = (
+        ("MAE", "alert_mae", "mae", config.mae_alert),
+        ("MAPE", "alert_mape", "mape", config.mape_alert),
+        ("Drift", "alert_drift", "overall_score", config.drift_threshold),
+    )
     listed = F.array(
-        F.struct(F.lit("MAE").alias("alert_type"), F.col("alert_mae").alias("raised"), F.col("mae").alias("current_value"), F.lit(config.mae_alert).alias("threshold")),
-        F.struct(F.lit("MAPE"), F.col("alert_mape"), F.col("mape"), F.lit(config.mape_alert)),
-        F.struct(F.lit("Drift"), F.col("alert_drift"), F.col("overall_score"), F.lit(config.drift_threshold)),
+        *[
+            F.struct(
+                F.lit(kind).alias("alert_type"), F.col(flag).alias("raised"),
+                F.col(value).alias("current_value"), F.lit(limit).alias("threshold"),
+            )
+            for kind, flag, value, limit in kinds
+        ]
     )
     return rows.select(*([entity] if entity else []), F.inline(listed)).where("raised").drop("raised")
 

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig, TreeConfig
@@ -20,7 +20,7 @@ from tsspark.session import cut_lineage
 MODEL_NAME = "gbt"
 # Fixed value: how many importances a run record lists.
 TOP_FEATURES = 15
-STEPS_PER_CUT = 10
+STEPS_PER_CUT = 5
 HISTORY_MARGIN = 5
 
 
@@ -83,26 +83,27 @@ def model_features(model: PipelineModel) -> list[str]:
     return [c.removesuffix("__level") for c in assembler.getInputCols()]
 
 
-def _rolling(hist: Column, window: int, min_periods: int) -> tuple[Column, Column]:
-    """Mean and sample deviation of the last ``window`` entries, missing ones skipped."""
-    size = F.size(hist)
-    tail = F.filter(F.slice(hist, F.greatest(size - window + 1, F.lit(1)), F.lit(window)), lambda v: v.isNotNull())
-    n = F.size(tail)
-    total = F.aggregate(tail, F.lit(0.0), lambda a, v: a + v)
-    mean = F.when((n >= min_periods) & (n > 0), total / F.nullif(n, F.lit(0)))
-    squares = F.aggregate(tail, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return mean, F.when((n >= min_periods) & (n > 1), F.sqrt(squares / F.nullif(n - 1, F.lit(0))))
+# count, mean and squared deviations of the last entries of ``hist``, missing ones skipped
+_MOMENTS = """aggregate(
+    slice(hist, greatest(size(hist) - {w} + 1, 1), {w}),
+    named_struct('n', 0, 'mean', 0D, 'm2', 0D),
+    (a, v) -> if(v IS NULL, a, named_struct(
+        'n', a.n + 1,
+        'mean', a.mean + (v - a.mean) / (a.n + 1),
+        'm2', a.m2 + (v - a.mean) * (v - a.mean) * a.n / (a.n + 1))))"""
 
 
-def _next_features(config: FeatureConfig, step: int) -> dict[str, Column]:
-    hist = F.col("hist")
-    out: dict[str, Column] = {}
-    for k in config.lags:
-        out[f"lag_{k}"] = F.get(hist, F.size(hist) - k)
+def _with_next_features(state: DataFrame, features: Sequence[str], config: FeatureConfig, step: int) -> DataFrame:
+    """``state`` plus the engineered features of the next day; what is unknown becomes 0."""
+    moments = {f"_moments_{w}": F.expr(_MOMENTS.format(w=w)) for w in config.windows}
+    out = {f"lag_{k}": F.expr(f"coalesce(get(hist, size(hist) - {k}), 0D)") for k in config.lags}
     for w in config.windows:
-        out[f"rolling_mean_{w}"], out[f"rolling_std_{w}"] = _rolling(hist, w, config.min_periods)
-    filled = {name: F.coalesce(value, F.lit(0.0)) for name, value in out.items()}
-    return {**filled, **calendar_columns(F.date_add("last_date", step))}
+        m, least = f"_moments_{w}", config.min_periods
+        out[f"rolling_mean_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 1), {m}.mean, 0D)")
+        out[f"rolling_std_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 2), sqrt({m}.m2 / ({m}.n - 1)), 0D)")
+    out |= calendar_columns(F.date_add("last_date", step))
+    wanted = [out[f].alias(f) for f in features if f in out]
+    return state.withColumns(moments).select(*state.columns, *wanted)
 
 
 def roll_forward(
@@ -111,7 +112,7 @@ def roll_forward(
     """Forecast ``horizon`` steps for every row of ``state`` (keys, last_date, hist, exogenous columns).
 
     Each step scores all rows at once and appends the prediction to ``hist``; the loop is over steps,
-    never over entities. Every ten steps the small state table is checkpointed, which bounds the plan
+    never over entities. Every few steps the small state table is checkpointed, which bounds the plan
     and survives lost executors. Returns keys with (step, date, y_pred).
     """
     if horizon < 1:
@@ -122,7 +123,7 @@ def roll_forward(
     fixed = {c: F.coalesce(F.col(c), F.lit(0)) for c in constant if c in numeric and not engineered(c)}
     state = state.withColumns(fixed) if fixed else state
     for step in range(1, horizon + 1):
-        scored = model.transform(state.withColumns(_next_features(config, step)).select(*state.columns, *[f for f in features if f not in state.columns]))
+        scored = model.transform(_with_next_features(state, features, config, step))
         state = scored.select(*keys, "last_date", *constant, F.concat("hist", F.array("prediction")).alias("hist"))
         if step % STEPS_PER_CUT == 0 and step < horizon:
             state = cut_lineage(state)

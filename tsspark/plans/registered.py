@@ -2,7 +2,11 @@
 
 from tsspark.plans import (  # noqa: F401  (importing registers)
     catalog_etl,
+    catalog_drift,
+    catalog_evaluation,
+    catalog_insights,
     catalog_models,
+    catalog_monitoring,
 )
 from tsspark.plans.catalog import ORACLES, QUERIES
 
