@@ -36,8 +36,9 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
 
     Context columns: n_points, trend, slope_normalized, coefficient_of_variation, volatility,
     n_change_points, change_point_indices (of the forecast; n_points NULL if there is none), mae, rmse,
-    mape, overall_score, threshold, overall_status, alert_mae, alert_mape, alert_drift with their
-    thresholds mae_alert, mape_alert, drift_alert, and horizon, recorded_at, eval_status, eval_reason.
+    mape, overall_score, threshold, overall_status, the alerts alert_mae, alert_mape, alert_drift with the
+    values (monitored_mae, monitored_mape) and limits (mae_alert, mape_alert, drift_alert) they are about,
+    and horizon, recorded_at, eval_status, eval_reason.
 
     The reply leads with the first intent and adds the others' signals, each sentence once.
     """
@@ -85,8 +86,8 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
                     F.concat(F.lit(f"**{label}** (value `"), c(value).cast("string"), F.lit("` vs threshold `"), c(limit).cast("string"), F.lit("`)")),
                 )
                 for label, flag, value, limit in (
-                    ("MAE", "alert_mae", "mae", "mae_alert"),
-                    ("MAPE", "alert_mape", "mape", "mape_alert"),
+                    ("MAE", "alert_mae", "monitored_mae", "mae_alert"),
+                    ("MAPE", "alert_mape", "monitored_mape", "mape_alert"),
                     ("Drift", "alert_drift", "overall_score", "drift_alert"),
                 )
             ]

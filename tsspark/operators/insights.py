@@ -263,6 +263,8 @@ def insight_context(
         pick("mape", "mape").alias("mape"),
         pick("n_samples", "evaluated_points").alias("sample_size"),
         F.when(won, F.lit("last_forecast_vs_actuals")).otherwise(F.coalesce("source", F.lit("monitoring_or_unavailable"))).alias("source"),
+        F.col("mae").alias("monitored_mae"),
+        F.col("mape").alias("monitored_mape"),
         "drift_detected",
         "overall_score",
         "threshold",

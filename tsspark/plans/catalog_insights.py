@@ -218,7 +218,7 @@ CONTEXT = (
                CASE WHEN n_samples > 0 THEN v.mape ELSE coalesce(a.mape, 0) END AS mape,
                CASE WHEN n_samples > 0 THEN n_samples ELSE points END AS sample_size,
                CASE WHEN n_samples > 0 THEN 'last_forecast_vs_actuals' ELSE 'rolling_backtest' END AS source,
-               drift_detected, overall_score, threshold
+               a.mae AS monitored_mae, coalesce(a.mape, 0) AS monitored_mape, drift_detected, overall_score, threshold
         FROM averages a LEFT JOIN latest l ON l.entity_id = a.entity LEFT JOIN evaluated v ON v.entity_id = a.entity
         JOIN (SELECT entity, CAST(sum(horizon) AS BIGINT) AS points FROM splits GROUP BY 1) p ON p.entity = a.entity, overall)""",
 )
@@ -227,7 +227,7 @@ CONTEXT = (
 @query(
     "insight_context",
     with_(*CONTEXT, """SELECT entity, n_points, horizon, CAST(recorded_at AS VARCHAR) AS recorded_at, eval_status, eval_reason, round(mae, 6) AS mae,
-          round(rmse, 6) AS rmse, round(mape, 6) AS mape, sample_size, source, drift_detected, round(overall_score, 6) AS overall_score, threshold FROM context"""),
+          round(rmse, 6) AS rmse, round(mape, 6) AS mape, sample_size, source, monitored_mae, monitored_mape, drift_detected, round(overall_score, 6) AS overall_score, threshold FROM context"""),
 )
 def insight_context(spark, sf_dir):
     _, context = _context(spark, sf_dir)
