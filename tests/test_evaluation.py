@@ -262,7 +262,7 @@ def test_summary_mirrors_backtest(spark, frame):
     moved = spark.createDataFrame(
         [(True, 0.4, 0.25, {"x": 0.5, "y": 0.1})], "drift_detected boolean, overall_score double, threshold double, per_feature_scores map<string,double>"
     )
-    rows = M.monitoring_from_backtest(B.backtest_average(splits), splits, moved, "v3")
+    rows = M.monitoring_from_backtest(splits, moved, "v3")
     summary = M.monitoring_summary(rows, entity="entity").first()
     assert summary["performance"]["sample_size"] == 21 and summary["performance"]["mae"] == 11.0
     assert [p["date"] for p in summary["rolling_series"]["mae"]] == ["2024-01-01", "2024-02-01", "2024-03-01"]

@@ -124,8 +124,8 @@ def backtest_naive(
     return score_splits(scored, entity)
 
 
-def backtest_average(splits: DataFrame, entity: str = "entity") -> DataFrame:
-    """Mean of the rounded split metrics per entity; undefined MAPEs are left out.
+def split_averages() -> list[Column]:
+    """Number of splits and means of the rounded split metrics; undefined MAPEs are left out.
 
     The means are taken over decimals, so a mean on a rounding edge stays there.
     """
@@ -133,6 +133,8 @@ def backtest_average(splits: DataFrame, entity: str = "entity") -> DataFrame:
     def exact_mean(metric: str, digits: int) -> Column:
         return F.round(F.avg(F.col(metric).cast("decimal(28,4)")), digits).cast("double").alias(metric)
 
-    return splits.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n_splits"), exact_mean("rmse", 4), exact_mean("mae", 4), exact_mean("mape", 2)
-    )
+    return [F.count(F.lit(1)).alias("n_splits"), exact_mean("rmse", 4), exact_mean("mae", 4), exact_mean("mape", 2)]
+
+
+def backtest_average(splits: DataFrame, entity: str = "entity") -> DataFrame:
+    return splits.groupBy(entity).agg(*split_averages())

@@ -84,18 +84,22 @@ def reindex_daily(
 ) -> DataFrame:
     """Every day between the first and last date of each entity (or of the whole panel).
 
-    Only entity, date and target survive; the target of an added day is NULL. The calendar side is a
-    list of (entity, first, last) expanded after its shuffle, so no full calendar crosses the network
-    for the per-entity form: both sides of the join arrive partitioned by the entity's rows.
+    Only entity, date and target survive; the target of an added day is NULL. Each row looks up the next
+    date of its series and unfolds the days up to it, so the calendar is neither joined nor shuffled: one
+    exchange on the entity, which a later window over the series reuses. Needs unique (entity, date).
     """
-    narrow = df.select(entity, date, target)
-    spans = narrow.groupBy(entity).agg(F.min(date).alias("_from"), F.max(date).alias("_to"))
+    series = W.partitionBy(entity).orderBy(date)
+    narrow = df.select(entity, date, target).dropna(subset=[entity, date])
+    first, last = F.col(date), F.col(date)
     if span == "global":
         ends = narrow.agg(F.struct(F.min(date).alias("first"), F.max(date).alias("last"))).scalar()
-        spans = spans.withColumns({"_from": ends["first"], "_to": ends["last"]})
-    days = F.sequence("_from", "_to", F.make_dt_interval(F.lit(1)))
-    calendar = spans.select(entity, F.explode(days).alias(date))
-    return calendar.join(narrow, [entity, date], "left")
+        first = F.when(F.lag(date).over(series).isNull(), ends["first"]).otherwise(F.col(date))
+        last = ends["last"]
+    upto = F.greatest(F.coalesce(F.date_sub(F.lead(date).over(series), 1), last), F.col(date))
+    placed = narrow.withColumns({"_first": first, "_upto": upto})
+    days = F.sequence("_first", "_upto", F.make_dt_interval(F.lit(1)))
+    unfolded = placed.select(entity, F.col(date).alias("_own"), F.col(target).alias("_value"), F.explode(days).alias(date))
+    return unfolded.select(entity, date, F.when(F.col(date) == F.col("_own"), F.col("_value")).alias(target))
 
 
 def fill_missing(

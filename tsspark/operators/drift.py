@@ -125,22 +125,33 @@ def feature_drift(
     )
 
 
-def mean_std_drift(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Relative change of mean and of sample deviation, each capped at 1, averaged."""
-    keys = [*by, "feature"]
+def _moments(long: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Count, mean and sample deviation of both halves."""
     is_ref = F.col("half") == "reference"
-    finite = long.where(is_finite(F.col("value")))
     ref, cur = F.when(is_ref, F.col("value")), F.when(~is_ref, F.col("value"))
-    stats = finite.groupBy(*keys).agg(
+    return long.groupBy(*keys).agg(
         F.count(ref).alias("n_ref"), F.count(cur).alias("n_cur"),
         F.avg(ref).alias("m_ref"), F.avg(cur).alias("m_cur"),
         F.stddev_samp(ref).alias("s_ref"), F.stddev_samp(cur).alias("s_cur"),
+        *more,
     )
+
+
+def _enough() -> Column:
+    return (F.col("n_ref") >= 2) & (F.col("n_cur") >= 2)
+
+
+def _mean_std() -> Column:
     mean_move = F.abs(F.col("m_cur") - F.col("m_ref")) / (F.abs("m_ref") + SPREAD_MARGIN)
     std_move = F.abs(F.col("s_cur") - F.col("s_ref")) / (F.col("s_ref") + SPREAD_MARGIN)
     score = (F.least(mean_move, F.lit(1.0)) + F.least(std_move, F.lit(1.0))) / 2
-    enough = (F.col("n_ref") >= 2) & (F.col("n_cur") >= 2)
-    return stats.select(*keys, F.when(enough, score).otherwise(0.0).alias("mean_std"))
+    return F.when(_enough(), score).otherwise(0.0)
+
+
+def mean_std_drift(long: DataFrame) -> DataFrame:
+    """Relative change of mean and of sample deviation, each capped at 1, averaged."""
+    finite = long.where(is_finite(F.col("value")))
+    return _moments(finite, ["feature"]).select("feature", _mean_std().alias("mean_std"))
 
 
 def ks_statistic(long: DataFrame) -> DataFrame:
@@ -154,27 +165,6 @@ def ks_statistic(long: DataFrame) -> DataFrame:
     return ks_distance(counts)
 
 
-def _ks_by_entity(long: DataFrame, entity: str) -> DataFrame:
-    """The same inside each entity; a group is one series of days, so a plain window will do."""
-    is_ref = F.col("half") == "reference"
-    keys = [entity, "feature"]
-    counts = (
-        long.where(is_finite(F.col("value")))
-        .groupBy(*keys, "value")
-        .agg(F.count_if(is_ref).alias("r"), F.count_if(~is_ref).alias("c"))
-    )
-    whole = W.partitionBy(*keys)
-    order = whole.orderBy("value")
-    steps = counts.select(
-        *keys,
-        F.sum("r").over(order).alias("r_upto"), F.sum("c").over(order).alias("c_upto"),
-        F.sum("r").over(whole).alias("r_all"), F.sum("c").over(whole).alias("c_all"),
-    )
-    enough = (F.col("r_all") >= 2) & (F.col("c_all") >= 2)
-    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("c_upto") / F.col("c_all"))
-    return steps.groupBy(*keys).agg(F.max(F.when(enough, gap)).alias("ks"))
-
-
 def _summarise(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     mixed = parts.groupBy(*by).agg(
         F.avg("mean_std").alias("ms"), F.avg("ks").alias("ks"), F.count(F.lit(1)).alias("n_features")
@@ -207,8 +197,19 @@ def distribution_drift_by_entity(
     halves = df.withColumns({"_rank": rank, "_n": n}).where(F.floor(F.col("_n") / 2) >= MIN_HALF)
     early = F.col("_rank") <= F.floor(F.col("_n") / 2)
     halves = halves.withColumn("half", F.when(early, F.lit("reference")).otherwise(F.lit("current")))
-    long = long_form(halves, features, (entity, "half"))
-    parts = mean_std_drift(long, (entity,)).join(_ks_by_entity(long, entity), [entity, "feature"], "left")
+    long = long_form(halves, features, (entity, "half")).where(is_finite(F.col("value")))
+    # a group is one series of days: the steps of both distributions come from a plain window
+    is_ref = F.col("half") == "reference"
+    whole = W.partitionBy(entity, "feature")
+    upto = whole.orderBy("value")  # rows of equal value count together
+
+    def share(c: Column) -> Column:
+        return F.count_if(c).over(upto) / F.nullif(F.count_if(c).over(whole), F.lit(0))
+
+    stepped = long.withColumn("gap", F.abs(share(is_ref) - share(~is_ref)))
+    parts = _moments(stepped, [entity, "feature"], F.max("gap").alias("gap")).select(
+        entity, "feature", _mean_std().alias("mean_std"), F.when(_enough(), F.col("gap")).alias("ks")
+    )
     return _summarise(parts, (entity,))
 
 

@@ -20,16 +20,19 @@ RECENT_POINTS = 100
 
 
 def step_changes(series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred") -> DataFrame:
-    """Finite points of each series with position ``i``, difference ``d`` and ``anomaly``.
+    """Points of each series with position ``i``, value ``y``, difference ``d`` and ``anomaly``.
 
-    A difference is an anomaly if it is far from the median difference, in units of the median absolute
-    deviation. Series are forecasts, so a group has no more rows than the horizon; one shuffle.
+    Positions count finite values; other rows come last, with ``y`` NULL. A difference is an anomaly if it
+    is far from the median difference, in units of the median absolute deviation. Series are forecasts,
+    so a group has no more rows than the horizon; one shuffle.
     """
     whole = W.partitionBy(entity)
-    order = whole.orderBy(step)
-    points = series.where(is_finite(F.col(value))).select(
-        entity, F.col(value).cast("double").alias("y"), (F.row_number().over(order) - 1).alias("i"),
-        (F.col(value) - F.lag(value).over(order)).cast("double").alias("d"), F.count(F.lit(1)).over(whole).alias("n"),
+    good = is_finite(F.col(value))
+    y = F.when(good, F.col(value).cast("double"))
+    order = whole.orderBy(F.when(good, 0).otherwise(1), step)
+    points = series.select(
+        entity, y.alias("y"), (F.row_number().over(order) - 1).alias("i"),
+        (y - F.lag(y).over(order)).alias("d"), F.count(y).over(whole).alias("n"),
     )
     centred = points.withColumn("m", F.percentile("d", F.lit(0.5)).over(whole))
     spread = centred.withColumn("mad", F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)).over(whole) + MARGIN)
@@ -51,25 +54,15 @@ def coefficient_of_variation(y: Column) -> Column:
 def series_measures(
     series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred"
 ) -> DataFrame:
+    """Number of points, slope, variation and change points per series, also for one without points."""
     changed = F.sort_array(F.collect_list(F.when(F.col("anomaly"), F.col("i"))))
-    found = step_changes(series, entity, step, value)
-    measured = found.groupBy(entity).agg(
-        F.count("y").alias("n_points"),
-        normalised_slope(F.col("y"), F.col("i")).alias("slope"),
-        coefficient_of_variation(F.col("y")).alias("cv"),
+    y = F.col("y")
+    return step_changes(series, entity, step, value).groupBy(entity).agg(
+        F.count(y).alias("n_points"),
+        normalised_slope(y, F.col("i")).alias("slope"),
+        F.when(F.count(y) >= 2, coefficient_of_variation(y)).otherwise(0.0).alias("cv"),
         changed.alias("changes"),
     )
-    # a series without a single finite point still gets its row
-    known = series.groupBy(entity).agg(F.lit(1).alias("seen")).drop("seen")
-    joined = known.join(measured, entity, "left")
-    none = F.array().cast("array<int>")
-    return joined.select(
-        entity,
-        F.coalesce("n_points", F.lit(0)).alias("n_points"),
-        F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.when(F.col("n_points") >= 2, F.col("cv")).otherwise(0.0).alias("cv"),
-        F.coalesce("changes", none).alias("changes"),
-    )
 
 
 def _shape() -> Column:
@@ -223,11 +216,21 @@ def metric_bands(rows: DataFrame) -> DataFrame:
 
 
 def intent_tags(text: Column) -> Column:
-    """Intents whose keywords occur anywhere in the lower-cased text, in a fixed order."""
-    question = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(
-        F.array(*[F.when(question.rlike("|".join(words)), F.lit(name)) for name, words in texts.INTENT_WORDS.items()])
-    )
+    """Intents whose keywords occur anywhere in the lower-cased text, in a fixed order.
+
+    Plain substring tests; the text is lower-cased once and handed to them as a lambda variable.
+    """
+
+    def tags(question: Column) -> Column:
+        found = []
+        for name, words in texts.INTENT_WORDS.items():
+            hit = question.contains(words[0])
+            for word in words[1:]:
+                hit = hit | question.contains(word)
+            found.append(F.when(hit, F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    found = F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), tags), 0)
     return F.when(F.size(found) == 0, F.array(F.lit(texts.GENERAL_INTENT))).otherwise(found)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.config import MonitorConfig
+from tsspark.operators.backtest import split_averages
 from tsspark.operators.evaluate import point_metrics
 
 WARNING_RATIO = 0.8
@@ -105,14 +106,13 @@ def monitoring_from_validation(record: DataFrame, drift: DataFrame, config: Moni
 
 
 def monitoring_from_backtest(
-    averages: DataFrame,
     splits: DataFrame,
     drift: DataFrame,
     version: str = "unknown",
     entity: str = "entity",
     config: MonitorConfig = MonitorConfig(),
 ) -> DataFrame:
-    """One monitoring row per entity from its backtest; replaces earlier rows when written.
+    """One monitoring row per entity from its backtest splits; replaces earlier rows when written.
 
     The series arrays hold one point per split (twenty at most).
     """
@@ -122,9 +122,12 @@ def monitoring_from_backtest(
         return F.transform(points, lambda p: F.struct(p["cutoff_date"].cast("string").alias("date"), p[metric].alias("value")))
 
     per_entity = splits.groupBy(entity).agg(
-        F.sum("horizon").alias("evaluated_points"), series("mae").alias("mae_series"), series("mape").alias("mape_series")
+        *split_averages(),
+        F.sum("horizon").alias("evaluated_points"),
+        series("mae").alias("mae_series"),
+        series("mape").alias("mape_series"),
     )
-    joined = averages.join(per_entity, entity).select(
+    joined = per_entity.select(
         entity,
         F.lit(MODEL_NAME).alias("model_name"),
         F.lit(version).alias("version"),

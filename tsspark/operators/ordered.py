@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tsspark.session import cut_lineage
+
 FAN = 16
 BUCKETS = FAN * FAN
 SKETCH_ACCURACY = 10 * BUCKETS
@@ -59,14 +61,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row, ``quantiles array<double>``: linear interpolation between neighbours, NULLs left out.
 
-    ``weight`` counts a row several times (whole numbers). No row at all gives NULL entries.
+    ``weight`` counts a row several times (whole numbers). No row at all gives NULL entries. Runs one
+    job: the value counts are written to the shared folder, so what lies before them is computed once.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(value).cast("double").alias("value"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("w"))
     )
-    placed = bucketed_counts(counts)
+    placed = bucketed_counts(cut_lineage(counts))
 
     # at most BUCKETS rows from here on
     totals = placed.groupBy("bucket").agg(F.sum("w").alias("held"))
@@ -142,8 +145,9 @@ def ks_distance(counts: DataFrame, by: str = "feature") -> DataFrame:
     """Largest gap between two empirical distributions per ``by``.
 
     ``counts`` holds one row per (by, value) with ``n_ref`` and ``n_cur``. ``by`` must be a bounded set.
+    Runs one job: the counts are written to the shared folder.
     """
-    placed = bucketed_counts(counts, by)
+    placed = bucketed_counts(cut_lineage(counts), by)
     whole = W.partitionBy(by)
     order = whole.orderBy("bucket")
     totals = placed.groupBy(by, "bucket").agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c"))

@@ -15,7 +15,7 @@ from tsspark.config import FeatureConfig, TreeConfig
 from tsspark.operators.backtest import cutoff_rows, score_splits
 from tsspark.operators.features import calendar_columns, drop_warmup, engineered
 from tsspark.operators.forecast import last_rows
-from tsspark.session import cut_lineage
+from tsspark.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
 # Fixed value: how many importances a run record lists.
@@ -44,6 +44,7 @@ def fit_trees(
     not depend on how the input happened to be partitioned. ``validation`` names a boolean column whose
     true rows steer early stopping instead of being fitted.
     """
+    ensure_checkpoint_dir(featured.sparkSession)
     columns = list(dict.fromkeys([entity, date, *features, target] + ([validation] if validation else [])))
     rows = drop_warmup(featured.select(*columns), features, target)
     rows = rows.repartitionByRange(F.col(entity), F.col(date)).sortWithinPartitions(entity, date)

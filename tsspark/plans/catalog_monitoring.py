@@ -8,7 +8,6 @@ from tsspark.config import MonitorConfig
 from tsspark.operators import drift as D
 from tsspark.operators import evaluate as E
 from tsspark.operators import monitor as M
-from tsspark.operators.backtest import backtest_average
 from tsspark.plans.catalog import MAE_SQL, MAPE_SQL, RMSE_SQL, SALES, query, with_
 from tsspark.plans.catalog_drift import DRIFT, ENTITY_DRIFT, OVERALL, sales_measures
 from tsspark.plans.catalog_evaluation import (
@@ -132,7 +131,7 @@ def monitoring_from_validation(spark, sf_dir):
 def _from_backtest(spark, sf_dir):
     splits = sales_splits(spark, sf_dir)
     moved = D.feature_drift(sales_measures(spark, sf_dir))
-    return M.monitoring_from_backtest(backtest_average(splits), splits, moved, "v1", config=CONFIG)
+    return M.monitoring_from_backtest(splits, moved, "v1", config=CONFIG)
 
 
 FROM_BACKTEST = (

@@ -45,9 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there; survives lost executors."""
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point checkpoints, also those of iterative fits, to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from there; survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
