@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tsspark.config import MonitorConfig
 from tsspark.functions.missing import is_finite, is_numeric
-from tsspark.operators.ordered import edges_passed, half_split, ks_distance
+from tsspark.operators.ordered import date_counts, edges_passed, half_split, ks_distance
 
 # Columns looked at first, sample sizes, smoothing terms, status bounds.
 PREFERRED = ("target_cleaned", "Sales", "Customers", "Open", "Promo", "SchoolHoliday")
@@ -94,7 +94,8 @@ def feature_drift(
 ) -> DataFrame:
     """One row: overall score, flag, sizes, and scores by feature; neutral with a note if not run."""
     features = numeric_columns(df.schema, skip=(entity, date))
-    sizes = df.agg(F.count(F.lit(1)).alias("rows"))
+    counts = date_counts(df, date, entity)
+    sizes = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     note = F.when(F.lit(not config.drift_enabled), F.lit("drift checks disabled in config")).when(
         F.col("rows") < MIN_ROWS, F.lit("insufficient rows for drift")
     )
@@ -103,7 +104,7 @@ def feature_drift(
     if not features or not config.drift_enabled:
         scored = F.lit(None).cast("struct<overall_score:double,per_feature_scores:map<string,double>>")
     else:
-        scores = drift_scores(long_form(half_split(df, date, entity), features), config.drift_bins)
+        scores = drift_scores(long_form(half_split(df, date, entity, counts=counts), features), config.drift_bins)
         scored = scores.agg(
             F.struct(
                 F.avg("score").alias("overall_score"),
@@ -180,8 +181,9 @@ def _summarise(parts: DataFrame, by: Sequence[str]) -> DataFrame:
 def distribution_drift(df: DataFrame, target: str = "target", entity: str = "entity", date: str = "date") -> DataFrame:
     """One row (drift_score, status, ks_used, n_features), or none below 20 rows a half."""
     features = numeric_columns(df.schema, target, skip=(entity, date))
-    long = long_form(half_split(df, date, entity), features)
-    n = df.agg(F.count(F.lit(1))).scalar()
+    counts = date_counts(df, date, entity)
+    long = long_form(half_split(df, date, entity, counts=counts), features)
+    n = counts.agg(F.sum("rows")).scalar()
     parts = mean_std_drift(long).join(ks_statistic(long), "feature", "left").where(F.floor(n / 2) >= MIN_HALF)
     return _summarise(parts, ()).where(F.col("n_features") > 0)
 

@@ -104,39 +104,50 @@ def _interpolate(share: float) -> Column:
     return low + (high - low) * (position - F.floor(position))
 
 
-def half_split(df: DataFrame, date: str = "date", entity: str = "entity", column: str = "half") -> DataFrame:
+def _entity_key(entity: str) -> Column:
+    return F.md5(F.col(entity).cast("string"))
+
+
+def date_counts(df: DataFrame, date: str = "date", entity: str = "entity") -> DataFrame:
+    """Rows per (date, first two digits of the entity's md5): at most 256 rows per calendar day.
+
+    Runs one job; the small table is written to the shared folder.
+    """
+    prefix = F.substring(_entity_key(entity), 1, 2).alias("prefix")
+    return cut_lineage(df.groupBy(F.col(date).alias("date"), prefix).agg(F.count(F.lit(1)).alias("rows")))
+
+
+def _containing(table: DataFrame, order: str, index: Column) -> Column:
+    """Which value of ``order`` covers the row at ``index`` (from 0), and how many of its rows precede it."""
+    everything = W.partitionBy(F.lit(0))
+    counted = table.select(
+        order,
+        "rows",
+        (F.sum("rows").over(everything.orderBy(order)) - F.col("rows")).alias("before"),
+        F.sum("rows").over(everything).alias("n"),
+    )
+    hit = (F.col("before") <= index) & (index < F.col("before") + F.col("rows"))
+    return counted.where(hit).select(F.struct(F.col(order).alias("at"), (index - F.col("before")).alias("skip"))).scalar()
+
+
+def half_split(
+    df: DataFrame, date: str = "date", entity: str = "entity", column: str = "half", counts: DataFrame | None = None
+) -> DataFrame:
     """Label the first ``n // 2`` rows in date order ``reference`` and the rest ``current``.
 
-    Rows of one date are ordered by the md5 of their entity. The boundary date comes from counts per date
-    (as many rows as the calendar has days) and the boundary row inside that date from counts per md5
-    prefix (4,096), so no task ever sees more than a sliver of one date. Needs unique (entity, date).
+    Rows of one date are ordered by the md5 of their entity. ``date_counts`` locates the boundary date and
+    the md5 prefix inside it, so the only rows ever ranked are those of one prefix on one date. Needs
+    unique (entity, date).
     """
-    key = F.md5(F.col(entity).cast("string"))
-
-    def containing(table: DataFrame, order: str, index: Column, extra: list[Column]) -> DataFrame:
-        everything = W.partitionBy(F.lit(0))
-        counted = table.select(
-            F.col(order),
-            F.col("rows"),
-            (F.sum("rows").over(everything.orderBy(order)) - F.col("rows")).alias("before"),
-            F.sum("rows").over(everything).alias("n"),
-        )
-        hit = (F.col("before") <= index) & (index < F.col("before") + F.col("rows"))
-        return counted.where(hit).select(F.struct(F.col(order).alias("at"), (index - F.col("before")).alias("skip"), *extra))
-
-    per_date = df.groupBy(date).agg(F.count(F.lit(1)).alias("rows"))
-    day = containing(per_date, date, F.floor(F.col("n") / 2), []).scalar()
-    on_day = df.where(F.col(date) == day["at"]).select(key.alias("key"), F.substring(key, 1, 3).alias("prefix"))
-    per_prefix = on_day.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"))
-    sliver = containing(per_prefix, "prefix", day["skip"], []).scalar()
-    rank = F.row_number().over(W.partitionBy("prefix").orderBy("key"))
-    first_current = (
-        on_day.where(F.col("prefix") == sliver["at"])
-        .select("key", rank.alias("rank"))
-        .where(F.col("rank") == sliver["skip"] + 1)
-        .select("key")
-        .scalar()
+    key = _entity_key(entity)
+    counts = date_counts(df, date, entity) if counts is None else counts
+    per_date = counts.groupBy("date").agg(F.sum("rows").alias("rows"))
+    day = _containing(per_date, "date", F.floor(F.col("n") / 2))
+    sliver = _containing(counts.where(F.col("date") == day["at"]), "prefix", day["skip"])
+    ranked = df.where((F.col(date) == day["at"]) & (F.substring(key, 1, 2) == sliver["at"])).select(
+        key.alias("key"), F.row_number().over(W.partitionBy(F.substring(key, 1, 2)).orderBy(key)).alias("rank")
     )
+    first_current = ranked.where(F.col("rank") == sliver["skip"] + 1).select("key").scalar()
     late = (F.col(date) > day["at"]) | ((F.col(date) == day["at"]) & (key >= first_current))
     return df.withColumn(column, F.when(late, F.lit("current")).otherwise(F.lit("reference")))
 
