@@ -50,19 +50,25 @@ def last_rows(
 
 
 def seasonal_naive(
-    df: DataFrame, horizon: int, k: int = 7, entity: str = "entity", date: str = "date", target: str = "target"
+    df: DataFrame,
+    horizon: int,
+    k: int = 7,
+    entity: str = "entity",
+    date: str = "date",
+    target: str = "target",
+    step_days: int = 1,
 ) -> DataFrame:
     """Repeat the last ``k`` rows forward from the last date; entities with fewer rows give no row.
 
-    Use ``short_series`` to report those.
+    Use ``short_series`` to report those. Forecast dates are ``step_days`` apart.
     """
-    if horizon < 1 or k < 1:
-        raise ValueError("horizon and seasonality must be >= 1")
+    if horizon < 1 or k < 1 or step_days < 1:
+        raise ValueError("horizon, seasonality and step_days must be >= 1")
     seed = last_rows(df, k, entity, date, target).where(F.size("hist") == k)
     steps = seed.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     return steps.select(
         F.col(entity).alias("entity_id"),
-        F.date_add("last_date", F.col("step")).alias("date"),
+        F.date_add("last_date", F.col("step") * step_days).alias("date"),
         F.get("hist", (F.col("step") - 1) % k).alias("y_pred"),
         F.lit(NAIVE_NAME).alias("model_name"),
         "step",

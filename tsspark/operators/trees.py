@@ -94,7 +94,7 @@ _MOMENTS = """aggregate(
         'm2', a.m2 + (v - a.mean) * (v - a.mean) * a.n / (a.n + 1))))"""
 
 
-def _with_next_features(state: DataFrame, features: Sequence[str], config: FeatureConfig, step: int) -> DataFrame:
+def _with_next_features(state: DataFrame, features: Sequence[str], config: FeatureConfig, days: int) -> DataFrame:
     """``state`` plus the engineered features of the next day; what is unknown becomes 0."""
     moments = {f"_moments_{w}": F.expr(_MOMENTS.format(w=w)) for w in config.windows}
     out = {f"lag_{k}": F.expr(f"coalesce(get(hist, size(hist) - {k}), 0D)") for k in config.lags}
@@ -102,13 +102,18 @@ def _with_next_features(state: DataFrame, features: Sequence[str], config: Featu
         m, least = f"_moments_{w}", config.min_periods
         out[f"rolling_mean_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 1), {m}.mean, 0D)")
         out[f"rolling_std_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 2), sqrt({m}.m2 / ({m}.n - 1)), 0D)")
-    out |= calendar_columns(F.date_add("last_date", step))
+    out |= calendar_columns(F.date_add("last_date", days))
     wanted = [out[f].alias(f) for f in features if f in out]
     return state.withColumns(moments).select(*state.columns, *wanted)
 
 
 def roll_forward(
-    state: DataFrame, model: PipelineModel, horizon: int, keys: Sequence[str], config: FeatureConfig = FeatureConfig()
+    state: DataFrame,
+    model: PipelineModel,
+    horizon: int,
+    keys: Sequence[str],
+    config: FeatureConfig = FeatureConfig(),
+    step_days: int = 1,
 ) -> DataFrame:
     """Forecast ``horizon`` steps for every row of ``state`` (keys, last_date, hist, exogenous columns).
 
@@ -124,14 +129,14 @@ def roll_forward(
     fixed = {c: F.coalesce(F.col(c), F.lit(0)) for c in constant if c in numeric and not engineered(c)}
     state = state.withColumns(fixed) if fixed else state
     for step in range(1, horizon + 1):
-        scored = model.transform(_with_next_features(state, features, config, step))
+        scored = model.transform(_with_next_features(state, features, config, step * step_days))
         state = scored.select(*keys, "last_date", *constant, F.concat("hist", F.array("prediction")).alias("hist"))
         if step % STEPS_PER_CUT == 0 and step < horizon:
             state = cut_lineage(state)
     made = F.slice("hist", -horizon, horizon)
     steps = state.select(*keys, "last_date", F.posexplode(made).alias("at", "y_pred"))
     return steps.select(
-        *keys, (F.col("at") + 1).alias("step"), F.date_add("last_date", F.col("at") + 1).alias("date"), "y_pred"
+        *keys, (F.col("at") + 1).alias("step"), F.date_add("last_date", (F.col("at") + 1) * step_days).alias("date"), "y_pred"
     )
 
 
@@ -143,11 +148,12 @@ def recursive_forecast(
     date: str = "date",
     target: str = "target",
     config: FeatureConfig = FeatureConfig(),
+    step_days: int = 1,
 ) -> DataFrame:
     """Forecast table for all entities; non-engineered features keep their last value."""
     exogenous = tuple(f for f in model_features(model) if not engineered(f))
     seed = last_rows(df, config.lookback + HISTORY_MARGIN, entity, date, target, exogenous)
-    made = roll_forward(seed, model, horizon, [entity], config)
+    made = roll_forward(seed, model, horizon, [entity], config, step_days)
     return made.select(F.col(entity).alias("entity_id"), "date", "y_pred", F.lit(MODEL_NAME).alias("model_name"), "step")
 
 

@@ -16,6 +16,7 @@ from tsspark.operators.features import add_features, drop_warmup, feature_names
 from tsspark.operators.forecast import label_split, residual_std, seasonal_naive, with_interval
 from tsspark.operators.registry import run_record
 from tsspark.operators.trees import feature_importance, fit_trees, recursive_forecast
+from tsspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,8 @@ def train_and_compare(
 ) -> TrainingRun:
     """Fit both models before the split date, forecast the validation span, score both; runs jobs.
 
-    The featured panel feeds the fit, the forecasts and the record, so it is kept for the time of the run.
+    The featured panel feeds the fit, the forecasts and the record, so it is kept until these are done;
+    the two small result tables are written to the shared folder.
     """
     names = settings.columns
     featured = label_split(featured_panel(df, settings), settings.validation_share, names.date)
@@ -89,7 +91,9 @@ def train_and_compare(
         },
         importance=feature_importance(spark, model),
     )
-    return TrainingRun(model, features, comparison, record)
+    done = TrainingRun(model, features, cut_lineage(comparison), cut_lineage(record))
+    featured.unpersist()
+    return done
 
 
 def batch_forecast(
