@@ -18,29 +18,35 @@ from tsspark.sources import panels
 
 SERIES = {"entity": "entity", "step": "date", "value": "target"}
 
+
+
+def measured_ctes(source: str, entity: str, order: str, value: str) -> tuple[str, ...]:
+    """Positions, differences, anomalies, measures and labels of the series in ``source``."""
+    return (
+        f"""placed_points AS (SELECT {entity} AS entity, {value} AS y, row_number() OVER w - 1 AS i, {value} - lag({value}) OVER w AS d,
+            count(*) OVER (PARTITION BY {entity}) AS n FROM {source} WINDOW w AS (PARTITION BY {entity} ORDER BY {order}))""",
+        "middle AS (SELECT entity, quantile_cont(d, 0.5) AS m FROM placed_points GROUP BY entity)",
+        """deviation AS (SELECT p.entity, quantile_cont(abs(d - m), 0.5) + 1e-9 AS mad, any_value(m) AS m
+           FROM placed_points p JOIN middle q ON p.entity = q.entity GROUP BY p.entity)""",
+        """flagged AS (SELECT p.*, coalesce(n >= 3 AND abs(d - m) / (1.4826 * mad) > 2.5, false) AS anomaly
+           FROM placed_points p JOIN deviation q ON p.entity = q.entity)""",
+        """measured AS (
+            SELECT entity, count(*) AS n_points, CASE WHEN count(*) >= 2 THEN regr_slope(y, i) / (stddev_samp(y) + 1e-9) ELSE 0 END AS slope,
+                   CASE WHEN count(*) >= 2 THEN stddev_samp(y) / (avg(abs(y)) + 1e-9) ELSE 0 END AS cv,
+                   coalesce(list(i ORDER BY i) FILTER (anomaly), []) AS changes FROM flagged GROUP BY entity)""",
+        """shaped AS (SELECT *, len(changes) AS n_changes, CASE WHEN n_points < 2 THEN 'insufficient' WHEN cv < 0.02 AND abs(slope) < 0.18 THEN 'stable_level'
+            WHEN slope > 0.12 THEN 'upward' WHEN slope < -0.12 THEN 'downward' WHEN abs(slope) < 0.04 THEN 'stable'
+            WHEN slope > 0 THEN 'moderate_up' ELSE 'moderate_down' END AS shape FROM measured)""",
+        """described AS (SELECT *, CASE WHEN shape IN ('stable', 'stable_level') THEN 'flat' ELSE shape END AS trend,
+            CASE WHEN n_points < 2 THEN 'unknown' WHEN cv >= 0.22 THEN 'high' ELSE 'low_or_moderate' END AS volatility,
+            CASE WHEN n_points < 2 THEN 0.2 ELSE round(least(0.92, greatest(0.18, 0.35 * least(1, n_points / 24) + 0.35 * least(1, abs(slope) / 0.25)
+                + 0.15 * CASE WHEN cv > 0.08 THEN least(1, cv / 0.35) ELSE 0.35 END + 0.15 * least(1, 0.4 + 0.15 * least(n_changes, 4)))), 3) END AS confidence
+            FROM shaped)""",
+    )
+
+
 # short, uneven series: event days per user
-MEASURED = (
-    USER_DAYS,
-    """placed AS (SELECT entity, target AS y, row_number() OVER w - 1 AS i, target - lag(target) OVER w AS d, count(*) OVER (PARTITION BY entity) AS n
-       FROM user_days WINDOW w AS (PARTITION BY entity ORDER BY date))""",
-    "middle AS (SELECT entity, quantile_cont(d, 0.5) AS m FROM placed GROUP BY entity)",
-    """deviation AS (SELECT p.entity, quantile_cont(abs(d - m), 0.5) + 1e-9 AS mad, any_value(m) AS m
-       FROM placed p JOIN middle q ON p.entity = q.entity GROUP BY p.entity)""",
-    """flagged AS (SELECT p.*, coalesce(n >= 3 AND abs(d - m) / (1.4826 * mad) > 2.5, false) AS anomaly
-       FROM placed p JOIN deviation q ON p.entity = q.entity)""",
-    """measured AS (
-        SELECT entity, count(*) AS n_points, CASE WHEN count(*) >= 2 THEN regr_slope(y, i) / (stddev_samp(y) + 1e-9) ELSE 0 END AS slope,
-               CASE WHEN count(*) >= 2 THEN stddev_samp(y) / (avg(abs(y)) + 1e-9) ELSE 0 END AS cv,
-               coalesce(list(i ORDER BY i) FILTER (anomaly), []) AS changes FROM flagged GROUP BY entity)""",
-    """shaped AS (SELECT *, len(changes) AS n_changes, CASE WHEN n_points < 2 THEN 'insufficient' WHEN cv < 0.02 AND abs(slope) < 0.18 THEN 'stable_level'
-        WHEN slope > 0.12 THEN 'upward' WHEN slope < -0.12 THEN 'downward' WHEN abs(slope) < 0.04 THEN 'stable'
-        WHEN slope > 0 THEN 'moderate_up' ELSE 'moderate_down' END AS shape FROM measured)""",
-    """described AS (SELECT *, CASE WHEN shape IN ('stable', 'stable_level') THEN 'flat' ELSE shape END AS trend,
-        CASE WHEN n_points < 2 THEN 'unknown' WHEN cv >= 0.22 THEN 'high' ELSE 'low_or_moderate' END AS volatility,
-        CASE WHEN n_points < 2 THEN 0.2 ELSE round(least(0.92, greatest(0.18, 0.35 * least(1, n_points / 24) + 0.35 * least(1, abs(slope) / 0.25)
-            + 0.15 * CASE WHEN cv > 0.08 THEN least(1, cv / 0.35) ELSE 0.35 END + 0.15 * least(1, 0.4 + 0.15 * least(n_changes, 4)))), 3) END AS confidence
-        FROM shaped)""",
-)
+MEASURED = (USER_DAYS, *measured_ctes("user_days", "entity", "date", "target"))
 
 
 @query(
@@ -160,7 +166,7 @@ def metric_bands(spark, sf_dir):
     return I.metric_bands(spread.withColumn("threshold", F.lit(0.25)))
 
 
-# fixed question openings, one per kind of event; the rest of a question comes from the row
+# fixed question openings, one per kind of event, on working days and at weekends
 ASKED = {
     "view": "How is the forecast trending",
     "click": "Any spike or sudden jump",
@@ -168,17 +174,33 @@ ASKED = {
     "error": "What is the MAE and overall accuracy",
     "signup": "Which alert was triggered",
 }
+ASKED_AT_WEEKENDS = {
+    "view": "Predict next week",
+    "click": "Overall status please",
+    "purchase": "Tell me more",
+    "error": "How bad is it, and is there drift",
+    "signup": "Is the slope flat, or is there an outlier",
+}
 
 
 def _questions(spark, sf_dir):
     """One question per event about the supplier of the same number as its user."""
     events = panels.table(spark, sf_dir, "events")
-    opening = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(q)) for k, q in ASKED.items()], F.lit("Tell me more"))
-    return events.select("event_id", F.col("user_id").alias("entity"), F.concat(opening, F.lit(" for "), "event_type", F.lit("?")).alias("query"))
+
+    def opening(asked):
+        return F.coalesce(*[F.when(F.col("event_type") == k, F.lit(q)) for k, q in asked.items()])
+
+    chosen = F.when(F.weekday("ts") >= 5, opening(ASKED_AT_WEEKENDS)).otherwise(opening(ASKED))
+    return events.select("event_id", F.col("user_id").alias("entity"), F.concat(chosen, F.lit(" for "), "event_type", F.lit("?")).alias("query"))
+
+
+def _opening(asked: dict[str, str]) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{q}'" for k, q in asked.items()) + " END"
 
 
 INTENTS = ", ".join(f"CASE WHEN regexp_matches(q, '{'|'.join(words)}') THEN '{name}' END" for name, words in texts.INTENT_WORDS.items())
-OPENING = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{q}'" for k, q in ASKED.items()) + " ELSE 'Tell me more' END"
+OPENING = f"CASE WHEN isodow(ts) >= 6 THEN {_opening(ASKED_AT_WEEKENDS)} ELSE {_opening(ASKED)} END"
+QUESTION = f"concat({OPENING}, ' for ', event_type, '?')"
 
 
 @query(
@@ -186,7 +208,7 @@ OPENING = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{q}'" for k, q in ASK
     f"""SELECT kind, id, turn, coalesce(nullif(concat_ws(',', {INTENTS}), ''), 'general') AS intents FROM (
         SELECT 'conversation' AS kind, conv_id AS id, turn, lower(text) AS q FROM conversations
         UNION ALL SELECT 'document', doc_id, 0, lower(text) FROM documents
-        UNION ALL SELECT 'question', event_id, 0, lower(concat({OPENING}, ' for ', event_type, '?')) FROM events)""",
+        UNION ALL SELECT 'question', event_id, 0, lower({QUESTION}) FROM events)""",
 )
 def intent_tags(spark, sf_dir):
     said = panels.table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
@@ -250,7 +272,87 @@ def recent_points(spark, sf_dir):
     return kept.select("entity_id", F.inline("points"), "n_points_total", "n_points_included", "truncated")
 
 
-@query("batch_answers")
+def _options(key: str, options: dict[str, str], *values: str) -> str:
+    return _case(key, {k: _text(t, *values) for k, t in options.items()})
+
+
+def _answers_sql() -> str:
+    """Answers from the same fixed texts: which sentence applies, and in which order, spelled out in SQL."""
+    slope, variation = "CAST(round(slope, 4) + 0.0 AS VARCHAR)", "CAST(round(cv, 4) AS VARCHAR)"
+    mae, rmse = "printf('%.4g', mae)", "printf('%.4g', rmse)"
+    more = "CASE WHEN n_changes > 5 THEN concat(' (+', n_changes - 5, ' more)') ELSE '' END"
+    steps_says = f"CASE WHEN n_changes > 0 THEN {_text(texts.STEPS_SENTENCE, 'n_changes')} ELSE {_text(texts.NO_STEPS_SENTENCE)} END"
+    steps_why = f"CASE WHEN n_changes > 0 THEN {_text(texts.STEPS_REASON, FIRST, more)} ELSE {_text(texts.NO_STEPS_REASON)} END"
+    trend_why = f"coalesce({_options('way', texts.TREND_REASONS, slope, 'n_points')}, {_text(texts.TREND_TOO_SHORT)})"
+    said = f"""
+        CASE WHEN lead = 'anomaly' AND known THEN {steps_says} END, CASE WHEN lead = 'trend' AND known THEN trend_says END,
+        CASE WHEN lead = 'drift' THEN drift_says END, CASE WHEN lead = 'error' AND contains(lower(query), 'mae') AND mae IS NOT NULL THEN {_text(texts.MAE_LONG_SENTENCE, mae)} END,
+        CASE WHEN lead = 'error' THEN error_says END, CASE WHEN lead = 'forecast' AND known THEN trend_says END, CASE WHEN lead = 'forecast' AND known THEN swing_says END,
+        CASE WHEN lead = 'health' THEN {_text(texts.STATUS_SENTENCE, "coalesce(overall_status, 'unknown')")} END,
+        CASE WHEN alerted THEN concat({_text(texts.ALERTS_SENTENCE)}, alerts) END, CASE WHEN trend_second THEN trend_says END,
+        CASE WHEN known AND list_contains(intents, 'anomaly') AND lead <> 'anomaly' THEN {steps_says} END,
+        CASE WHEN (list_contains(intents, 'error') OR lead = 'general') AND mape IS NOT NULL THEN error_says END,
+        CASE WHEN (list_contains(intents, 'drift') OR lead = 'general') AND overall_score IS NOT NULL THEN drift_says END,
+        CASE WHEN lead = 'general' AND known THEN swing_says END"""
+    why = f"""
+        concat('- **Query focus**: ', array_to_string(intents, ', '), '.'),
+        CASE WHEN lead = 'anomaly' AND known THEN concat('- **Anomaly / change points**: ', {steps_why}) END,
+        CASE WHEN lead = 'trend' AND known THEN concat('- **Trend**: ', {trend_why}) END,
+        CASE WHEN lead = 'drift' THEN '- **Drift**: ' || drift_why END, CASE WHEN lead = 'error' THEN '- **Error (MAPE)**: ' || error_why END,
+        CASE WHEN lead = 'error' AND mae IS NOT NULL THEN concat('- **MAE**: **', {mae}, '**.') END,
+        CASE WHEN lead = 'error' AND rmse IS NOT NULL THEN concat('- **RMSE**: **', {rmse}, '**.') END,
+        CASE WHEN lead = 'forecast' AND known THEN concat('- **Trend**: ', {trend_why}) END,
+        CASE WHEN lead = 'forecast' AND known THEN concat('- **Volatility**: ', swing_why) END,
+        CASE WHEN lead = 'health' THEN concat('- **Overall status**: `', coalesce(overall_status, 'unknown'), '`.') END,
+        CASE WHEN alerted THEN concat('- **Alerts**: ', alerts) END, CASE WHEN trend_second THEN concat('- **Trend**: ', {trend_why}) END,
+        CASE WHEN known AND list_contains(intents, 'anomaly') AND lead <> 'anomaly' THEN concat('- **Change points**: ', {steps_why}) END,
+        CASE WHEN (list_contains(intents, 'error') OR lead = 'general') AND lead <> 'error' AND NOT (alerted AND contains(alerts, 'MAPE')) THEN '- **MAPE**: ' || error_why END,
+        CASE WHEN (list_contains(intents, 'drift') OR lead = 'general') AND lead <> 'drift' THEN '- **Drift**: ' || drift_why END,
+        CASE WHEN lead = 'general' AND known THEN '- **Volatility**: ' || swing_why END"""
+    percent = "CASE WHEN mape <= 1 THEN mape * 100 ELSE mape END"
+    return with_(
+        *CONTEXT,
+        *measured_ctes("naive", "entity_id", "step", "y_pred"),
+        f"""asked AS (SELECT event_id, user_id AS entity, {QUESTION} AS query FROM events)""",
+        f"""tagged AS (SELECT *, CASE WHEN len(found) = 0 THEN ['general'] ELSE found END AS intents FROM (
+                SELECT event_id, entity, query, list_filter([{INTENTS}], lambda x: x IS NOT NULL) AS found FROM (SELECT *, lower(query) AS q FROM asked)))""",
+        f"""joined AS (
+            SELECT t.event_id, t.entity, t.query, t.intents, t.intents[1] AS lead, c.* EXCLUDE (entity), d.slope, d.cv, d.trend, d.volatility, d.changes, d.n_changes,
+                   c.n_points IS NOT NULL AS known, {BANDS},
+                   list_filter([CASE WHEN monitored_mae > 16 THEN concat('**MAE** (value `', CAST(monitored_mae AS VARCHAR), '` vs threshold `16.0`)') END,
+                                CASE WHEN monitored_mape > 150 THEN concat('**MAPE** (value `', CAST(monitored_mape AS VARCHAR), '` vs threshold `150.0`)') END,
+                                CASE WHEN overall_score > 0.25 THEN concat('**Drift** (value `', CAST(overall_score AS VARCHAR), '` vs threshold `0.25`)') END],
+                               lambda x: x IS NOT NULL) AS raised,
+                   CASE WHEN monitored_mae > 16 OR monitored_mape > 150 OR overall_score > 0.25 THEN 'warning' WHEN c.entity IS NOT NULL THEN 'healthy' END AS overall_status,
+                   CASE WHEN trend IN ('upward', 'moderate_up') THEN 'up' WHEN trend IN ('downward', 'moderate_down') THEN 'down' WHEN trend <> 'insufficient' THEN 'flat' END AS way
+            FROM tagged t LEFT JOIN context c ON c.entity = t.entity LEFT JOIN described d ON d.entity = c.entity)""",
+        f"""worded AS (SELECT *, array_to_string(raised, '; ') AS alerts, lead = 'alert' AND len(raised) > 0 AS alerted,
+                   known AND list_contains(intents, 'trend') AND lead NOT IN ('trend', 'forecast') AS trend_second,
+                   {_options('way', texts.TREND_SENTENCES)} AS trend_says, {_options('volatility', texts.VOLATILITY_SENTENCES)} AS swing_says,
+                   {_options('volatility', texts.VOLATILITY_REASONS, variation)} AS swing_why,
+                   {_options('mape_band', texts.MAPE_SENTENCES)} AS error_says, {_options('mape_band', texts.MAPE_REASONS, f"printf('%.1f', {percent})")} AS error_why,
+                   {_options('drift_band', texts.DRIFT_SENTENCES)} AS drift_says,
+                   {_options('drift_band', texts.DRIFT_REASONS, "printf('%.3f', overall_score)", "printf('%.3f', threshold)")} AS drift_why
+            FROM joined)""",
+        f"""listed AS (SELECT *, list_filter([{said}], lambda x: x IS NOT NULL) AS repeated, list_filter([{why}], lambda x: x IS NOT NULL) AS reasons FROM worded)""",
+        "once AS (SELECT *, list_filter(repeated, lambda x, i: list_position(repeated, x) = i) AS said FROM listed)",
+        f"""replied AS (SELECT event_id, entity, query, array_to_string(intents, ',') AS intents,
+                   CASE WHEN len(said) = 0 AND mae IS NULL THEN {_text(texts.DEFAULT_ANSWER)}
+                        ELSE concat_ws(' ', nullif(array_to_string(said, ' '), ''), CASE WHEN len(said) < 2 AND mae IS NOT NULL THEN {_text(texts.MAE_SENTENCE, mae)} END) END AS answer,
+                   concat('### Reasoning (signals used)', chr(10), chr(10), concat_ws(chr(10), array_to_string(reasons, chr(10)),
+                       CASE WHEN len(said) < 2 AND mae IS NOT NULL THEN concat('- **MAE**: **', {mae}, '**.') END,
+                       CASE WHEN known THEN concat('- **Latest forecast (API)**: store `', entity, '`, horizon `', horizon, '`, `', n_points, '` points, recorded `', CAST(recorded_at AS VARCHAR), '`.') END,
+                       CASE WHEN eval_status <> 'ok' AND eval_reason <> 'no_forecast_record' THEN concat('- **Forecast vs actuals**: `', eval_reason, '`') END)) AS reasoning,
+                   round(least(0.92, greatest(0.35, 0.45 + CASE WHEN coalesce(n_points, 0) >= 7 THEN 0.12 ELSE 0 END + CASE WHEN mae IS NOT NULL OR mape IS NOT NULL THEN 0.1 ELSE 0 END
+                       + CASE WHEN overall_score IS NOT NULL THEN 0.08 ELSE 0 END + least(0.15, 0.03 * len(intents)))), 2) AS confidence FROM once)""",
+        "SELECT *, concat('## Answer', chr(10), chr(10), answer, chr(10), chr(10), reasoning) AS explanation FROM replied",
+    )
+
+
+ANSWERS_SQL = _answers_sql()
+
+
+@query("batch_answers", ANSWERS_SQL)
 def batch_answers(spark, sf_dir):
     """Questions about suppliers, answered from their forecast, its evaluation and the monitoring row."""
     made, context = _context(spark, sf_dir)
