@@ -66,6 +66,19 @@ def test_general_format_equals_python(spark, value):
     assert got == f"{value:.4g}"
 
 
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 4])
+def test_fixed_format_equals_python(spark, digits):
+    import random
+
+    rng = random.Random(digits)
+    values = [78.35, 2.675, 0.125, 0.5, 1.5, 2.5, 999.9996, 0.9999999, 1e-9, 0.0, 123456789.05, 1e14 + 0.5]
+    values += [round(rng.uniform(0, 200), 2) for _ in range(300)] + [rng.uniform(0, 1) for _ in range(100)]
+    values += [-v for v in values if v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", texts.fixed(F.col("v"), digits).alias("t")).collect():
+        assert row["t"] == f"{row['v']:.{digits}f}", row["v"]
+
+
 def test_fixed_and_plain_formats(spark):
     row = spark.range(1).select(
         texts.fixed(F.lit(0.125), 2), texts.fixed(F.lit(-0.0001), 3), texts.fixed(F.lit(None), 2), texts.plain(F.lit(0.5)), texts.plain(F.lit(2.0))

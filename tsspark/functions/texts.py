@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """``digits`` decimals, halves to even; the sign survives, a missing number stays missing."""
+    """``digits`` decimals of the number as it is stored in binary, an exact half to even.
+
+    Java rounds the printed decimals instead, which differs for numbers like 78.35. The fraction is read
+    as a whole number of 2^-52 steps, and the remainder compared with one half in decimals.
+    """
     number = value.cast("double")
-    text = F.format_string(f"%.{digits}f", F.bround(number, digits))
-    signed = F.when((number < 0) & ~text.startswith("-"), F.concat(F.lit("-"), text)).otherwise(text)
-    return F.when(number.isNotNull(), signed)
+    size = F.abs(number)
+    whole = F.floor(size)
+    steps = (size - whole) * F.lit(2.0**52)  # exact, a power of two
+    counted = F.floor(steps)
+    unit, full = 10**digits, F.lit(2**52).cast("decimal(16,0)")
+    product = counted.cast("decimal(16,0)") * F.lit(unit).cast("decimal(8,0)")
+    rest = product % full
+    down = ((product - rest) / full).cast("bigint")
+    odd = (down if digits else whole) % 2 == 1
+    up = (rest * 2 > full) | ((rest * 2 == full) & ((steps > counted) | odd))
+    decimals = down + F.when(up, 1).otherwise(0)
+    carried = whole + F.floor(decimals / unit)
+    point = [F.lit("."), F.lpad((decimals % unit).cast("string"), digits, "0")] if digits else []
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, carried.cast("string"), *point)
+    return F.when(size < 1e15, exact).when(number.isNotNull(), F.format_string(f"%.{digits}f", number))
 
 
 def general(value: Column, digits: int = 4) -> Column:

@@ -11,6 +11,7 @@ from tsspark.functions.missing import is_finite
 
 # Thresholds of the rules.
 MARGIN = 1e-9
+NOISE = 1e-12
 SLOPE_STRONG, SLOPE_WEAK = 0.12, 0.04
 LEVEL_CV, LEVEL_SLOPE = 0.02, 0.18
 CV_HIGH = 0.22
@@ -42,9 +43,12 @@ def step_changes(series: DataFrame, entity: str = "entity_id", step: str = "step
 
 
 def normalised_slope(y: Column, i: Column) -> Column:
-    """Least-squares slope over the position, in units of the sample deviation; 0 below two points."""
+    """Least-squares slope over the position, in units of the sample deviation; 0 below two points.
+
+    What floating point leaves of a slope of zero is zero, so that its sign says nothing.
+    """
     slope = F.regr_slope(y, i.cast("double")) / (F.stddev_samp(y) + MARGIN)
-    return F.when(F.count(y) >= 2, slope).otherwise(0.0)
+    return F.when((F.count(y) >= 2) & (F.abs(slope) >= NOISE), slope).otherwise(0.0)
 
 
 def coefficient_of_variation(y: Column) -> Column:

@@ -1,7 +1,7 @@
 """Registry of named queries with their reference SQL, and shared SQL fragments.
 
 A query takes (spark, sf_dir) and returns a DataFrame. ``present`` makes results comparable: days as text
-and doubles to six digits, on both sides.
+and doubles to a few digits, on both sides.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     """Register a query, with SQL over the same tables where SQL can express it."""
 
     def register(build: Query) -> Query:
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(build(spark, sf_dir))
+            return present(build(spark, sf_dir), digits)
 
         QUERIES[name] = run
         if sql:
@@ -36,14 +36,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def present(df: DataFrame) -> DataFrame:
+def present(df: DataFrame, digits: int = 6) -> DataFrame:
     shown = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             c = c.cast("string").alias(f.name)
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 6).alias(f.name)
+            c = F.round(c, digits).alias(f.name)
         shown.append(c)
     return df.select(*shown)
 

@@ -134,9 +134,10 @@ def points_sql(pairs: str) -> str:
         SALES, cutoff_cte("sales"), pairs_cte("sales", 7, "weekly"), pairs_cte("sales", 14, "fortnightly"),
         f"old AS ({points_sql('weekly')} , cut WHERE date < cutoff)",
         f"new AS ({points_sql('fortnightly')}, cut WHERE date >= cutoff - 365)",
-        """SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, round(ape, 6) AS ape FROM (
+        """SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, ape FROM (
                SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.entity = o.entity AND n.date = o.date))""",
     ),
+    digits=8,
 )
 def append_errors(spark, sf_dir):
     """A year of newer scores replaces and extends an older history."""
@@ -155,7 +156,7 @@ POINTS = f"points AS ({points_sql('pairs')})"
 CAPPED = "capped AS (SELECT * FROM points ORDER BY date DESC, entity DESC LIMIT 5000)"
 
 
-@query("cap_history", with_(*PAIRS, POINTS, CAPPED, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, round(ape, 6) AS ape FROM capped"))
+@query("cap_history", with_(*PAIRS, POINTS, CAPPED, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, ape FROM capped"), digits=8)
 def cap_history(spark, sf_dir):
     return H.cap_history(error_history(spark, sf_dir))
 

@@ -31,7 +31,8 @@ def measured_ctes(source: str, entity: str, order: str, value: str) -> tuple[str
         """flagged AS (SELECT p.*, coalesce(n >= 3 AND abs(d - m) / (1.4826 * mad) > 2.5, false) AS anomaly
            FROM placed_points p JOIN deviation q ON p.entity = q.entity)""",
         """measured AS (
-            SELECT entity, count(*) AS n_points, CASE WHEN count(*) >= 2 THEN regr_slope(y, i) / (stddev_samp(y) + 1e-9) ELSE 0 END AS slope,
+            SELECT entity, count(*) AS n_points,
+                   CASE WHEN count(*) >= 2 AND abs(regr_slope(y, i) / (stddev_samp(y) + 1e-9)) >= 1e-12 THEN regr_slope(y, i) / (stddev_samp(y) + 1e-9) ELSE 0 END AS slope,
                    CASE WHEN count(*) >= 2 THEN stddev_samp(y) / (avg(abs(y)) + 1e-9) ELSE 0 END AS cv,
                    coalesce(list(i ORDER BY i) FILTER (anomaly), []) AS changes FROM flagged GROUP BY entity)""",
         """shaped AS (SELECT *, len(changes) AS n_changes, CASE WHEN n_points < 2 THEN 'insufficient' WHEN cv < 0.02 AND abs(slope) < 0.18 THEN 'stable_level'

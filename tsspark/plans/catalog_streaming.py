@@ -13,7 +13,7 @@ from tsspark.sources import files, panels
 from tsspark.streaming import feeds
 
 
-@query("stream_errors", with_(*PAIRS, POINTS, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, round(ape, 6) AS ape FROM points"))
+@query("stream_errors", with_(*PAIRS, POINTS, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, ape FROM points"), digits=8)
 def stream_errors(spark, sf_dir):
     """A first delivery with wrong forecasts, then the right ones: the later batch wins."""
     arriving, table, checkpoint = (scratch_path(spark, n) for n in ("pairs", "errors", "progress"))
