@@ -32,13 +32,18 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def general(value: Column, digits: int = 4) -> Column:
-    """``digits`` significant digits without trailing zeros, scientific for very small or large numbers."""
+    """``digits`` significant digits without trailing zeros, scientific for very small or large numbers.
+
+    Halves go to even on the printed decimals, which is exact for halves that binary can store; eight
+    copies of the exact form would make too large an expression.
+    """
     number, size = value.cast("double"), F.abs(value.cast("double"))
     text = F.when(number == 0, F.lit("0"))
     half = 0.5 * 10.0**-digits  # a number this close to the next power of ten is rounded up to it
     for power in range(-4, digits):
         within = (size >= 10.0**power * (1 - half)) & (size < 10.0 ** (power + 1) * (1 - half))
-        text = text.when(within, fixed(number, digits - 1 - power))
+        places = digits - 1 - power
+        text = text.when(within, F.format_string(f"%.{places}f", F.bround(number, places)))
     text = text.otherwise(F.format_string(f"%.{digits - 1}e", number))
     trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
     return F.when(number.isNotNull(), trimmed)
