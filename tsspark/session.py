@@ -24,20 +24,25 @@ def local_session(cores: str = "*", app: str = "tsspark", partitions: int = 8) -
     )
 
 
+#: The folder a local session without ``spark.checkpoint.dir`` got, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own: there is one machine then.
+    Only a local session may fall back to a temporary folder of its own: there is one machine then. The
+    setting itself is a core setting, which a running session can't change, so the folder is kept here.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
-    fallback = tempfile.mkdtemp(prefix="tsspark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="tsspark-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
