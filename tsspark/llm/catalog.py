@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsspark.llm import bpe, quality, secrets, urls
+from tsspark.llm import bpe, neardup, quality, secrets, urls
 from tsspark.session import scratch_path
 from tsspark.sources.panels import table
 
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.fit(urls.seed_table(spark)), urls.RULES)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Banding(width=2))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(documents, scratch_path(spark, "secret-ledger")))
@@ -33,7 +37,50 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op7_secret_scan, op9_byte_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op7_secret_scan, op9_byte_bpe, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of every document, A-Z lowered, as DuckDB writes them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+meets AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM meets JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN both e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l USING (doc_id)""",
+    "op10_quality_rules": r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT *, list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM base),
+tri AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM tri),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again WHERE k > 1) GROUP BY doc_id),
+counts AS (
+  SELECT l.doc_id, len(w) AS n_words, length(list_aggregate(list_concat(w, ['']), 'string_agg', '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    length(regexp_replace(t, '[^!]', '', 'g')) AS shouts, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals
+  FROM lines l LEFT JOIN covered c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines
+    OR 10 * shouts > 3 * n_words OR 100 * capitals > 35 * word_chars OR word_chars > 20 * n_words) AS kept
+FROM counts""",
+}

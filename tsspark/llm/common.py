@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsspark.session import scratch_path
+
 #: A word is a run of characters other than these: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -98,3 +100,10 @@ def chained(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def list_column(values: np.ndarray | pa.Array, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder all executors share, and read from there: its plan is cut, lost tasks re-read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
