@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsspark.llm import bpe, neardup, quality, secrets, urls
+from tsspark.llm import bpe, neardup, quality, secrets, toxicity, urls
 from tsspark.session import scratch_path
 from tsspark.sources.panels import table
 
@@ -26,6 +26,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents, scratch_path(spark, "secret-ledger")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op7_secret_scan, op9_byte_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_quality_rules)
 }
 
 #: Words of every document, A-Z lowered, as DuckDB writes them.
