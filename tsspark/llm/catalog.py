@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsspark.llm import bpe, decontam, neardup, quality, secrets, toxicity, urls
+from tsspark.llm import bpe, decontam, lm, neardup, quality, secrets, toxicity, urls
 from tsspark.session import scratch_path
 from tsspark.sources.panels import table
 
@@ -21,6 +21,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Banding(width=2))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op4_decontaminate, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_lm_score, op4_decontaminate, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_quality_rules)
 }
 
 #: Words of every document, A-Z lowered, as DuckDB writes them.
