@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsspark.llm import bpe, decontam, licenses, lm, neardup, quality, secrets, toxicity, urls
+from tsspark.llm import bpe, decontam, licenses, lm, neardup, pii, quality, secrets, toxicity, urls
 from tsspark.session import scratch_path
 from tsspark.sources.panels import table
 
@@ -33,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(documents, scratch_path(spark, "secret-ledger")))
@@ -53,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_lm_score, op4_decontaminate, op5_license_scan, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_lm_score, op4_decontaminate, op5_license_scan, op6_personal_data, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_quality_rules)
 }
 
 #: Words of every document, A-Z lowered, as DuckDB writes them.
