@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.llm.common import in_batches, list_column, texts_of
@@ -76,12 +76,12 @@ def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") ->
     return in_batches(df.select(F.col(key).alias("key"), "ids"), work, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
 
 
+def digests() -> list[Column]:
+    """Lower-case SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
+    return [F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def round_trip(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Per document: number of ids, and digests of the ids and of the bytes they decode to."""
     both = decode(encode(df, rank_file, pattern, key), rank_file, pattern, key)
-    return both.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return both.select(key, F.size("ids").cast("long").alias("n_tokens"), *digests())

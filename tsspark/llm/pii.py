@@ -122,7 +122,8 @@ def nodes_of(rows: list[int], texts: list[str], spans: list[list]) -> Nodes:
             raw = m.group()
             word = raw.strip(_MARKS) or raw
             a = m.start() + raw.find(word)
-            b = a + len(word)
+            a -= a > m.start() and text[a - 1] == "("  # an area code keeps its bracket
+            b = m.start() + raw.find(word) + len(word)
             digits, node = _digits(word), len(row)
             while k < len(own) and own[k][2] <= a:
                 k += 1
