@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsspark.session import scratch_path
@@ -21,6 +23,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_CHARS = 8_000_000
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it was found here, whatever folder they start in.
+
+    On a cluster the package is installed, or sent along with ``--py-files``; then this changes nothing.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -40,6 +53,7 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None and out.num_rows:
                     yield out
 
+    findable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -54,7 +68,10 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    column = batch.column(name)
+    if column.offset:  # a cast of a slice goes wrong in some versions of the library, so the slice becomes an array of its own
+        column = column.take(pa.array(np.arange(len(column))))
+    return pc.fill_null(column.cast(pa.large_string()), "")
 
 
 def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsspark.llm.common import BATCH_CHARS, chained, mixed, stored, texts_of, word_hashes, word_lists
+from tsspark.llm.common import chained, findable, mixed, slices, stored, texts_of, word_hashes, word_lists
 
 BLOCK_CHARS = 8_000_000
 #: Distinct n-grams of all blocks that one bucket holds, about.
@@ -166,8 +166,6 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from tsspark.llm.common import slices
-
     for batch in batches:
         yield from slices(batch)
 
@@ -260,6 +258,7 @@ def fit_weights(cells: list[tuple], order: int, rounds: int = 50) -> dict[int, l
 def scored(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", add: float = 0.1) -> DataFrame:
     """Per row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score, both as log10 of probabilities."""
     kind = dict(df.dtypes)[key]
+    findable(df.sparkSession)
     placed = _placed(df, key, text)
     chars = placed.agg(F.sum(F.char_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 * (order - 1 + 0.3) / BUCKET_ENTRIES)))))
