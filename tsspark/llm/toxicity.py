@@ -192,7 +192,7 @@ def features(texts: pa.Array, model: CharModel) -> tuple[np.ndarray, np.ndarray]
 def _fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 5e-5, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 features with an L1 penalty: full-batch proximal AdaGrad."""
     used, compact = np.unique(places, return_inverse=True)
-    common = np.bincount(compact, minlength=len(used)) >= 2
+    common = np.bincount(compact, minlength=len(used)) >= max(2, len(y) // 4000)  # rarer words carry no weight anyway
     kept = common[compact]
     rows, compact = rows[kept], compact[kept]
     w, squares, n = np.zeros(len(used)), np.full(len(used), 1e-12), len(y)
