@@ -88,7 +88,10 @@ def test_rolling_series_starts_with_the_first_full_window(ten):
     rows = H.rolling_error_series(history, 3).orderBy("date").collect()
     assert [str(r["date"]) for r in rows] == ["2024-01-03", "2024-01-04", "2024-01-05"]
     assert rows[0]["mae"] == 6.666667 and rows[0]["mape"] == 6.6667
-    assert H.rolling_error_series(history, 1).count() == 4  # at least two points
+    with pytest.raises(ValueError):
+        H.rolling_error_series(history, 1)
+    with pytest.raises(ValueError):
+        H.rolling_error_series(history, 91)
     assert H.rolling_error_series(history, 6).isEmpty()
 
 

@@ -53,7 +53,7 @@ class ForecastConfig:
 class PromotionConfig:
     mae_max: float = 10.0
     rmse_max: float = 12.0
-    mape_max: float = 15.0
+    mape_max: float = field(default=15.0, metadata={"percent": True})
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ class MonitorConfig:
     """Thresholds in target units, percent, and share of moved mass."""
 
     mae_alert: float = 15.0
-    mape_alert: float = 20.0
+    mape_alert: float = field(default=20.0, metadata={"percent": True})
     window_days: int = 7
     drift_threshold: float = 0.25
     drift_bins: int = 10
@@ -97,5 +97,7 @@ def overlay(base: Any, changes: dict[str, Any]) -> Any:
             value = overlay(current, value)
         elif isinstance(current, tuple) and isinstance(value, list):
             value = tuple(value)
+        elif known[name].metadata.get("percent"):
+            value = percent(value)
         updates[name] = value
     return dataclasses.replace(base, **updates)

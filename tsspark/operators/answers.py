@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.functions import texts
+from tsspark.functions.rounding import round_stored
 from tsspark.operators.insights import drift_band, drift_limit, intent_tags, mape_band, mape_percent
 
 
@@ -171,7 +172,7 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
         + F.when(c("overall_score").isNotNull(), 0.08).otherwise(0.0)
         + F.least(F.lit(0.15), 0.03 * F.size("intents"))
     )
-    bounded = F.round(F.least(F.lit(0.92), F.greatest(F.lit(0.35), confidence)), 2)
+    bounded = round_stored(F.least(F.lit(0.92), F.greatest(F.lit(0.35), confidence)), 2)
     replied = more.select(
         *questions.columns, "intents", answer.alias("answer"), reasoning.alias("reasoning"), bounded.alias("confidence")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsspark.config import ForecastConfig
+from tsspark.functions.rounding import round_stored
 from tsspark.functions import errors
 
 DEFAULTS = ForecastConfig()
@@ -95,9 +96,9 @@ def score_splits(scored: DataFrame, entity: str = "entity") -> DataFrame:
     y, p = F.col("y_true"), F.col("y_pred")
     return scored.groupBy(entity, "split", F.col("last_date").alias("cutoff_date")).agg(
         F.count(F.lit(1)).alias("horizon"),
-        F.round(errors.rmse(y, p), 4).alias("rmse"),
-        F.round(errors.mae(y, p), 4).alias("mae"),
-        F.round(errors.mape(y, p, usable=y != 0), 2).alias("mape"),
+        round_stored(errors.rmse(y, p), 4).alias("rmse"),
+        round_stored(errors.mae(y, p), 4).alias("mae"),
+        round_stored(errors.mape(y, p, usable=y != 0), 2).alias("mape"),
     )
 
 

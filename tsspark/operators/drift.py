@@ -1,7 +1,7 @@
 """Distribution drift between an early and a late part of a panel.
 
 Numeric columns are unpivoted to (half, feature, value), so each measure is one grouped aggregate
-whatever the number of features. Feature names are bounded by the schema (twelve at most are chosen).
+whatever the number of features. A feature without a single value scores 0 and is counted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from tsspark.operators.ordered import date_counts, edges_passed, half_split, ks_
 
 # Columns looked at first, sample sizes, smoothing terms, status bounds.
 PREFERRED = ("target_cleaned", "Sales", "Customers", "Open", "Promo", "SchoolHoliday")
-MAX_FEATURES = 12
 MIN_ROWS = 50
 MIN_HALF = 20
 EDGE_MARGIN = 1e-10
@@ -31,12 +30,12 @@ LOW_BELOW, MEDIUM_BELOW = 1.0 / 3.0, 2.0 / 3.0
 def numeric_columns(
     schema: T.StructType, target: str | None = None, skip: Sequence[str] = ("entity", "date", "store_id", "Date", "Store")
 ) -> list[str]:
-    """Preferred columns, the target in front, else the first twelve numeric ones."""
+    """Preferred columns, the target in front, else all numeric ones."""
     numeric = [f.name for f in schema.fields if is_numeric(f.dataType)]
     chosen = [c for c in PREFERRED if c in numeric]
     if target in numeric and target not in chosen:
         chosen.insert(0, target)
-    return chosen or [c for c in numeric if c not in skip][:MAX_FEATURES]
+    return chosen or [c for c in numeric if c not in skip]
 
 
 def long_form(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ("half",)) -> DataFrame:
@@ -65,8 +64,8 @@ def fit_edges(long: DataFrame, bins: int = 10, within: Column | None = None) ->
 
 def histogram(long: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per bin (from 1). Bins are closed on the left, the last one on both sides; values outside
-    the edges are not counted. One array of edges per feature name: safe to broadcast."""
-    placed = long.join(F.broadcast(edges), "feature")
+    the edges are not counted."""
+    placed = long.join(edges, "feature")
     inside = (F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))
     bin_id = F.least(edges_passed(F.col("value"), F.col("edges")), F.size("edges") - 1)
     return placed.where(inside).groupBy(*by, "feature", bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -89,22 +88,28 @@ def drift_scores(long: DataFrame, bins: int = 10) -> DataFrame:
     return gaps.groupBy("feature").agg(F.sum("gap").alias("score"))
 
 
+def every_feature(scores: DataFrame, features: Sequence[str], score: str) -> DataFrame:
+    """A row for each of the features; those that had no value score 0."""
+    names = scores.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(scores, "feature", "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
+
+
 def feature_drift(
-    df: DataFrame, config: MonitorConfig = MonitorConfig(), entity: str = "entity", date: str = "date"
+    df: DataFrame, config: MonitorConfig = MonitorConfig(), entity: str = "entity", date: str = "date", min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """One row: overall score, flag, sizes, and scores by feature; neutral with a note if not run."""
+    """One row: overall score, flag, sizes, and scores by feature; all NULL with a note if not run."""
     features = numeric_columns(df.schema, skip=(entity, date))
     counts = date_counts(df, date, entity)
     sizes = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     note = F.when(F.lit(not config.drift_enabled), F.lit("drift checks disabled in config")).when(
-        F.col("rows") < MIN_ROWS, F.lit("insufficient rows for drift")
+        F.col("rows") < min_rows, F.lit("insufficient rows for drift")
     )
     if not features:
         note = F.coalesce(note, F.lit("no numeric columns for drift"))
     if not features or not config.drift_enabled:
         scored = F.lit(None).cast("struct<overall_score:double,per_feature_scores:map<string,double>>")
     else:
-        scores = drift_scores(long_form(half_split(df, date, entity, counts=counts), features), config.drift_bins)
+        scores = every_feature(drift_scores(long_form(half_split(df, date, entity, counts=counts), features), config.drift_bins), features, "score")
         scored = scores.agg(
             F.struct(
                 F.avg("score").alias("overall_score"),
@@ -113,14 +118,14 @@ def feature_drift(
         ).scalar()
     counted = sizes.select("rows", note.alias("note"), scored.alias("s"))
     ran = F.col("note").isNull()
-    overall = F.when(ran, F.coalesce(F.col("s.overall_score"), F.lit(0.0))).otherwise(0.0)
+    overall = F.when(ran, F.coalesce(F.col("s.overall_score"), F.lit(0.0)))
     no_scores = F.lit(None).cast("map<string,double>")
     return counted.select(
         (overall > config.drift_threshold).alias("drift_detected"),
         overall.alias("overall_score"),
         F.lit(config.drift_threshold).alias("threshold"),
         F.when(ran, F.col("s.per_feature_scores")).otherwise(no_scores).alias("per_feature_scores"),
-        F.when(ran, F.floor(F.col("rows") / 2)).when(F.col("rows") < MIN_ROWS, F.col("rows")).otherwise(0).alias("ref_sample_size"),
+        F.when(ran, F.floor(F.col("rows") / 2)).when(F.col("rows") < min_rows, F.col("rows")).otherwise(0).alias("ref_sample_size"),
         F.when(ran, F.col("rows") - F.floor(F.col("rows") / 2)).otherwise(0).alias("current_sample_size"),
         "note",
     )
@@ -184,35 +189,47 @@ def distribution_drift(df: DataFrame, target: str = "target", entity: str = "ent
     counts = date_counts(df, date, entity)
     long = long_form(half_split(df, date, entity, counts=counts), features)
     n = counts.agg(F.sum("rows")).scalar()
-    parts = mean_std_drift(long).join(ks_statistic(long), "feature", "left").where(F.floor(n / 2) >= MIN_HALF)
+    moved = every_feature(mean_std_drift(long), features, "mean_std") if features else mean_std_drift(long)
+    parts = moved.join(ks_statistic(long), "feature", "left").where(F.floor(n / 2) >= MIN_HALF)
     return _summarise(parts, ()).where(F.col("n_features") > 0)
 
 
 def distribution_drift_by_entity(
-    df: DataFrame, target: str = "target", entity: str = "entity", date: str = "date"
+    df: DataFrame, target: str = "target", entity: str = "entity", date: str = "date", min_half: int = MIN_HALF
 ) -> DataFrame:
-    """The same verdict for every entity at once, on halves of its own series."""
+    """The same verdict for every entity at once, on halves of its own series.
+
+    An entity with fewer than ``min_half`` rows a half has the status ``not_enough_rows`` and no score.
+    """
     features = numeric_columns(df.schema, target, skip=(entity, date))
     series = W.partitionBy(entity)
     rank = F.row_number().over(series.orderBy(date))
     n = F.count(F.lit(1)).over(series)
-    halves = df.withColumns({"_rank": rank, "_n": n}).where(F.floor(F.col("_n") / 2) >= MIN_HALF)
+    halves = df.withColumns({"_rank": rank, "_n": n})
     early = F.col("_rank") <= F.floor(F.col("_n") / 2)
     halves = halves.withColumn("half", F.when(early, F.lit("reference")).otherwise(F.lit("current")))
-    long = long_form(halves, features, (entity, "half")).where(is_finite(F.col("value")))
-    # a group is one series of days: the steps of both distributions come from a plain window
-    is_ref = F.col("half") == "reference"
+    halves = halves.withColumn("_enough", F.floor(F.col("_n") / 2) >= min_half)
+    # missing values stay in, so that every entity and feature keeps a row; a group is one series of days,
+    # so the steps of both distributions come from a plain window
+    narrow = halves.select(entity, "half", "_enough", *[F.col(c).cast("double").alias(c) for c in features])
+    usable = F.col("_enough") & is_finite(F.col("value"))
+    long = narrow.unpivot([entity, "half", "_enough"], list(features), "feature", "value").withColumn("value", F.when(usable, F.col("value")))
+    is_ref = (F.col("half") == "reference") & F.col("value").isNotNull()
+    is_cur = (F.col("half") == "current") & F.col("value").isNotNull()
     whole = W.partitionBy(entity, "feature")
     upto = whole.orderBy("value")  # rows of equal value count together
 
     def share(c: Column) -> Column:
         return F.count_if(c).over(upto) / F.nullif(F.count_if(c).over(whole), F.lit(0))
 
-    stepped = long.withColumn("gap", F.abs(share(is_ref) - share(~is_ref)))
-    parts = _moments(stepped, [entity, "feature"], F.max("gap").alias("gap")).select(
-        entity, "feature", _mean_std().alias("mean_std"), F.when(_enough(), F.col("gap")).alias("ks")
+    stepped = long.withColumn("gap", F.abs(share(is_ref) - share(is_cur)))
+    parts = _moments(stepped, [entity, "feature"], F.max("gap").alias("gap"), F.max("_enough").alias("enough")).select(
+        entity, "feature", "enough", _mean_std().alias("mean_std"), F.when(_enough(), F.col("gap")).alias("ks")
     )
-    return _summarise(parts, (entity,))
+    found = _summarise(parts, (entity, "enough"))
+    shown = F.when(F.col("enough"), F.col("drift_score"))
+    status = F.when(F.col("enough"), F.col("status")).otherwise(F.lit("not_enough_rows"))
+    return found.select(entity, shown.alias("drift_score"), status.alias("status"), "ks_used", "n_features")
 
 
 def drift_indicators(scores: DataFrame, threshold: float = 0.25) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tsspark.functions.rounding import round_stored
+
 NAIVE_NAME = "seasonal_naive"
 
 
@@ -84,21 +86,18 @@ def with_interval(df: DataFrame, residual_std: Column | float | None, z: float =
     """Symmetric bounds, or NULL if the spread is unknown or not positive."""
     spread = residual_std if isinstance(residual_std, Column) else F.lit(residual_std).cast("double")
     reach = F.when(spread > 0, z * spread)
-    return df.withColumns(
-        {
-            "confidence_low": F.round(F.col(point) - reach, 2),
-            "confidence_high": F.round(F.col(point) + reach, 2),
-        }
-    )
+    exact = df.withColumns({"confidence_low": F.col(point) - reach, "confidence_high": F.col(point) + reach})
+    return exact.withColumns({c: round_stored(F.col(c), 2) for c in ("confidence_low", "confidence_high")})
 
 
 def residual_std(validation: DataFrame, training: DataFrame, actual: str = "y_true", forecast: str = "y_pred") -> DataFrame:
     """One row: spread of the validation residuals, or of the training ones if there are none."""
     gap = F.stddev_pop(F.col(actual) - F.col(forecast)).alias("spread")
     held_out, in_sample = validation.agg(gap).scalar(), training.agg(gap).scalar()
-    chosen = F.bround(F.coalesce(held_out, in_sample), 4)
+    chosen = F.coalesce(held_out, in_sample)
     source = F.when(held_out.isNotNull(), F.lit("validation")).otherwise(F.lit("training"))
-    return training.sparkSession.range(1).select(chosen.alias("residual_std"), source.alias("source"))
+    found = training.sparkSession.range(1).select(chosen.alias("residual_std"), source.alias("source"))
+    return found.select(round_stored(F.col("residual_std"), 4).alias("residual_std"), "source")
 
 
 def history_guard(df: DataFrame, max_lag: int, min_rows: int = 15, entity: str = "entity") -> DataFrame:

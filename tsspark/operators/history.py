@@ -7,11 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsspark.functions import errors
+from tsspark.functions.rounding import round_stored
 from tsspark.functions.missing import is_finite
 
-# History length, bounds of the rolling window.
-HISTORY_LIMIT = 5000
-WINDOW_MIN, WINDOW_MAX = 2, 90
+# Bounds of the rolling window unless the caller sets others.
+WINDOW_BOUNDS = (2, 90)
+
+#: Positions per block of the series across entities; a block is the largest window group there.
+BLOCK_POINTS = 100_000
 
 
 def error_points(pairs: DataFrame, entity: str = "entity", date: str = "date", order: str | None = None) -> DataFrame:
@@ -21,7 +24,7 @@ def error_points(pairs: DataFrame, entity: str = "entity", date: str = "date", o
     return usable.select(
         entity,
         date,
-        F.round(F.abs(y - p), 6).alias("abs_error"),
+        round_stored(F.abs(y - p), 6).alias("abs_error"),
         F.round(errors.absolute_percentage(y, p), 8).alias("ape"),
         (F.col(order) if order else F.lit(0)).cast("double").alias("age"),
     )
@@ -44,32 +47,62 @@ def append_errors(
     return newest.select(entity, date, "point.abs_error", "point.ape")
 
 
-def cap_history(history: DataFrame, entity: str = "entity", date: str = "date", limit: int = HISTORY_LIMIT) -> DataFrame:
-    """The newest points by (date, entity); a top-k, each task hands over at most ``limit`` rows."""
-    return history.orderBy(F.col(date).desc(), F.col(entity).desc()).limit(limit)
+def cap_history(history: DataFrame, entity: str = "entity", date: str = "date", limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` points by (date, entity), a top-k in which each task hands over at most so many rows.
+
+    Without a limit the whole history stays.
+    """
+    return history if limit is None else history.orderBy(F.col(date).desc(), F.col(entity).desc()).limit(limit)
+
+
+def _blocks(history: DataFrame, reach: int, entity: str, date: str, size: int) -> DataFrame:
+    """The history in the order (date, entity), cut into blocks that can be windowed apart.
+
+    Adds ``_at`` (position from 1) and ``_block``. The ``reach`` rows before a block are copied into it, with
+    ``_own`` false. Only the counts per date are ordered globally; a date's rows are ranked among themselves.
+    """
+    days = history.groupBy(F.col(date).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.partitionBy(F.lit(0)).orderBy("_day")) - F.col("_rows")  # one row per day
+    rank = F.row_number().over(W.partitionBy(date).orderBy(entity))
+    placed = history.withColumn("_rank", rank).join(days.select("_day", before.alias("_before")), F.col(date) == F.col("_day"))
+    at = F.col("_before") + F.col("_rank")
+    block = F.floor((at - 1) / size)
+    near_end = F.pmod(at - 1, F.lit(size)) >= size - reach
+    blocks = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
+    dealt = placed.withColumn("_at", at).withColumn("_home", block).withColumn("_block", F.explode(blocks))
+    return dealt.withColumn("_own", F.col("_block") == F.col("_home")).drop("_rank", "_before", "_day", "_home")
 
 
 def rolling_error_series(
-    history: DataFrame, window: int, entity: str = "entity", date: str = "date", per_entity: bool = True
+    history: DataFrame, window: int, entity: str = "entity", date: str = "date", per_entity: bool = True,
+    bounds: tuple[int, int | None] = WINDOW_BOUNDS, block: int = BLOCK_POINTS,
 ) -> DataFrame:
     """Mean errors over ``window`` consecutive points, from the first full window on.
 
-    Per entity the window group is a series of days. Across entities it is one global order: pass the
-    output of ``cap_history``, whose length is limited.
+    A window outside ``bounds`` is an error. Per entity the window group is a series of days; across entities the one
+    order of all points is cut into blocks of ``block`` rows, so no task holds more.
     """
-    w = max(WINDOW_MIN, min(int(window), WINDOW_MAX))
-    order = W.partitionBy(entity).orderBy(date) if per_entity else W.partitionBy(F.lit(0)).orderBy(date, entity)
+    w, (least, most) = int(window), bounds
+    if w < least or (most is not None and w > most):
+        raise ValueError(f"A rolling window of {w} points is outside {least} to {most}.")
+    if per_entity:
+        order = W.partitionBy(entity).orderBy(date)
+        points = history.withColumns({"_at": F.row_number().over(order), "_own": F.lit(True)})
+    else:
+        points = _blocks(history, w - 1, entity, date, max(block, w))
+        order = W.partitionBy("_block").orderBy("_at")
     frame = order.rowsBetween(-(w - 1), 0)
 
     def exact_mean(c: str) -> Column:
         """Stored errors have few digits; decimal sums keep a mean on a rounding edge where it is."""
         return F.avg(F.col(c).cast("decimal(28,8)")).over(frame)
 
-    rolled = history.select(
+    rolled = points.select(
         entity,
         date,
-        F.row_number().over(order).alias("_at"),
+        "_at",
+        "_own",
         F.round(exact_mean("abs_error"), 6).cast("double").alias("mae"),
         F.round(F.coalesce(100 * exact_mean("ape"), F.lit(0)), 4).cast("double").alias("mape"),
     )
-    return rolled.where((F.col("_at") >= w) & F.col("mae").isNotNull()).drop("_at")
+    return rolled.where((F.col("_at") >= w) & F.col("_own") & F.col("mae").isNotNull()).drop("_at", "_own")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsspark.functions import texts
+from tsspark.functions.rounding import round_stored
 from tsspark.functions.missing import is_finite
 
 # Thresholds of the rules.
@@ -16,8 +17,6 @@ SLOPE_STRONG, SLOPE_WEAK = 0.12, 0.04
 LEVEL_CV, LEVEL_SLOPE = 0.02, 0.18
 CV_HIGH = 0.22
 ANOMALY_Z, MAD_SCALE = 2.5, 1.4826
-LISTED_CHANGES = 10
-RECENT_POINTS = 100
 
 
 def step_changes(series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred") -> DataFrame:
@@ -91,13 +90,13 @@ def _confidence() -> Column:
     volatility = F.when(cv > 0.08, F.least(F.lit(1.0), cv / 0.35)).otherwise(0.35)
     jumps = F.least(F.lit(1.0), 0.4 + 0.15 * F.least(n_changes, F.lit(4)))
     raw = 0.35 * coverage + 0.35 * strength + 0.15 * volatility + 0.15 * jumps
-    return F.when(n < 2, 0.2).otherwise(F.round(F.least(F.lit(0.92), F.greatest(F.lit(0.18), raw)), 3))
+    return F.when(n < 2, 0.2).otherwise(round_stored(F.least(F.lit(0.92), F.greatest(F.lit(0.18), raw)), 3))
 
 
 def describe_series(
     series: DataFrame, entity: str = "entity_id", step: str = "step", value: str = "y_pred"
 ) -> DataFrame:
-    """Trend label, rounded slope and variation, volatility, and the first change points per series."""
+    """Trend label, rounded slope and variation, volatility, and all change points per series."""
     m = series_measures(series, entity, step, value)
     shape = _shape()
     trend = F.when(shape.isin("stable_level", "stable"), F.lit("flat")).otherwise(shape)
@@ -110,11 +109,11 @@ def describe_series(
         entity,
         "n_points",
         trend.alias("trend"),
-        F.round("slope", 4).alias("slope_normalized"),
-        F.round("cv", 4).alias("coefficient_of_variation"),
+        round_stored(F.col("slope"), 4).alias("slope_normalized"),
+        round_stored(F.col("cv"), 4).alias("coefficient_of_variation"),
         volatility.alias("volatility"),
         F.size("changes").alias("n_change_points"),
-        F.slice("changes", 1, LISTED_CHANGES).alias("change_point_indices"),
+        F.col("changes").alias("change_point_indices"),
     )
 
 
@@ -283,16 +282,18 @@ def insight_context(
 
 
 def recent_points(
-    forecasts: DataFrame, limit: int = RECENT_POINTS, entity: str = "entity_id", order: str = "date", value: str = "y_pred"
+    forecasts: DataFrame, limit: int | None = None, entity: str = "entity_id", order: str = "date", value: str = "y_pred"
 ) -> DataFrame:
-    """The last points per series as an array, with the total and whether older ones were left out.
+    """The points per series as an array, with the total and, under a ``limit``, whether older ones were left out.
 
-    The total is a separate combinable count; only ``limit`` rows per series are ever collected, and
+    The total is a separate combinable count; only ``limit`` rows per series are collected, and
     map tasks cut to that before the shuffle.
     """
     totals = forecasts.groupBy(entity).agg(F.count(F.lit(1)).alias("n_points_total"))
     back = F.row_number().over(W.partitionBy(entity).orderBy(F.col(order).desc()))
-    tail = forecasts.select(entity, order, value, back.alias("_back")).where(F.col("_back") <= limit)
+    tail = forecasts.select(entity, order, value)
+    if limit is not None:
+        tail = tail.withColumn("_back", back).where(F.col("_back") <= limit)
     kept = tail.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("points"))
     return kept.join(totals, entity).select(
         entity,

@@ -50,7 +50,7 @@ def monitoring_status(
     """Critical on any performance alert or drift, warning close to the drift threshold, else healthy."""
     moved = drift.select(F.struct("drift_detected", "overall_score", "threshold")).scalar()
     joined = performance.withColumn("drift", moved)
-    alarm = F.col("alert_mae") | F.col("alert_mape") | F.col("drift.drift_detected")
+    alarm = F.col("alert_mae") | F.col("alert_mape") | F.coalesce(F.col("drift.drift_detected"), F.lit(False))
     close = F.col("drift.overall_score") >= F.col("drift.threshold") * ratio
     status = F.when(alarm, F.lit("critical")).when(close, F.lit("warning")).otherwise(F.lit("healthy"))
     return joined.select(

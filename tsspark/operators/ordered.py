@@ -45,9 +45,8 @@ def bucketed_counts(counts: DataFrame, by: str | None = None, value: str = "valu
     """Add ``bucket`` to a table of distinct values. ``by`` must name a bounded set (feature names)."""
     sketch = counts.groupBy(*([by] if by else [])).agg(_sketch(F.col(value)).alias("edges"))
     if by:
-        # one array of 255 numbers per feature name: bounded by the schema, hence safe to broadcast
         sketch = sketch.withColumn("coarse", _every_fan_th(F.col("edges")))
-        placed = counts.join(F.broadcast(sketch), by)
+        placed = counts.join(sketch, by)  # Spark chooses by size
         bucket = _bucket(F.col(value), F.col("edges"), F.col("coarse"))
         return placed.withColumn("bucket", bucket).drop("edges", "coarse")
     packed = sketch.select(F.struct("edges", _every_fan_th(F.col("edges")).alias("coarse")))
@@ -171,8 +170,7 @@ def ks_distance(counts: DataFrame, by: str = "feature") -> DataFrame:
         F.sum("c").over(whole).alias("cur_all"),
     )
     inside = W.partitionBy(by, "bucket").orderBy("value")
-    # at most BUCKETS rows per feature name
-    steps = placed.join(F.broadcast(totals), [by, "bucket"]).select(
+    steps = placed.join(totals, [by, "bucket"]).select(
         by,
         "ref_all",
         "cur_all",

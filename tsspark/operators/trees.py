@@ -19,7 +19,6 @@ from tsspark.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
 # Fixed value: how many importances a run record lists.
-TOP_FEATURES = 15
 STEPS_PER_CUT = 5
 HISTORY_MARGIN = 5
 
@@ -178,9 +177,10 @@ def backtest_trees(
     return score_splits(ahead.join(made, [*keys, "date"]), entity)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, top: int = TOP_FEATURES) -> DataFrame:
-    """The strongest features; a handful of numbers that the fitted model holds on the driver."""
+def feature_importance(spark: SparkSession, model: PipelineModel, top: int | None = None) -> DataFrame:
+    """All features, or the ``top`` strongest; a handful of numbers that the fitted model holds on the driver."""
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(name, float(w)) for name, w in zip(model_features(model), weights, strict=True)]
     table = spark.createDataFrame(rows, "feature string, importance double")
-    return table.orderBy(F.col("importance").desc(), "feature").limit(top).select("feature", F.round("importance", 6).alias("importance"))
+    ranked = table.orderBy(F.col("importance").desc(), "feature")
+    return (ranked if top is None else ranked.limit(top)).select("feature", F.round("importance", 6).alias("importance"))

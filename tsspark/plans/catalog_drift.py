@@ -96,6 +96,17 @@ def feature_drift(spark, sf_dir):
     )
 
 
+@query(
+    "feature_drift_empty_column",
+    with_(*DRIFT, """padded AS (SELECT feature, score FROM scores UNION ALL SELECT 'nothing', 0.0)""",
+          """SELECT round(avg(score) OVER (), 6) AS overall_score, feature, round(score, 6) AS score FROM padded"""),
+)
+def feature_drift_empty_column(spark, sf_dir):
+    """A column without values scores 0 and counts in the mean."""
+    found = D.feature_drift(sales_measures(spark, sf_dir).withColumn("nothing", F.lit(None).cast("double")))
+    return found.select("overall_score", F.explode("per_feature_scores").alias("feature", "score"))
+
+
 MOVES = """moves AS (
     SELECT feature, (least(abs(mc - mr) / (abs(mr) + 1e-9), 1) + least(abs(sc - sr) / (sr + 1e-9), 1)) / 2 AS mean_std FROM (
         SELECT feature, avg(value) FILTER (half = 'reference') AS mr, avg(value) FILTER (half = 'current') AS mc,
@@ -134,6 +145,19 @@ def distribution_drift(spark, sf_dir):
     return D.distribution_drift(_sales(spark, sf_dir))
 
 
+@query(
+    "distribution_drift_empty_column",
+    with_(
+        MEASURES, halves_cte("measures"), "long AS (SELECT half, 'target' AS feature, target AS value FROM halves)", MOVES, KS,
+        f"""SELECT round(score, 6) AS drift_score, {STATUS} AS status, true AS ks_used, 2 AS n_features FROM (
+            SELECT 0.5 * (sum(mean_std) / 2) + 0.5 * avg(ks) AS score FROM moves m JOIN distances d ON m.feature = d.feature)""",
+    ),
+)
+def distribution_drift_empty_column(spark, sf_dir):
+    panel = sales_measures(spark, sf_dir).select("entity", "date", "target", F.lit(None).cast("double").alias("Customers"))
+    return D.distribution_drift(panel)
+
+
 ENTITY_DRIFT = (
     """series_halves AS (
         SELECT *, CASE WHEN rn <= n // 2 THEN 'reference' ELSE 'current' END AS half FROM (
@@ -148,7 +172,11 @@ ENTITY_DRIFT = (
 
 @query(
     "distribution_drift_by_entity",
-    with_(SALES, *ENTITY_DRIFT, f"SELECT entity, round(score, 6) AS drift_score, {STATUS} AS status, true AS ks_used, 1 AS n_features FROM entity_drift"),
+    with_(
+        SALES, *ENTITY_DRIFT,
+        f"""SELECT entity, round(score, 6) AS drift_score, {STATUS} AS status, true AS ks_used, 1 AS n_features FROM entity_drift
+            UNION ALL SELECT entity, NULL, 'not_enough_rows', false, 1 FROM sales GROUP BY entity HAVING count(*) // 2 < 20""",
+    ),
 )
 def distribution_drift_by_entity(spark, sf_dir):
     return D.distribution_drift_by_entity(_sales(spark, sf_dir))

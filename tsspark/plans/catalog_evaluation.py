@@ -158,6 +158,12 @@ CAPPED = "capped AS (SELECT * FROM points ORDER BY date DESC, entity DESC LIMIT
 
 @query("cap_history", with_(*PAIRS, POINTS, CAPPED, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, ape FROM capped"), digits=8)
 def cap_history(spark, sf_dir):
+    return H.cap_history(error_history(spark, sf_dir), limit=5000)
+
+
+@query("full_history", with_(*PAIRS, POINTS, "SELECT entity, CAST(date AS VARCHAR) AS date, abs_error, ape FROM points"), digits=8)
+def full_history(spark, sf_dir):
+    """Without a limit every point stays."""
     return H.cap_history(error_history(spark, sf_dir))
 
 
@@ -177,9 +183,10 @@ def rolling_error_series(spark, sf_dir):
     return H.rolling_error_series(error_history(spark, sf_dir), 7)
 
 
-@query("rolling_error_series_all", with_(*PAIRS, POINTS, CAPPED, rolled_sql("capped", 90, "", "date, entity")))
+@query("rolling_error_series_all", with_(*PAIRS, POINTS, rolled_sql("points", 365, "", "date, entity")))
 def rolling_error_series_all(spark, sf_dir):
-    return H.rolling_error_series(H.cap_history(error_history(spark, sf_dir)), 365, per_entity=False)
+    """Over the whole history of all entities, in small blocks."""
+    return H.rolling_error_series(error_history(spark, sf_dir), 365, per_entity=False, bounds=(2, None), block=5000)
 
 
 # ---- backtests -------------------------------------------------------------------------------------
@@ -220,8 +227,8 @@ def backtest_ctes(panel: str, horizon: int, splits: int, strict: bool = False) -
             JOIN placed a ON a.entity = c.entity AND a.rn > c.cutoff AND a.rn <= c.cutoff + {horizon} AND a.date - h.date <= {horizon}
             JOIN placed b ON b.entity = c.entity AND b.rn = c.cutoff - 6 + (a.date - h.date - 1) % 7)""",
         f"""splits AS (
-            SELECT entity, split, cutoff_date, count(*) AS horizon, round({RMSE_SQL}, 4) AS rmse, round({MAE_SQL}, 4) AS mae,
-                   round(avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * 100, 2) AS mape
+            SELECT entity, split, cutoff_date, count(*) AS horizon, CAST(format('{{:.4f}}', {RMSE_SQL}) AS DOUBLE) AS rmse, CAST(format('{{:.4f}}', {MAE_SQL}) AS DOUBLE) AS mae,
+                   CAST(format('{{:.2f}}', avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * 100) AS DOUBLE) AS mape
             FROM scored GROUP BY ALL)""",
     )
 

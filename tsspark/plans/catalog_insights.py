@@ -82,7 +82,7 @@ def step_anomalies(spark, sf_dir):
 
 
 DESCRIBED = """entity, n_points, trend, round(slope, 4) + 0.0 AS slope_normalized, round(cv, 4) AS coefficient_of_variation, volatility,
-    n_changes AS n_change_points, array_to_string(changes[1:10], ',') AS change_point_indices"""
+    n_changes AS n_change_points, array_to_string(changes, ',') AS change_point_indices"""
 
 
 @query("trend_label", with_(*MEASURED, f"SELECT {DESCRIBED} FROM described"))
@@ -268,6 +268,21 @@ def insight_context(spark, sf_dir):
     ),
 )
 def recent_points(spark, sf_dir):
+    series = _sales(spark, sf_dir).select(F.col("entity").alias("entity_id"), "date", F.col("target").alias("y_pred"))
+    kept = I.recent_points(series, limit=100)
+    return kept.select("entity_id", F.inline("points"), "n_points_total", "n_points_included", "truncated")
+
+
+@query(
+    "all_points",
+    with_(
+        SALES,
+        """SELECT entity AS entity_id, CAST(date AS VARCHAR) AS date, target AS y_pred, total AS n_points_total, total AS n_points_included,
+                  false AS truncated
+           FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY entity) AS total FROM sales)""",
+    ),
+)
+def all_points(spark, sf_dir):
     series = _sales(spark, sf_dir).select(F.col("entity").alias("entity_id"), "date", F.col("target").alias("y_pred"))
     kept = I.recent_points(series)
     return kept.select("entity_id", F.inline("points"), "n_points_total", "n_points_included", "truncated")

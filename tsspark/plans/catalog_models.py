@@ -146,8 +146,8 @@ def _naive_with_bounds(spark, sf_dir):
     return FC.with_interval(FC.seasonal_naive(_sales(spark, sf_dir), HORIZON), spread)
 
 
-BOUNDS = """CASE WHEN residual_std > 0 THEN round(y_pred - 1.96 * residual_std, 2) END AS confidence_low,
-            CASE WHEN residual_std > 0 THEN round(y_pred + 1.96 * residual_std, 2) END AS confidence_high"""
+BOUNDS = """CASE WHEN residual_std > 0 THEN CAST(format('{:.2f}', y_pred - 1.96 * residual_std) AS DOUBLE) END AS confidence_low,
+            CASE WHEN residual_std > 0 THEN CAST(format('{:.2f}', y_pred + 1.96 * residual_std) AS DOUBLE) END AS confidence_high"""
 
 
 @query("prediction_interval", with_(*SPREAD_CTES, naive_cte("sales", HORIZON), f"SELECT {NAIVE_KEYS}, {BOUNDS} FROM naive, spread"))

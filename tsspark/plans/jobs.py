@@ -37,8 +37,9 @@ def _panel_schema(settings: Settings) -> T.StructType:
 def clean_job(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> DataFrame:
     names, schema = settings.columns, _panel_schema(settings)
     if args.mode == "store":
-        # "keep the first" means the row order of the sales file
-        numbered = files.read_sales(spark, args.input).withColumn("row_order", F.monotonically_increasing_id())
+        # "keep the first" means the row order of the sales files by name; splits are not read in that order
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        numbered = files.read_sales(spark, args.input).withColumn("row_order", place)
         out = etl.run_store_sales(numbered, files.read_store_master(spark, args.stores), ["row_order"]).drop("row_order")
         keys = {"entity": "store_id", "date": "date"}
     elif args.mode == "retail":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ SALES_SCHEMA = (
     .add("Date", T.DateType())
     .add("Store", T.LongType())
     .add("Sales", T.DoubleType())
+    .add("Customers", T.IntegerType())
     .add("Open", T.IntegerType())
     .add("Promo", T.IntegerType())
     .add("StateHoliday", T.StringType())
@@ -46,12 +47,36 @@ def _header(spark: SparkSession, path: str, encoding: str, options: dict) -> lis
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str, options: dict) -> DataFrame:
-    """CSV under the file's own header; columns outside ``schema`` stay text."""
+    """CSV under the file's own header; columns outside ``schema`` stay text.
+
+    A cell that holds text but no value of its column's type is an error, not a missing value: one aggregate
+    counts such cells per column. Adds nothing to the rows.
+    """
     types = {f.name: f.dataType for f in schema.fields}
     names = _header(spark, path, encoding, options)
-    found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    reader = spark.read.schema(found).options(header=True, encoding=encoding, **options)
-    return nan_to_null(reader.csv(path))
+    text = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).options(header=True, encoding=encoding, **options).csv(path)
+    typed = {n: types[n] for n in names if n in types and not isinstance(types[n], T.StringType)}
+    bad = bad_cells(text, typed)
+    if bad:
+        raise ValueError(f"Values that cannot be read in {path}: {bad}")
+    return nan_to_null(text.withColumns({n: _typed(n, kind) for n, kind in typed.items()}))
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    cell = F.trim(F.col(name))
+    cell = F.when(F.lower(cell).isin("", "nan"), F.lit(None)).otherwise(cell) if not isinstance(kind, T.StringType) else cell
+    if isinstance(kind, T.DateType):
+        return cell.try_cast("timestamp_ntz").cast("date")
+    return cell.try_cast(kind)
+
+
+def bad_cells(text: DataFrame, typed: dict[str, T.DataType]) -> dict[str, int]:
+    """Per column the number of cells with text that is no value of the column's type; columns without any are left out."""
+    if not typed:
+        return {}
+    present = {n: ~F.lower(F.trim(F.coalesce(F.col(n), F.lit("")))).isin("", "nan") for n in typed}
+    counts = text.agg(*[F.count_if(present[n] & _typed(n, kind).isNull()).alias(n) for n, kind in typed.items()]).first()
+    return {n: counts[n] for n in typed if counts[n]}
 
 
 def read_raw_csv(
