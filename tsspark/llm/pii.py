@@ -107,6 +107,13 @@ class Nodes(NamedTuple):
     label: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    bars: np.ndarray | float = 0.0
+
+
+def _bars(word: str, digits: str, shape: str) -> list[float]:
+    """What speaks against the labels before any training: a word that cannot be one, and a little against all of them."""
+    can = ("@" in word, shape == "9.9.9.9", 12 <= len(digits) <= 19, 3 <= len(digits) <= 15 or word.startswith("+"))
+    return [0.0, *(-1.0 if c else -20.0 for c in can)]
 
 
 def _place(name: str, value: object) -> int:
@@ -114,7 +121,7 @@ def _place(name: str, value: object) -> int:
 
 
 def nodes_of(rows: list[int], texts: list[str], spans: list[list]) -> Nodes:
-    row, starts, stops, features, labels, chain, skip = [], [], [], [], [], [], []
+    row, starts, stops, features, labels, chain, skip, bars = [], [], [], [], [], [], [], []
     for r, text, own in zip(rows, texts, spans, strict=True):
         last_end, last_seen, before = -2, {}, ""
         k = 0
@@ -145,8 +152,9 @@ def nodes_of(rows: list[int], texts: list[str], spans: list[list]) -> Nodes:
             starts.append(a)
             stops.append(b)
             labels.append(label)
+            bars.append(_bars(word, digits, shape))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Nodes(np.array(row, np.int64), np.array(starts, np.int64), np.array(stops, np.int64), np.array(features, np.int64).reshape(-1, 8), np.array(labels, np.int64), pairs(chain), pairs(skip))
+    return Nodes(np.array(row, np.int64), np.array(starts, np.int64), np.array(stops, np.int64), np.array(features, np.int64).reshape(-1, 8), np.array(labels, np.int64), pairs(chain), pairs(skip), np.array(bars).reshape(-1, len(LABELS)))
 
 
 class Field(NamedTuple):
@@ -156,7 +164,7 @@ class Field(NamedTuple):
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Label probabilities by loopy sum-product."""
-        unary = self.weights[nodes.features].sum(1)
+        unary = self.weights[nodes.features].sum(1) + nodes.bars
         edges = np.concatenate((nodes.chain, nodes.skip))
         if len(edges):
             potential = np.concatenate((np.repeat(self.chain[None], len(nodes.chain), 0), np.repeat(self.skip[None], len(nodes.skip), 0)))
