@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig, Settings
@@ -394,3 +396,54 @@ def save_and_load_model(spark, sf_dir):
 def backtest_gbt(spark, sf_dir):
     model, _ = fitted(spark, sf_dir)
     return TR.backtest_trees(tree_panel(spark, sf_dir), model, 7, 3)
+
+
+# ---- the same roll forward under a fixed linear model, which SQL can follow ------------------------
+
+LINEAR = "0.5 * lag_1 + 0.3 * lag_7 + 0.2 * rolling_mean_7"
+
+
+def linear_model() -> PipelineModel:
+    assembler = VectorAssembler(inputCols=["lag_1", "lag_7", "rolling_mean_7"], outputCol="features")
+    return PipelineModel([assembler, SQLTransformer(statement=f"SELECT *, {LINEAR} AS prediction FROM __THIS__")])
+
+
+def roll_cte(horizon: int) -> str:
+    return f"""roll AS (
+    SELECT entity, max(date) AS last_date, list(target ORDER BY date) AS hist, 0 AS step FROM sales GROUP BY entity
+    UNION ALL
+    SELECT entity, last_date, list_append(hist, 0.5 * hist[-1] + 0.3 * hist[-7] + 0.2 * list_avg(hist[-7:])), step + 1
+    FROM (SELECT entity, last_date, hist[-30:] AS hist, step FROM roll) WHERE step < {horizon})"""
+
+
+ROLLED = """SELECT entity AS entity_id, CAST(last_date + step AS VARCHAR) AS date, round(hist[-1], 6) AS y_pred, step{more} FROM roll{join} WHERE step > 0"""
+
+
+@query("recursive_forecast_linear", "WITH RECURSIVE " + with_(SALES, roll_cte(HORIZON), ROLLED.format(more="", join="")).removeprefix("WITH "))
+def recursive_forecast_linear(spark, sf_dir):
+    return TR.recursive_forecast(_sales(spark, sf_dir), linear_model(), HORIZON).drop("model_name")
+
+
+@query(
+    "batch_forecast_linear",
+    "WITH RECURSIVE " + with_(
+        SALES, roll_cte(30),
+        ROLLED.format(more=", CAST(format('{:.2f}', hist[-1] - 1.96 * 12.5) AS DOUBLE) + 0.0 AS confidence_low, CAST(format('{:.2f}', hist[-1] + 1.96 * 12.5) AS DOUBLE) + 0.0 AS confidence_high", join=""),
+    ).removeprefix("WITH "),
+)
+def batch_forecast_linear(spark, sf_dir):
+    return training.batch_forecast(_sales(spark, sf_dir), linear_model(), SETTINGS, 12.5).drop("model_name")
+
+
+@query("model_round_trip", with_(SALES, "SELECT count(DISTINCT entity) * 7 AS n_forecasts, CAST(0 AS BIGINT) AS n_different FROM sales"))
+def model_round_trip(spark, sf_dir):
+    """Forecasts that differ after the fitted model went through storage: none."""
+    model, _ = fitted(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    files.save_model(model, _naive_record(spark, sf_dir), path)
+    loaded, _ = files.load_model(spark, path, R.REGISTRY_SCHEMA)
+    keys = ["entity_id", "date", "step"]
+    before = TR.recursive_forecast(tree_panel(spark, sf_dir), model, 7).select(*keys, F.col("y_pred").alias("before"))
+    after = TR.recursive_forecast(tree_panel(spark, sf_dir), loaded, 7).select(*keys, F.col("y_pred").alias("after"))
+    both = before.join(after, keys, "full")
+    return both.agg(F.count(F.lit(1)).alias("n_forecasts"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"))
