@@ -38,6 +38,12 @@ def test_from_raw_file_to_forecast_and_backtest(spark, raw, tmp_path):
     made = spark.read.option("header", True).csv(out + ".csv")
     assert made.count() == 8 and made.where("confidence_low is null").isEmpty()
 
+    jobs.main(["forecast", *common, "--model", model, "--output", out + "2.csv", "--horizon", "4", "--ids", "A,Z"], spark)
+    made = spark.read.option("header", True).csv(out + "2.csv")
+    assert {r["entity_id"] for r in made.select("entity_id").collect()} == {"A"}
+    rejects = spark.read.parquet(out + "2.csv-rejects").collect()
+    assert [(r["entity"], r["reason"]) for r in rejects] == [("Z", "unknown_id")]
+
     for extra in ([], ["--model", model]):
         report = jobs.main(["backtest", *common, *extra, "--output", scratch_path(spark, "splits"), "--horizon", "5"], spark).first()
         assert report["splits"] == 6 and report["mae"] >= 0
@@ -52,3 +58,27 @@ def test_other_step_length(frame, days):
     df = frame([(d, "A", float(i)) for i, d in enumerate(days("2024-01-01", 7))], "date date, entity string, target double")
     out = seasonal_naive(df, 2, step_days=7).orderBy("step").collect()
     assert [str(r["date"]) for r in out] == ["2024-01-14", "2024-01-21"]
+
+
+def test_cleaning_options(spark, raw, tmp_path):
+    settings = tmp_path / "clean.json"
+    settings.write_text(json.dumps({"clean": {"clip_upper": 52.0, "augment": True, "deduplicate": True}, "monitor": {"mape_alert": 0.2}}))
+    out = scratch_path(spark, "processed")
+    jobs.main(["clean", "--mode", "retail", "--input", raw, "--output", out, "--settings", str(settings)], spark)
+    panel = spark.read.parquet(out)
+    assert "augmentation_type" in panel.columns and panel.where("target_original > 52").isEmpty()
+    doubled = scratch_path(spark, "raw")
+    spark.read.text(raw).unionAll(spark.read.text(raw).where("value not like 'entity%'")).coalesce(1).write.text(doubled)
+    jobs.main(["clean", "--mode", "generic", "--input", doubled, "--output", out + "2", "--settings", str(settings), "--no-validate"], spark)
+    assert spark.read.parquet(out + "2").count() == 90
+
+
+def test_percent_settings_and_bad_cells(spark, tmp_path):
+    from tsspark.config import Settings, overlay
+
+    assert overlay(Settings(), {"monitor": {"mape_alert": 0.2}}).monitor.mape_alert == 20.0
+    assert overlay(Settings(), {"monitor": {"mape_alert": 15}}).monitor.mape_alert == 15
+    path = scratch_path(spark, "bad")
+    spark.createDataFrame([("entity,date,target",), ("A,2024-01-01,abc",), ("A,2024-01-02,",)], "value string").coalesce(1).write.text(path)
+    with pytest.raises(ValueError, match="target"):
+        jobs.main(["clean", "--mode", "retail", "--input", path, "--output", "unused"], spark)

@@ -68,6 +68,24 @@ class MonitorConfig:
     drift_enabled: bool = True
 
 
+@dataclass(frozen=True)
+class CleanConfig:
+    """What the cleaning job does beyond its mode; ``augment`` is off unless asked for."""
+
+    timezone: str | None = None
+    deduplicate: bool = False
+    span: str = "per_entity"
+    strategy: str = "forward_fill"
+    clip_lower: float | None = None
+    clip_upper: float | None = None
+    clip_by_quartiles: bool = False
+    augment: bool = False
+    seed: int = 42
+    missing_blocks: bool = False
+    noise_shift: bool = True
+    trend_change: bool = False
+
+
 @dataclass(frozen=True)
 class Settings:
     columns: PanelColumns = field(default_factory=PanelColumns)
@@ -76,6 +94,7 @@ class Settings:
     forecast: ForecastConfig = field(default_factory=ForecastConfig)
     promotion: PromotionConfig = field(default_factory=PromotionConfig)
     monitor: MonitorConfig = field(default_factory=MonitorConfig)
+    clean: CleanConfig = field(default_factory=CleanConfig)
     validation_share: float = 0.2
 
 

@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig, TreeConfig
-from tsspark.operators.backtest import cutoff_rows, score_splits
+from tsspark.operators.backtest import DEFAULTS, cutoff_rows, score_splits
 from tsspark.operators.features import calendar_columns, drop_warmup, engineered
 from tsspark.operators.forecast import last_rows
 from tsspark.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
-# Fixed value: how many importances a run record lists.
 STEPS_PER_CUT = 5
 HISTORY_MARGIN = 5
 
@@ -170,7 +169,8 @@ def backtest_trees(
     """Split metrics of a fitted model, not refitted per split: one state row per (entity, split)."""
     exogenous = tuple(f for f in model_features(model) if not engineered(f))
     tail = config.lookback + HISTORY_MARGIN
-    cut = cutoff_rows(df, horizon, n_splits, tail, entity, date, target, strict=strict, extra=exogenous)
+    first = max(max(config.lags, default=0), DEFAULTS.min_history)  # no split may lack a lag
+    cut = cutoff_rows(df, horizon, n_splits, tail, entity, date, target, first=first, strict=strict, extra=exogenous)
     keys = [entity, "split"]
     made = roll_forward(cut.drop("ahead"), model, horizon, keys, config)
     ahead = cut.select(*keys, "last_date", F.inline("ahead").alias("date", "y_true")).where(F.col("y_true").isNotNull())
