@@ -31,6 +31,7 @@ from tsspark.llm.common import in_batches, texts_of, word_hashes, word_lists
 PLACES = 1 << 20
 #: Labelled rows that the fit may use.
 MAX_LABELLED = 20_000
+SCREEN = 2.5
 LETTERS = 28  # word end, a-z, any other letter
 
 #: Characters and the letters they often stand for.
@@ -189,11 +190,17 @@ def features(texts: pa.Array, model: CharModel) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(out_rows), (np.concatenate(out) % np.uint64(PLACES)).astype(np.int64)
 
 
-def _fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 5e-5, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features with an L1 penalty: full-batch proximal AdaGrad."""
+def _fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-5, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features with an L1 penalty: full-batch proximal AdaGrad.
+
+    Weights are kept at 0 or above: a word speaks for toxicity or not at all, and plain words can't buy a bad one off.
+    Features whose labels differ from the average by less than ``SCREEN`` standard errors are left out first.
+    """
     used, compact = np.unique(places, return_inverse=True)
-    common = np.bincount(compact, minlength=len(used)) >= max(2, len(y) // 4000)  # rarer words carry no weight anyway
-    kept = common[compact]
+    held, toxic = np.bincount(compact, minlength=len(used)), np.bincount(compact, weights=y[rows], minlength=len(used))
+    spread = np.sqrt(np.maximum(held * y.mean() * (1 - y.mean()), 1e-12))
+    telling = (held >= 2) & (np.abs(toxic - held * y.mean()) >= SCREEN * spread)
+    kept = telling[compact]
     rows, compact = rows[kept], compact[kept]
     w, squares, n = np.zeros(len(used)), np.full(len(used), 1e-12), len(y)
     share = min(max(y.mean(), 1 / (n + 2)), 1 - 1 / (n + 2))
@@ -206,7 +213,7 @@ def _fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, rounds: int = 400,
         squares += grad * grad
         step = rate / np.sqrt(squares)
         w = w - step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        w = np.maximum(w - step * penalty, 0)
         b_squares += error.mean() ** 2
         b -= 0.1 * rate / math.sqrt(b_squares) * error.mean()
     full = np.zeros(PLACES)
