@@ -108,7 +108,8 @@ def test_bands(spark):
 
 def test_recent_points_keep_the_newest(spark):
     df = spark.range(250).select(F.lit("a").alias("entity_id"), F.col("id").alias("date"), F.col("id").cast("double").alias("y_pred"))
-    row = I.recent_points(df).first()
+    assert I.recent_points(df).first()["n_points_included"] == 250
+    row = I.recent_points(df, limit=100).first()
     assert (row["n_points_total"], row["n_points_included"], row["truncated"]) == (250, 100, True)
     assert [row["points"][0]["date"], row["points"][-1]["date"]] == [150, 249]
 
