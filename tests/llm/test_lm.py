@@ -88,10 +88,8 @@ def test_same_as_brute_force(documents, tables, spark, corpus):
     check(got, rows)
 
 
-def test_many_blocks_and_buckets(documents, corpus, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_CHARS", 700)
-    monkeypatch.setattr(lm, "BUCKET_ENTRIES", 60)
-    check({r["doc_id"]: r for r in lm.scored(documents(corpus, 3)).collect()}, corpus)
+def test_many_blocks_and_buckets(documents, corpus):
+    check({r["doc_id"]: r for r in lm.scored(documents(corpus, 3), block_chars=700, bucket_entries=60).collect()}, corpus)
 
 
 def test_model_beats_the_base_on_held_out_text(documents):

@@ -255,20 +255,20 @@ def fit_weights(cells: list[tuple], order: int, rounds: int = 50) -> dict[int, l
     return weights
 
 
-def scored(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", add: float = 0.1) -> DataFrame:
+def scored(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", add: float = 0.1, block_chars: int = BLOCK_CHARS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """Per row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score, both as log10 of probabilities."""
     kind = dict(df.dtypes)[key]
     findable(df.sparkSession)
     placed = _placed(df, key, text)
     chars = placed.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 * (order - 1 + 0.3) / BUCKET_ENTRIES)))))
-    got = stored(answers(block_rows(placed, order, bits)), "counts")
+    bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 * (order - 1 + 0.3) / bucket_entries)))))
+    got = stored(answers(block_rows(placed, order, bits, block_chars)), "counts")
     sums = got.agg(*[F.sum(c).alias(c) for c in ("distinct", "distinct_kept", "tokens", "tokens_kept", "documents", "documents_kept")]).first()
     full = Totals(*[int(sums[c] or 0) for c in ("tokens", "distinct", "documents")])
     kept = Totals(*[int(sums[f"{c}_kept"] or 0) for c in ("tokens", "distinct", "documents")])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _dealt(_small(batches), BLOCK_CHARS):
+        for block, batch in _dealt(_small(batches), block_chars):
             column = pa.array(np.full(batch.num_rows, np.uint64(block)).view(np.int64))
             yield pa.RecordBatch.from_arrays([column, batch.column("kind"), batch.column("key"), batch.column("text")], ["block", "kind", "key", "text"])
 

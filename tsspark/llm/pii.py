@@ -232,8 +232,11 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", max_doc
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.list_(pa.int32())), pa.array(counts, pa.int64())], ["part", "what", "n"])
 
     def fit(batches):
-        table = pa.Table.from_batches(list(batches)).to_pydict()
-        part = {name: sorted((tuple(w), n) for p, w, n in zip(table["part"], table["what"], table["n"], strict=True) if p == name) for name in ("node", "chain", "skip")} if table else {}
+        full = [b for b in batches if b.num_rows]
+        if not full:
+            return
+        table = pa.Table.from_batches(full).to_pydict()
+        part = {name: sorted((tuple(w), n) for p, w, n in zip(table["part"], table["what"], table["n"], strict=True) if p == name) for name in ("node", "chain", "skip")}
         seen = np.array([w for w, _ in part["node"]], np.int64).reshape(-1, 9)
         weights = _softmax_fit(seen[:, :8], seen[:, 8], np.array([n for _, n in part["node"]], float))
         out = [("node", p, k, weights[p, k]) for p, k in zip(*np.nonzero(weights), strict=True)]

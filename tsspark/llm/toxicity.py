@@ -64,7 +64,7 @@ class CharModel:
     def restore(self, raw: str) -> str:
         """The cheapest reading of ``raw`` (lower case); blanks in the answer are word breaks."""
         if raw not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             self.seen[raw] = self._viterbi(raw)
         return self.seen[raw]
@@ -240,9 +240,9 @@ def train(documents: DataFrame, labels: DataFrame, may_learn: Column, key: str =
         return pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("y"), lists], ["key", "y", "places"])
 
     def fit(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("key", "ascending")])
+        full = [b for b in batches if b.num_rows]
+        if full:
+            table = pa.Table.from_batches(full).sort_by([("key", "ascending")])
             lists = table["places"].combine_chunks()
             lengths = pc.list_value_length(lists).to_numpy()
             w, b = _fit(np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(), table["y"].to_numpy())
