@@ -2,7 +2,6 @@ import re
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 from tsspark.llm import neardup
 from tsspark.llm.components import components
@@ -48,9 +47,14 @@ def test_chain_of_copies_is_one_component(documents):
     assert judged(documents(rows), 2) == want
 
 
-def test_large_group_of_near_copies(documents):
+@pytest.mark.parametrize("crowd", [3, 64, 10_000])
+def test_large_group_of_near_copies(documents, monkeypatch, crowd):
+    """The same by blocks and by prefixes, also in many small blocks."""
     import random
 
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "CROWD_SHINGLES", 3_000)
+
     rng = random.Random(3)
     base = [f"b{k}" for k in range(120)]
     rows = []
@@ -95,4 +99,3 @@ def test_components(spark):
     assert set(got) == {*range(41), 100, 101, 102}
     assert len({got[k] for k in range(41)}) == 1 and len({got[k] for k in (100, 101, 102)}) == 1 and got[0] != got[100]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-    assert F is not None

@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows that a Python task holds at once are at most this many characters, or one row.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 def findable(spark: SparkSession) -> None:
@@ -52,6 +53,9 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
+                del part, out
+            del batch
+            pa.default_memory_pool().release_unused()  # idle workers share the executor's memory with the next stage
 
     findable(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -78,7 +82,7 @@ def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
     """All words of the texts one after another, and where each text's words begin (one more entry at the end)."""
     if lower:
         texts = pc.ascii_lower(texts)
-    lists = pc.split_pattern_regex(texts, BLANK_RUN)
+    lists = pc.ascii_split_whitespace(texts)  # the same six characters
     words = lists.flatten()
     starts = lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
@@ -90,10 +94,9 @@ def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; equal words are hashed once."""
-    import xxhash
-
     coded = words.dictionary_encode()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer() if w.as_buffer() is not None else b"") for w in coded.dictionary.cast(pa.large_binary())), np.uint64, len(coded.dictionary))
+    values = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
     return table[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
 
 
