@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document, with the digests that show the round trip."""
     rank_file, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, rank_file, pattern), rank_file, pattern)
+    both = bpe.transcode(docs, rank_file, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *bpe.digests())
 
 

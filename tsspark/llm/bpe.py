@@ -76,6 +76,25 @@ def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") ->
     return in_batches(df.select(F.col(key).alias("key"), "ids"), work, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
 
 
+def transcode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``ids`` and ``decoded`` in one pass: the ids of each whole text, and the bytes that these ids stand for."""
+    kind = dict(df.dtypes)[key]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = encoding(rank_file, pattern)
+        found, raw = [], []
+        for text in texts_of(batch).to_pylist():
+            ids = np.concatenate([code.encode_to_numpy(p) for p in parts(text)]) if text else np.empty(0, np.uint32)
+            found.append(ids)
+            raw.append(code.decode_bytes(ids.tolist()))
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+        return pa.RecordBatch.from_arrays([batch.column("key"), list_column(flat, starts, pa.int32()), pa.array(raw, pa.binary())], ["key", "ids", "decoded"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return in_batches(rows, work, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
+
+
 def digests() -> list[Column]:
     """Lower-case SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
     return [F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
@@ -83,5 +102,4 @@ def digests() -> list[Column]:
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Per document: number of ids, and digests of the ids and of the bytes they decode to."""
-    both = decode(encode(df, rank_file, pattern, key), rank_file, pattern, key)
-    return both.select(key, F.size("ids").cast("long").alias("n_tokens"), *digests())
+    return transcode(df, rank_file, pattern, key).select(key, F.size("ids").cast("long").alias("n_tokens"), *digests())
