@@ -106,6 +106,13 @@ def test_bands(spark):
     assert got == [("high", "none"), ("elevated", "below"), ("reasonable", "elevated"), (None, None)]
 
 
+def test_all_known_metrics_are_named(spark):
+    series = spark.createDataFrame([("a", s, 10.0 + s) for s in range(1, 6)], "entity_id string, step int, y_pred double")
+    metrics = spark.createDataFrame([("a", 1.5, 2.0, 2.5)], "entity_id string, mae double, mae_val double, rmse_val double")
+    texts = " ".join(str(v) for v in I.insight_text(series, metrics).first())
+    assert "mae=1.5; mae_val=2; rmse_val=2.5." in texts
+
+
 def test_recent_points_keep_the_newest(spark):
     df = spark.range(250).select(F.lit("a").alias("entity_id"), F.col("id").alias("date"), F.col("id").cast("double").alias("y_pred"))
     assert I.recent_points(df).first()["n_points_included"] == 250

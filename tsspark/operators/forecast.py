@@ -18,7 +18,7 @@ def split_date(df: DataFrame, share: float, date: str = "date") -> Column:
     """
     if not 0 < share < 1:
         return F.lit(None).cast("date")
-    dates = F.sort_array(F.collect_set(date))
+    dates = F.sort_array(F.collect_set(F.col(date).cast("date")))
     cut = F.floor(F.size(dates) * F.lit(1 - share)).cast("int")
     return df.agg(F.when(F.size(dates) >= 2, F.get(dates, cut)).alias("cutoff")).scalar()
 

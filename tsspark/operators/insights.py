@@ -10,6 +10,9 @@ from tsspark.functions import texts
 from tsspark.functions.rounding import round_stored
 from tsspark.functions.missing import is_finite
 
+# Metrics that the text names, in this order.
+METRIC_NAMES = ("mae", "rmse", "mape", "mae_val", "rmse_val")
+
 # Thresholds of the rules.
 MARGIN = 1e-9
 NOISE = 1e-12
@@ -125,7 +128,7 @@ def insight_confidence(series: DataFrame, entity: str = "entity_id", step: str =
 def _metrics_text(metrics: DataFrame | None) -> Column:
     if metrics is None:
         return F.lit(texts.NO_METRICS)
-    named = [c for c in ("mae", "rmse", "mape") if c in metrics.columns]
+    named = [c for c in METRIC_NAMES if c in metrics.columns]
     parts = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), texts.general(F.col(c)))) for c in named]))
     return (
         F.when(F.col("has_metrics").isNull(), F.lit(texts.NO_METRICS))
@@ -144,7 +147,7 @@ def insight_text(
     """(entity, summary, insights, confidence); ``metrics`` is one optional row per entity."""
     m = series_measures(series, entity, step, value).withColumn("shape", _shape())
     if metrics is not None:
-        kept = [c for c in ("mae", "rmse", "mape") if c in metrics.columns]
+        kept = [c for c in METRIC_NAMES if c in metrics.columns]
         m = m.join(metrics.select(entity, *kept, F.lit(True).alias("has_metrics")), entity, "left")
     slope, cv = texts.fixed(F.col("slope"), 3), F.col("cv")
 
