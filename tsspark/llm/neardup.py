@@ -127,7 +127,7 @@ def crowded(mixed_up: DataFrame, label: DataFrame) -> DataFrame:
     """(main, node, n, component, outside): large components, and what shares an open bucket that they are the main one of."""
     large = label.groupBy("component").count().where(F.col("count") >= CROWD).select(F.col("component").alias("main"))
     held = mixed_up.groupBy("main", "node").agg(F.first("n").alias("n"), F.first("component").alias("component"))  # one row for all buckets
-    return held.join(large, "main", "left_semi").withColumn("outside", F.col("component") != F.col("main"))
+    return held.join(large, "main").withColumn("outside", F.col("component") != F.col("main"))
 
 
 def crowd_links(near: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
