@@ -73,5 +73,23 @@ def test_redaction(clashing, tmp_path):
     assert texts[7] == "nothing to see" and texts[9] is None
 
 
+def test_private_keys_go_with_their_bodies(documents, tmp_path):
+    body = ["MIIEowIBAAKCAQEA" + "aB3/x+Zq" * 6, "Qk9EWQ" + "9Lm0+/Rs" * 7, "c2hvcnQ="]
+    names = ["PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "SSH2 PRIVATE KEY"]
+    whole = [f"a -----BEGIN {n}-----{x}-----END {n}----- z" for n in names for x in (f"{br}{br.join(body)}{br}" for br in ("\n", "\r\n", "\\n", " ", "\n> ", '\\n" +\n  "'))]
+    fields = ["a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n" + "\n".join(body) + "\n-----END RSA PRIVATE KEY----- z"]
+    cut = [f"a -----BEGIN {names[3]}-----{f}{br}{br.join(body)}{tail}" for br in ("\n", "\r\n", "\\n", " ", "\n# ") for tail in ("", "\nplain words z") for f in ("", "\nVersion: 2")]
+    other = ["a -----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body) + "\nno end here\n-----BEGIN CERTIFICATE-----\nz\n-----END CERTIFICATE-----"]
+    bare = ["a -----BEGIN RSA PRIVATE KEY----- opens a key z", "-----BEGIN EC PRIVATE KEY-----" * 20000 + "-" * 200000]
+    texts = whole + fields + cut + other + bare
+    got = dict((r["doc_id"], r["text"]) for r in secrets.redact(documents(list(enumerate(texts))), str(tmp_path / "ledger")).collect())
+    for i, text in enumerate(texts[:-2]):
+        assert not any(line in got[i] for line in body) and "MIIE" not in got[i] and "Rs" not in got[i], (text, got[i])
+        assert got[i].startswith("a [secret]") and (text[-1] != "z" or got[i].endswith(" z")), (text, got[i])
+    assert [got[i] for i in range(len(whole) + 1)] == ["a [secret] z"] * (len(whole) + 1)
+    assert got[len(texts) - 3].endswith("no end here\n-----BEGIN CERTIFICATE-----\nz\n-----END CERTIFICATE-----")
+    assert got[len(texts) - 2] == "a [secret] opens a key z" and got[len(texts) - 1] == "[secret]" * 20000 + "-" * 200000
+
+
 def test_empty_table(documents, tmp_path):
     assert secrets.digest(secrets.scan(documents([]), str(tmp_path / "ledger"))).count() == 0

@@ -6,6 +6,8 @@ version that the ledger lacks, appends them, and joins the findings back to ever
 A copy, a rename or a revert therefore costs a hash, and a new rule version runs alone.
 
 Spans are code points, end exclusive. Null content counts as empty. A finding's position is the whole match.
+That of a private key reaches from its header through its END line, whatever stands between; where END is missing, through the
+header fields and lines of base64 that follow.
 """
 
 from __future__ import annotations
@@ -45,8 +47,16 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24),
 )
+_KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+# a line break and what opens the next line, also within a quoted literal, a comment or a reply
+_LINE = r"""[\x20\t"'+,>#*|]*+(?:\r?\n|\\r\\n|\\n)(?:[\s"'+,>#*|]|\\[nr])*+"""
+_LAST = r"""[A-Za-z0-9+/=]++(?=[\x20\t"'+,;]*(?:[\r\n\\]|\Z))"""
+_FIELDS = rf"(?:{_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*+"
+_BASE64 = rf"(?:(?:{_LINE}|\x20++)[A-Za-z0-9+/=]{{16,}}+(?:\x20++{_LAST})?|{_LINE}{_LAST})*+"
+# to the END line; where the next such line is none, the header fields and the lines of base64 that follow
+_BODY = rf"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END {_KEY}|{_FIELDS}{_BASE64})"
 EXTRA = (
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", 2, rf"-----BEGIN {_KEY}{_BODY}"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -60,7 +70,7 @@ def _spans(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int]]
 
 
 #: A cheap linear test that every text with a finding of the rule passes.
-_HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "url_login": "://[^/ ]+@"}
+_HINTS = {"private_key": rf"-----BEGIN {_KEY}", "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "url_login": "://[^/ ]+@"}
 
 
 def _scan(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
