@@ -121,3 +121,15 @@ def test_very_long_words_and_texts(chars):
     texts = pa.array(["x1" * 5000, "a " * 20000 + "1d10t", "1 2 3 " * 3000], pa.large_string())
     rows, places = toxicity.features(texts, chars)
     assert len(rows) == len(places) and set(rows.tolist()) == {0, 1, 2}
+
+
+def test_length_and_marks_hide_nothing(chars):
+    def times(text, word):
+        _, places = toxicity.features(pa.array([text], pa.large_string()), chars)
+        return int((places == int(toxicity.word_hashes(pa.array([word], pa.large_string()))[0] % np.uint64(toxicity.PLACES))).sum())
+
+    assert times("the idi" + "o" * 500 + "t on", "idiot") == 1  # stretched
+    assert times("-".join(".".join("moron") for _ in range(30)), "moron") >= 29  # joined by marks
+    for n in (9, 10, 40, 200):  # spaced out: no word is lost at a cut
+        assert times(" ".join("m o r o n" for _ in range(n)), "moron") == n
+    assert times("the i d i o t, on", "idiot") == times("the 'i d i o t' on", "idiot") == times("m o r o n, i d i o t!", "idiot") == 1

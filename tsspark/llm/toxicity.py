@@ -3,7 +3,8 @@
 Writers hide words by look-alike characters (1d10t), by spacing or dots (i d i o t, i.d.i.o.t) and by repetition
 (idiooot). Every suspicious word, and every run of three or more single characters, becomes a lattice of letters that
 each character may stand for, may drop, or may break at. A character trigram model, counted over the words of all
-documents, weighs the paths, and a Viterbi search takes the cheapest. Plain words are their own restoration.
+documents, weighs the paths, and a Viterbi search takes the cheapest, over the whole word or run however long: its cost is
+linear in the length. Plain words are their own restoration.
 
 The score is a logistic regression on the distinct restored words and their first four letters, hashed to a fixed
 number of places. It is fitted by one task on at most ``MAX_LABELLED`` labelled rows, chosen by a hash of the id; the
@@ -41,8 +42,8 @@ BETWEEN = " .-_*~'`,:;/\\#%&^="
 #: Costs of the channel, as negative log probabilities.
 LOOK, DROP, BREAK, REPEAT, STAY = 0.7, 0.4, 2.0, 0.6, 7.0
 _SUSPECT = r"\pL[^\pL\s]+\pL|^[0-9@$!|+€(£]\pL|\pL[0-9@$]|^[0-9@$!|+]{3,}$|aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz"
-#: Longer runs than this are not words; they are kept as they are.
-MAX_WORD = 48
+#: Readings of longer stretches are not remembered; they hardly come again.
+MAX_REMEMBERED = 200
 
 
 def _code(char: str) -> int:
@@ -63,6 +64,8 @@ class CharModel:
 
     def restore(self, raw: str) -> str:
         """The cheapest reading of ``raw`` (lower case); blanks in the answer are word breaks."""
+        if len(raw) > MAX_REMEMBERED:
+            return self._viterbi(raw)
         if raw not in self.seen:
             if len(self.seen) > 20_000:
                 self.seen.clear()
@@ -70,9 +73,10 @@ class CharModel:
         return self.seen[raw]
 
     def _viterbi(self, raw: str) -> str:
-        paths: dict[tuple, tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        """At most 40 states a character, each with its reading as (reading before, letter): linear in the length."""
+        paths: dict[tuple, tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for k, char in enumerate(raw):
-            nxt: dict[tuple, tuple[float, str]] = {}
+            nxt: dict[tuple, tuple[float, tuple | None]] = {}
 
             def offer(state, cost, out, nxt=nxt):
                 if state not in nxt or cost < nxt[state][0]:
@@ -87,16 +91,26 @@ class CharModel:
                     if char in BETWEEN or char in EDGES:
                         offer((p, q, last), cost + DROP, out)
                     if char in BETWEEN and q:
-                        offer((q, 0, ""), cost + BREAK + self.cost[p, q, 0], out + " ")
+                        offer((q, 0, ""), cost + BREAK + self.cost[p, q, 0], (out, " "))
                     if char not in BETWEEN:
                         options.append((char, STAY))
                 for letter, extra in options:
                     c = _code(letter)
-                    offer((q, c, letter), cost + extra + self.cost[p, q, c], out + letter)
+                    offer((q, c, letter), cost + extra + self.cost[p, q, c], (out, letter))
                 if again and last and (char == last or last in LOOKS.get(char, "")):
                     offer((p, q, last), cost + REPEAT, out)
             paths = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:40]) if len(nxt) > 40 else nxt
-        return min(((cost + self.cost[p, q, 0], out) for (p, q, _), (cost, out) in paths.items()), default=(0, raw))[1]
+        ends = [(cost + self.cost[p, q, 0], out) for (p, q, _), (cost, out) in paths.items()]
+        least = min((cost for cost, _ in ends), default=0)
+        return min((_written(out) for cost, out in ends if cost == least), default=raw)
+
+
+def _written(out: tuple | None) -> str:
+    letters = []
+    while out is not None:
+        out, letter = out
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Model(NamedTuple):
@@ -161,26 +175,25 @@ def features(texts: pa.Array, model: CharModel) -> tuple[np.ndarray, np.ndarray]
     if len(odd):
         restored = {}
         for k in odd.tolist():
-            raw = ends[k].as_py()
-            if len(raw) <= MAX_WORD:
-                restored[k] = model.restore(raw).split(" ")
+            restored[k] = model.restore(ends[k].as_py()).split(" ")
         at = np.flatnonzero(np.isin(index, list(restored)))
         for i in at.tolist():
             for word in restored[index[i]]:
                 extra_rows.append(rows[i])
                 extra_words.append(word)
-    single = (pc.utf8_length(table).to_numpy() == 1)[index]
+    # a letter with marks at its ends is a single one too
+    bare = pc.if_else(pc.equal(pc.utf8_length(table), 1), lowered, plain)
+    single = (pc.utf8_length(bare).to_numpy() == 1)[index]
     if single.any():
         fresh = np.concatenate(([True], (rows[1:] != rows[:-1]) | ~single[:-1] | ~single[1:]))
         begin = np.flatnonzero(fresh)
         length = np.diff(np.concatenate((begin, [len(single)])))
         for b, n in zip(begin.tolist(), length.tolist(), strict=True):
             if n >= 3 and single[b]:
-                raw = " ".join(lowered[int(j)].as_py() for j in index[b : b + n])
-                for k in range(0, len(raw), 2 * MAX_WORD):
-                    for word in model.restore(raw[k : k + 2 * MAX_WORD]).split(" "):
-                        extra_rows.append(rows[b])
-                        extra_words.append(word)
+                raw = " ".join(bare[int(j)].as_py() for j in index[b : b + n])
+                for word in model.restore(raw).split(" "):
+                    extra_rows.append(rows[b])
+                    extra_words.append(word)
     whole, heads = word_hashes(plain), word_hashes(_heads(plain))
     out_rows, out = [rows, rows], [whole[index], heads[index]]
     if extra_words:
