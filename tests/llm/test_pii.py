@@ -109,6 +109,45 @@ def test_skip_edges_tie_repeated_words():
     assert nodes.skip.tolist() == [[0, 1], [2, 3]]
 
 
+def test_evidence_reaches_all_repeats():
+    k = len(pii.LABELS)
+    skip = np.where(np.eye(k) > 0, 2.0, -2.0)
+    field = pii.Field(np.zeros((pii.PLACES, k)), np.zeros((k, k)), skip)
+    nodes = pii.nodes_of([0, 1], ["a lone 7", " and then ".join(["4111222233334444"] * 50)], [[], []])
+    bars = np.zeros((51, k))
+    bars[1, 3] = 5.0  # clear context at the first place alone
+    got = field.marginals(nodes._replace(bars=bars))
+    hub = np.exp(skip) @ np.exp(bars[1])
+    others = np.exp(skip).sum(1)
+    want = hub * others**48 @ np.exp(skip)
+    assert np.allclose(got[2:], want / want.sum(), atol=1e-6) and (got[1:].argmax(1) == 3).all()
+    assert np.allclose(got[0], 1 / k)
+
+
+def test_messages_settle_on_long_chains_and_loops():
+    rng = np.random.default_rng(5)
+    k, n = len(pii.LABELS), 300
+    field = pii.Field(rng.normal(size=(pii.PLACES, k)) / 3, rng.normal(size=(k, k)) + 2 * np.eye(k), 2 * np.eye(k))
+    chain = np.stack((np.arange(n - 1), np.arange(1, n)), 1)
+    nodes = pii.Nodes(np.zeros(n, int), np.arange(n), np.arange(n) + 1, rng.integers(0, pii.PLACES, (n, 8)), np.zeros(n, int), chain, np.empty((0, 2), int))
+    unary, step = np.exp(field.weights[nodes.features].sum(1)), np.exp(field.chain)
+    ahead, back = np.ones((n, k)), np.ones((n, k))
+    for i in range(1, n):
+        ahead[i] = (ahead[i - 1] * unary[i - 1]) @ step
+        ahead[i] /= ahead[i].sum()
+        back[n - 1 - i] = step @ (back[n - i] * unary[n - i])
+        back[n - 1 - i] /= back[n - 1 - i].sum()
+    want = ahead * unary * back
+    assert np.allclose(field.marginals(nodes), want / want.sum(1)[:, None], atol=1e-5)
+    loops = nodes._replace(skip=np.array([[i, i + 30] for i in range(n - 30)]))
+    got = field.marginals(loops)
+    rounds, pii.ROUNDS = pii.ROUNDS, 10 * pii.ROUNDS
+    try:
+        assert np.allclose(field.marginals(loops), got, atol=1e-5)
+    finally:
+        pii.ROUNDS = rounds
+
+
 def test_empty_table_null_ids_and_clashing_names(documents, clashing):
     assert pii.judged(documents([])).count() == 0
     got = pii.judged(clashing([(None, "a@b.c"), (1, None), (1, None)])).collect()

@@ -2,9 +2,11 @@
 
 The field's nodes are the words with a digit or ``@``; its labels are none, email, ip, card and phone. Neighbouring
 nodes share a potential, and so do repeated or similar words however far apart (the same digits, or the same
-characters without marks at the ends); of many equal words each is tied to the next one. Sum-product messages run
-over this loopy graph for ``ROUNDS`` rounds, all documents of a batch at once. A word that then is more likely
-personal than not, and that no pattern span touches, is added with the words of the same label next to it.
+characters without marks at the ends): two are tied to each other, more to a hub of their own, so all are two steps
+apart. Sum-product messages run over this loopy graph until those of a document move by less than ``TOLERANCE``, all
+documents of a batch at once. Only a document that never settles stops after ``ROUNDS``, with the messages it then has.
+A word that then is more likely personal than not, and that no pattern span touches, is added with the words of the same
+label next to it.
 
 The field is trained piecewise on what the patterns find: a softmax over word features for the nodes, and for the two
 kinds of edges the log odds of label pairs against chance. The training documents are a sample by hash of at most
@@ -32,7 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 MAX_DOCUMENTS = 5_000
 PLACES = 1 << 12
-ROUNDS = 8
+TOLERANCE = 1e-6
+ROUNDS = 1000
 FOUND = "array<struct<kind:string,start:int,stop:int,base:boolean>>"
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
 _CUE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
@@ -165,23 +168,52 @@ class Field(NamedTuple):
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Label probabilities by loopy sum-product."""
         unary = self.weights[nodes.features].sum(1) + nodes.bars
-        edges = np.concatenate((nodes.chain, nodes.skip))
-        if len(edges):
-            potential = np.concatenate((np.repeat(self.chain[None], len(nodes.chain), 0), np.repeat(self.skip[None], len(nodes.skip), 0)))
-            source = np.concatenate((edges[:, 0], edges[:, 1]))
-            target = np.concatenate((edges[:, 1], edges[:, 0]))
-            pair = np.concatenate((potential, potential.transpose(0, 2, 1)))
-            back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-            message = np.zeros((len(source), len(LABELS)))
-            for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, target, message)
-                out = belief[source] - message[back]
-                fresh = _logsum(out[:, :, None] + pair, 1)
-                message = 0.5 * message + 0.5 * (fresh - _logsum(fresh, 1)[:, None])
-            unary = unary.copy()
-            np.add.at(unary, target, message)
-        return np.exp(unary - _logsum(unary, 1)[:, None])
+        ties, hubs = _ties(nodes.skip, len(unary))
+        edges, kind = np.concatenate((nodes.chain, ties)), np.repeat([0, 1], [len(nodes.chain), len(ties)])
+        if not len(edges):
+            return np.exp(unary - _logsum(unary, 1)[:, None])
+        unary = np.concatenate((unary, np.zeros((hubs, len(LABELS)))))
+        row = nodes.row[edges[:, 0]]
+        pairs = np.array([[self.chain, self.skip], [self.chain.T, self.skip.T]])
+        message = np.zeros((2, len(edges), len(LABELS)))  # along each edge, and back
+        live = np.arange(len(edges))
+        settled = unary.copy()
+        for k in range(ROUNDS):
+            source, old = edges[live].T, message[:, live]
+            belief = settled.copy()
+            np.add.at(belief, source[::-1], old)
+            out = belief[source] - old[::-1]
+            fresh = np.stack([_logsum(out + pairs[..., j][:, kind[live]], 2) for j in range(len(LABELS))], 2)
+            move = fresh - _logsum(fresh, 2)[..., None] - old
+            message[:, live] += move * 0.5 ** (1 + k // 250)
+            going = np.unique(row[live][(np.abs(move) >= TOLERANCE).any((0, 2))])
+            if not len(going):
+                break
+            left = np.isin(row[live], going)
+            if 2 * left.sum() < len(left):  # documents share no edge, so the others are done
+                done = live[~left]
+                np.add.at(settled, edges[done].T[::-1], message[:, done])
+                live = live[left]
+        np.add.at(settled, edges[live].T[::-1], message[:, live])
+        settled = settled[: len(nodes.row)]
+        return np.exp(settled - _logsum(settled, 1)[:, None])
+
+
+def _ties(skip: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Edges among equal words from each one's to its next, and the number of hubs, which are numbered from ``n`` on."""
+    first: dict[int, int] = {}
+    groups: dict[int, list[int]] = {}
+    for a, b in skip[np.argsort(skip[:, 1], kind="stable")].tolist():
+        first[b] = head = first.get(a, a)
+        groups.setdefault(head, [head]).append(b)
+    out, hubs = [], 0
+    for members in groups.values():
+        if len(members) == 2:
+            out.append(tuple(members))
+        else:
+            out += [(m, n + hubs) for m in members]
+            hubs += 1
+    return np.array(out, np.int64).reshape(-1, 2), hubs
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
