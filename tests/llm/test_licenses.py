@@ -77,6 +77,29 @@ def test_repeats_and_windows():
             assert len(own) == 2
 
 
+def test_short_notices_word_for_word(documents):
+    lines = {
+        "see the MIT License, please": ("MIT License", "MIT name"), "// SPDX-License-Identifier: LGPL-2.1-or-later": ("SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX LGPL-2.1-or-later"),
+        "Licensed under CC BY-SA 3.0.": ("CC BY-SA 3.0", "CC-BY-SA-3.0 name"), "é🙂 (CC0 1.0 Universal)": ("CC0 1.0 Universal", "CC0-1.0 name"),
+        "at https://creativecommons.org/licenses/by/4.0/ now": ("https://creativecommons.org/licenses/by/4.0", "CC-BY-4.0 https"),
+    }
+    rows = list(enumerate([*lines, "the MIT of the License", "MIT", "License", "Released under the MIT License.", "New BSD License"]))
+    got = {r["doc_id"]: r["finds"] + r["notices"] for r in licenses.judged(documents(rows)).collect()}
+    for i, (text, (span, name)) in enumerate(lines.items()):
+        assert [f["license"] for f in got[i]] == [name] and text[got[i][0]["start"] : got[i][0]["stop"]].strip("(),./") == span, text
+    assert not any(got[k] for k in range(5, 8)) and [f["license"] for f in got[8]] == ["MIT"]
+    assert [f["license"] for f in got[9]] == ["BSD-3-Clause new"]
+
+
+def test_all_notices_of_the_table_are_found():
+    finder = licenses.Finder(licenses.TEMPLATES | licenses.SHORT)
+    names = [*licenses.TEMPLATES, *licenses.SHORT]
+    texts = [f"some words before {(licenses.TEMPLATES | licenses.SHORT)[n]} and after" for n in names]
+    found = finder.find(licenses.pa.array(texts, licenses.pa.large_string()))
+    assert all(n in [f["license"] for f in x] for n, x in zip(names, found, strict=True))
+    assert {"AGPL-3.0-notice", "LGPL-2.1-notice", "EPL-2.0-notice", "CC0-1.0-notice", "BSD-third-clause"} <= set(names)
+
+
 def test_empty_table_null_ids_and_clashing_names(documents, clashing):
     assert licenses.judged(documents([])).count() == 0
     rows = licenses.judged(clashing([(None, licenses.TEMPLATES["MIT"]), (1, None), (1, None), (2, "")])).collect()

@@ -12,9 +12,10 @@ Only windows around a hash that is some template's least one can collide, so the
 sketches the few windows around them. A candidate is confirmed when the window holds at least ``PERCENT`` of the
 template's shingles. Overlapping finds of a template are one, with the best share.
 
-Words are lower-cased and lose marks at their ends; tokens without letters or digits are left out. Templates need five
-words. Null and empty texts hold nothing. Spans are code points of the text, end exclusive. The templates are a list in
-the program, at most ``MAX_TEMPLATES``; they go to every task.
+Words are lower-cased and lose marks at their ends; tokens without letters or digits are left out. Templates of under five
+words must match word for word, the longest one at a place, and only where no longer find holds them. Null and
+empty texts hold nothing. Spans are code points of the text, end exclusive. The templates are a versioned table
+(``license_notices``), at most ``MAX_TEMPLATES``; they go to every task. Notices outside the table are not found.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.llm.common import chained, in_batches, texts_of, word_hashes, word_lists
+from tsspark.llm.license_notices import SHORT, TEMPLATES
 
 WIDTH = 5
 BANDS = 64
@@ -39,25 +41,6 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 FOUND = "array<struct<license:string,start:int,stop:int,percent:int>>"
 _KIND = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("percent", pa.int32())]))
 
-#: Public licence notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
-
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words that count, where each text's begin, and for each the place among all tokens of its text."""
     words, starts = word_lists(texts, lower=False)
@@ -81,11 +64,15 @@ class Finder:
     def __init__(self, templates: dict[str, str], bands: int = BANDS, percent: int = PERCENT):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are taken.")
-        self.bands, self.percent, self.templates, self.least = np.uint64(bands), percent, [], {}
+        self.bands, self.percent, self.templates, self.least, self.short = np.uint64(bands), percent, [], {}, {}
         for name, text in sorted(templates.items()):
             hashes, _, _ = _tokens(pa.array([text], pa.large_string()))
+            if not len(hashes):
+                raise ValueError(f"{name} has no words.")
             if len(hashes) < WIDTH:
-                raise ValueError(f"{name} has fewer than {WIDTH} words.")
+                self.short.setdefault(tuple(hashes.tolist()), len(self.templates))
+                self.templates.append(Template(name, hashes[:0], 0))
+                continue
             own = np.unique(chained(hashes, WIDTH))
             run = len(hashes) - WIDTH + 1
             for value in self._sketch(own).values():
@@ -94,6 +81,8 @@ class Finder:
         self.values = np.sort(np.array(list(self.least), np.uint64))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.first = np.zeros(1 << 20, bool)
+        self.first[[words[0] & ((1 << 20) - 1) for words in self.short]] = True
 
     def _sketch(self, shingles: np.ndarray) -> dict[int, int]:
         """The least hash of each bin that has one."""
@@ -128,8 +117,22 @@ class Finder:
                     percent = 100 * len(np.unique(own[shared])) // len(t.shingles)
                     if percent >= self.percent:
                         found[r].setdefault(number, []).append((start + int(shared[0]), start + int(shared[-1]) + WIDTH, percent))
+        self._find_short(hashes, at, found)
         return [self._spans(x, texts[r].as_py(), place[at[r] : at[r + 1]]) if x else [] for r, x in enumerate(found)]
 
+    def _find_short(self, hashes: np.ndarray, at: np.ndarray, found: list[dict[int, list]]) -> None:
+        hits = np.flatnonzero(self.first[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        row = np.searchsorted(at, hits, side="right") - 1
+        held = {}
+        for hit, r in zip(hits.tolist(), row.tolist(), strict=True):
+            if r not in held:
+                held[r] = [span for spans in found[r].values() for span in spans]
+            words, a = tuple(hashes[hit : min(hit + WIDTH - 1, int(at[r + 1]))].tolist()), hit - int(at[r])
+            size = next((n for n in range(len(words), 0, -1) if words[:n] in self.short), 0)
+            if size and not any(x <= a and a + size <= y for x, y, _ in held[r]):
+                found[r].setdefault(self.short[words[:size]], []).append((a, a + size, 100))
+                held[r].append((a, a + size, 100))
+
     def _spans(self, found: dict[int, list], text: str, place: np.ndarray) -> list[dict]:
         words = [m.span() for m in _TOKEN.finditer(text)]
         out = []
@@ -144,7 +147,7 @@ class Finder:
         return sorted(out, key=lambda x: (x["start"], x["license"]))
 
 
-def find(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", column: str = "licenses") -> DataFrame:
+def find(df: DataFrame, templates: dict[str, str] = TEMPLATES | SHORT, text: str = "text", column: str = "licenses") -> DataFrame:
     """The rows, all columns, and ``column``: the licences found, with span and share of the template. No shuffle."""
     finder = Finder(templates)
 
@@ -155,7 +158,14 @@ def find(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text
 
 
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, number of finds, the distinct licences by name, and the finds."""
+    """Per row: ``key``, number of finds, the distinct licences by name, the finds by shingles, and the notices word for word."""
     found = find(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
-    return found.select(F.col("key").alias(key), F.size("licenses").cast("long").alias("n_found"), F.array_join(names, ",").alias("names"), F.col("licenses").alias("finds"))
+    short = lambda x: x["license"].isin(list(SHORT))
+    return found.select(
+        F.col("key").alias(key),
+        F.size("licenses").cast("long").alias("n_found"),
+        F.array_join(names, ",").alias("names"),
+        F.filter("licenses", lambda x: ~short(x)).alias("finds"),
+        F.filter("licenses", short).alias("notices"),
+    )
