@@ -80,6 +80,19 @@ def test_items_in_several_parts(documents, spark, corpus, monkeypatch):
     assert {r["doc_id"]: r["item_ids"] for r in decontam.judged(documents(docs), benchmark).collect()} == want
 
 
+def test_short_items_are_matched_exactly(documents, spark):
+    items = [(1, "Who wrote  Hamlet?"), (2, "cat"), (3, "東京はどこですか"), (4, None), (5, " \n"), (None, "cat"), (6, "7+5")]
+    docs = [
+        (1, "q: who wrote\nhamlet? a: ..."), (2, "who wrot hamlet?"), (3, "a category, concat"), (4, "category (Cat)"), (5, "質問:東京はどこですかと聞いた"),
+        (6, "東京はどこで"), (7, "=7+5"), (8, "17+5"), (9, "cat"), (10, "cat\u0301 1cat"), (11, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: list(r["item_ids"]) for r in decontam.judged(documents(docs), benchmark).collect()}
+    assert got == {1: [1], 2: [], 3: [], 4: [2], 5: [3], 6: [], 7: [6], 8: [], 9: [2], 10: [], 11: []}
+    assert {r["doc_id"] for r in decontam.drop_contaminated(documents(docs), benchmark).collect()} == {2, 3, 6, 8, 10, 11}
+    assert sorted((r["item_id"] or 0) for r in decontam.left_out(benchmark).collect()) == [0, 4, 5]
+
+
 def test_myers_same_as_the_table():
     rng = random.Random(2)
     for _ in range(300):

@@ -8,13 +8,16 @@ distance, which gives the least distance of the whole item to any stretch of the
 nothing within the budget is missed, nothing beyond it is reported.
 
 Texts and items are lower-cased and their runs of white space become one blank; places refer to that form. Items
-that are null or shorter than ``least_chars`` name no source and are left out. Null and empty texts hold nothing.
+of under ``LEAST_CHARS`` characters have no budget and must stand at word borders; scripts written without blanks have
+a border everywhere. Only items without an id, null and blank ones are left out (``left_out``). Null and empty texts hold nothing.
 Equal items are reported each under its own id. The items go to the tasks in parts of at most ``PART_CHARS``
 characters, each part a scan of its own, so a benchmark of any size is handled in bounded memory.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 from tsspark.llm.common import in_batches, texts_of
 
 RATE = 0.1
+#: Items below this are matched exactly.
 LEAST_CHARS = 20
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 #: Characters of items in one automaton.
 PART_CHARS = 4_000_000
 GRAM = 3
@@ -37,6 +43,13 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _border(before: str, after: str) -> bool:
+    """Whether a word may end between two neighbouring characters; either is empty at an end of the text."""
+    if not before or not after or _NO_BLANKS.match(before) or _NO_BLANKS.match(after):
+        return True
+    return not (after.isalnum() and (before.isalnum() or unicodedata.combining(before)) or unicodedata.combining(after))
+
+
 def pieces(text: str, budget: int) -> list[tuple[int, int]]:
     """``budget + 1`` stretches of nearly equal length that cover the text."""
     n = budget + 1
@@ -73,7 +86,7 @@ class Matcher:
     """The automaton over the pieces of a part of the items; ``items``: (id, plain text)."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate), Counter(t[k : k + GRAM] for k in range(len(t) - GRAM + 1))) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= LEAST_CHARS else 0, Counter(t[k : k + GRAM] for k in range(len(t) - GRAM + 1))) for i, t in items]
         places: dict[str, list] = defaultdict(list)
         for number, (_, text, budget, _) in enumerate(self.items):
             for a, b in pieces(text, budget):
@@ -100,7 +113,9 @@ class Matcher:
                 low = max(0, start - budget)
                 window = text[low : start + len(item) + budget]
                 if window[start - low : start - low + len(item)] == item and start >= 0:
-                    best[number] = (0, start + len(item))
+                    stop = start + len(item)
+                    if len(item) >= LEAST_CHARS or _border(text[max(0, start - 1) : start], item[0]) and _border(item[-1], text[stop : stop + 1]):
+                        best[number] = (0, stop)
                     continue
                 shared = 0
                 left = dict(grams)
@@ -122,8 +137,8 @@ def _matcher(items: tuple, rate: float) -> Matcher:
     return Matcher(list(items), rate)
 
 
-def item_parts(benchmark: DataFrame, item: str = "item_id", text: str = "text", least_chars: int = LEAST_CHARS) -> list[tuple]:
-    """The items in plain form, in parts of bounded size."""
+def item_parts(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[tuple]:
+    """The items in plain form, in parts of bounded size; blank ones are left out."""
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     count = 1 + 2 * total // PART_CHARS if total > PART_CHARS else 1
@@ -131,10 +146,15 @@ def item_parts(benchmark: DataFrame, item: str = "item_id", text: str = "text",
     for part in range(count):
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == part).collect()
         found = sorted((r["i"], plain(r["t"])) for r in own)
-        out.append(tuple((i, t) for i, t in found if len(t) >= least_chars))
+        out.append(tuple((i, t) for i, t in found if t))
     return out
 
 
+def left_out(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of the benchmark that are looked for in no document: those without an id, null and blank ones."""
+    return benchmark.where(F.col(item).cast("long").isNull() | ~F.coalesce(F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False)))
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", column: str = "matches") -> DataFrame:
     """The documents, all columns, and ``column``: the items found, by id, with distance and end. No shuffle."""
     out = documents.withColumn(column, F.array().cast(FOUND))
