@@ -41,3 +41,15 @@ def test_sales_arrive_once(spark):
     stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(table)
     assert got.count() == 3 and got.select(F.count_distinct("entity", "date")).first()[0] == 3
+
+
+def test_late_sales_are_kept(spark):
+    from pyspark.sql import types as T
+
+    folder, table, progress = (scratch_path(spark, n) for n in ("csv", "panel", "progress"))
+    schema = T.StructType().add("entity", T.StringType()).add("date", T.DateType()).add("target", T.DoubleType())
+    for lines in (["A,2024-01-01,1", "A,2024-06-01,2"], ["A,2024-01-01,5", "B,2024-01-02,3", "B,2024-01-02,3", "B,nonsense,4"], ["A,2024-06-02,6"]):
+        spark.createDataFrame([(x,) for x in ["entity,date,target", *lines]], "value string").coalesce(1).write.mode("append").text(folder)
+        feeds.sales_sink(spark, folder, schema, table, progress).awaitTermination()
+    got = sorted((r["entity"], str(r["date"]), r["target"]) for r in feeds.current_sales(spark, table, schema).collect())
+    assert got == [("A", "2024-01-01", 5.0), ("A", "2024-06-01", 2.0), ("A", "2024-06-02", 6.0), ("B", "2024-01-02", 3.0)]

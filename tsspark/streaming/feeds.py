@@ -21,13 +21,39 @@ def sales_stream(
 ) -> DataFrame:
     """Rows of CSV files as they arrive, each (entity, date) once.
 
-    State is kept only for days younger than the watermark, so it does not grow with the history.
+    State is kept only for days younger than the watermark, so it does not grow with the history. Rows later than that
+    are dropped; ``sales_sink`` keeps them.
     """
     raw = spark.readStream.schema(schema).options(header=True, **options).csv(folder)
     timed = raw.withColumn("event_time", F.col(date).cast("timestamp")).where(F.col("event_time").isNotNull())
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([entity, "event_time"]).drop("event_time")
 
 
+def sales_sink(
+    spark: SparkSession, folder: str, schema: T.StructType, path: str, checkpoint: str, date: str = "date", entity: str = "entity", available_now: bool = True, **options: str
+) -> StreamingQuery:
+    """Arriving CSV rows into the table at ``path``, however late; ``current_sales`` reads each (entity, date) once.
+
+    No state is kept: a micro-batch is made unique by itself and written to a folder of its own number, which it
+    overwrites when it is repeated.
+    """
+    raw = spark.readStream.schema(schema).options(header=True, **options).csv(folder)
+
+    def write(batch: DataFrame, number: int) -> None:
+        dated = batch.where(F.col(date).cast("timestamp").isNotNull())
+        dated.dropDuplicates([entity, date]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_sales(spark: SparkSession, path: str, schema: T.StructType, entity: str = "entity", date: str = "date") -> DataFrame:
+    """One row per (entity, date): that of the latest batch, so a late correction wins."""
+    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    row = F.max_by(F.struct(*schema.names), "batch").alias("row")
+    return written.groupBy(entity, date).agg(row).select("row.*")
+
+
 def errors_sink(
     pairs: DataFrame, path: str, checkpoint: str, entity: str = "entity", date: str = "date", available_now: bool = True
 ) -> StreamingQuery:
