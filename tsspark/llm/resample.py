@@ -69,7 +69,7 @@ def feature_buckets(texts: pa.Array, longest: int, buckets: int) -> list[tuple[n
     out, runs = [], words
     for size in range(1, longest + 1):
         if size > 1:  # runs of size - 1 that start at each word, and the word after
-            runs = pc.binary_join_element_wise(runs.slice(0, max(len(words) - size + 1, 0)), words.slice(size - 1), " ")
+            runs = pc.binary_join_element_wise(runs.slice(0, max(len(words) - size + 1, 0)), words.slice(min(size - 1, len(words))), pa.scalar(" ", pa.large_string()))
         coded = runs.dictionary_encode()
         table = np.fromiter((crc32(w.as_buffer()) % buckets for w in coded.dictionary), np.int64, len(coded.dictionary))
         ids = table[coded.indices.to_numpy(zero_copy_only=False)] if len(runs) else np.empty(0, np.int64)

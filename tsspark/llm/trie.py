@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.llm.common import findable, stored, text_or_empty
@@ -50,7 +50,7 @@ def tokens(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return turns.where(F.col(conv).isNotNull()).select(*named, F.base64(F.concat(digest, length)).alias("token"))
 
 
-def _ordered() -> F.Column:
+def _ordered() -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "token"))), lambda t: t["token"]).alias("tokens")
 
 
