@@ -118,6 +118,44 @@ def chained(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def in_groups(df: DataFrame, keys: list[str], order: list[str], parts: int, part: Column, work: Callable[[list[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """``work`` on the rows of each group of equal ``keys``, in ``order``; ``part`` (0 to parts - 1) must follow from the keys.
+
+    A task streams its sorted rows and holds one group at a time. ``work`` yields rows in the columns of ``schema``.
+    """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if held and own != key:
+                    yield from packed(work(held))
+                    held = []
+                key = own
+                held.append(row)
+        if held:
+            yield from packed(work(held))
+
+    def packed(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        """Batches bounded by bytes."""
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += sum(len(v) for v in row.values() if isinstance(v, bytes)) + 100
+            if size > BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    findable(df.sparkSession)
+    dealt = df.repartitionById(parts, part).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, schema)
+
+
 def list_column(values: np.ndarray | pa.Array, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
 

@@ -9,7 +9,11 @@ Counts never pass through the driver. The scan deals its texts out into blocks o
 sends its distinct n-grams, as sorted 64-bit hashes in packed rows, to buckets of the hash range. A bucket adds up the
 blocks' counts and answers each block with the totals in the block's own order. The texts then meet the answers block by
 block and are scored. What moves is a row per block and bucket, and one hash per distinct n-gram of a block, however often
-it occurs; a very frequent n-gram is one number per block. Blocks and buckets are bounded, their number grows with the corpus.
+it occurs; a very frequent n-gram is one number per block. Blocks and buckets are bounded, their number grows with the corpus;
+beyond 2^``COARSE_BITS`` buckets the rows travel in two steps, so that they don't get ever smaller. Totals are 64-bit numbers.
+
+The weights are fitted in ``ROUNDS`` steps to counts of (context bucket, estimates rounded to quarters of a natural logarithm);
+the scores themselves use exact estimates. A context bucket that the deleted part lacks gets equal weights.
 
 Block numbers follow the place of a row in its file, so that two scans agree; input that is not read from files is
 written to the shared folder first. If the two scans disagree all the same the job fails rather than scores wrongly.
@@ -20,7 +24,7 @@ an id learn and are not held out. Repeated rows count and are scored row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,18 +32,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsspark.llm.common import chained, findable, mixed, slices, stored, texts_of, word_hashes, word_lists
+from tsspark.llm.common import chained, findable, in_groups, mixed, slices, stored, texts_of, word_hashes, word_lists
 
 BLOCK_CHARS = 8_000_000
 #: Distinct n-grams of all blocks that one bucket holds, about.
 BUCKET_ENTRIES = 1_500_000
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end")), np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
 HELD_OUT, DELETED, KEPT = 0, 1, 2
-#: Steps per natural logarithm in the table that the weights are fitted to.
-STEPS = 4
+#: Steps per natural logarithm in the table that the weights are fitted to, and rounds of the fit.
+STEPS, ROUNDS = 4, 50
 
 
 class Totals(NamedTuple):
@@ -171,44 +175,141 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ANSWER = "block long, kind int, bucket int, size int, totals binary, kept binary, distinct long, distinct_kept long, tokens long, tokens_kept long, documents long, documents_kept long"
-
-
-def answers(sent: DataFrame) -> DataFrame:
-    """Per block and bucket the total counts in the order of the block's n-grams, and shares of the corpus totals."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        blocks = table.to_pydict()
-        grams = [_unpack(g, np.uint64) for g in blocks["grams"]]
-        keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        at = np.concatenate(([0], np.cumsum([len(g) for g in grams])))
-        total, deleted = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for k, kind in enumerate(blocks["kind"]):
-            if kind != HELD_OUT:
-                own, counts = inverse[at[k] : at[k + 1]], _unpack(blocks["counts"][k], np.uint32)
-                total[own] += counts
-                if kind == DELETED:
-                    deleted[own] += counts
-        kept, single = total - deleted, (keys & np.uint64(3)) == 1
-        rows, first = [], True
-        for k, kind in enumerate(blocks["kind"]):
-            own = inverse[at[k] : at[k + 1]]
-            learns = kind != HELD_OUT
-            rows.append({
-                "block": blocks["block"][k], "kind": kind, "bucket": blocks["bucket"][k], "size": len(own), "totals": _pack(total[own].astype(np.uint32)),
-                "kept": _pack(kept[own].astype(np.uint32)) if kind == DELETED else b"",
-                "distinct": int((total[single] > 0).sum()) if first else 0, "distinct_kept": int((kept[single] > 0).sum()) if first else 0,
-                "tokens": blocks["tokens"][k] if learns else 0, "tokens_kept": blocks["tokens"][k] if kind == KEPT else 0,
-                "documents": blocks["documents"][k] if learns else 0, "documents_kept": blocks["documents"][k] if kind == KEPT else 0,
-            })
-            first = False
-        return pa.Table.from_pylist(rows, schema=_arrow_answer())
-
-    return sent.groupBy("bucket").applyInArrow(merge, ANSWER)
-
-
-def _arrow_answer() -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in ANSWER.split(", "))])
+#: Bits of the hash that a block's rows are dealt by at once; more buckets than that take a second exchange.
+COARSE_BITS = 10
+#: Blocks that go through the second exchange together, about.
+STRETCH_BLOCKS = 512
+#: Tasks of one exchange at most.
+MOST_PARTS = 1 << 16
+
+
+def _totals(grams: list[np.ndarray], counts: list[np.ndarray], deleted: list[np.ndarray]) -> tuple[list[slice], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list's n-grams are in ``inverse``, and the counts of all distinct n-grams in the whole and the deleted part."""
+    keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).tolist()
+    total, left = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+    for k in range(len(grams)):
+        own = inverse[at[k] : at[k + 1]]
+        np.add.at(total, own, counts[k])  # a list may hold a key of several blocks
+        np.add.at(left, own, deleted[k])
+    return [slice(a, b) for a, b in zip(at, at[1:], strict=False)], inverse, keys, total, left
+
+
+def _distinct(keys: np.ndarray, total: np.ndarray, kept: np.ndarray) -> tuple[int, int]:
+    single = (keys & np.uint64(3)) == 1
+    return int((total[single] > 0).sum()), int((kept[single] > 0).sum())
+
+
+def _parts(df: DataFrame, buckets: int) -> int:
+    return min(buckets, MOST_PARTS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16))
+
+
+def answers(sent: DataFrame, bits: int, stretches: int = 1, coarse_bits: int = COARSE_BITS) -> DataFrame:
+    """Per block and bucket the total counts in the order of the block's n-grams, and shares of the corpus totals.
+
+    ``sent``: rows of 2^min(bits, coarse_bits) buckets. A bucket's rows meet in one task at a time. Where 2^bits is more than
+    that, a row per block and bucket would hold next to nothing; then the rows of many blocks (a stretch) and a coarse bucket
+    are first repacked into one row per fine bucket, answered, and unpacked again. So rows keep a useful size, and their
+    number grows with stretches x buckets in place of blocks x buckets.
+    """
+    buckets, fine_bits = 1 << min(bits, coarse_bits), max(0, bits - coarse_bits)
+    if not fine_bits:
+        n = _parts(sent, buckets)
+        return in_groups(sent, ["bucket"], ["block"], n, F.col("bucket") % n, _answer_blocks, ANSWER)
+    wide, deep = _parts(sent, buckets * stretches), _parts(sent, buckets << fine_bits)
+
+    def part(n: int, *keys: str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+    stretched = sent.withColumn("stretch", F.pmod(F.col("block"), F.lit(stretches)).cast("int"))
+    by_stretch, by_fine = ["bucket", "stretch"], ["bucket", "fine"]
+    repacked = in_groups(stretched, by_stretch, ["block"], wide, part(wide, *by_stretch), _repacker(fine_bits, coarse_bits), REPACKED)
+    answered = in_groups(repacked, by_fine, ["stretch"], deep, part(deep, *by_fine), _answer_stretches, STRETCH_ANSWER)
+    return in_groups(answered, by_stretch, ["fine"], wide, part(wide, *by_stretch), _unpack_stretch, ANSWER)
+
+
+def _answer_blocks(rows: list[dict]) -> Iterator[dict]:
+    grams = [_unpack(r["grams"], np.uint64) for r in rows]
+    counts = [_unpack(r["counts"], np.uint32).astype(np.uint64) if r["kind"] != HELD_OUT else np.zeros(len(g), np.uint64) for r, g in zip(rows, grams, strict=True)]
+    deleted = [c if r["kind"] == DELETED else np.zeros(len(c), np.uint64) for r, c in zip(rows, counts, strict=True)]
+    places, inverse, keys, total, left = _totals(grams, counts, deleted)
+    kept = total - left
+    distinct = _distinct(keys, total, kept)
+    for k, r in enumerate(rows):
+        own, learns = inverse[places[k]], r["kind"] != HELD_OUT
+        yield {
+            "block": r["block"], "kind": r["kind"], "bucket": r["bucket"], "size": len(own), "totals": _pack(total[own]),
+            "kept": _pack(kept[own]) if r["kind"] == DELETED else b"",
+            "distinct": 0 if k else distinct[0], "distinct_kept": 0 if k else distinct[1],
+            "tokens": r["tokens"] if learns else 0, "tokens_kept": r["tokens"] if r["kind"] == KEPT else 0,
+            "documents": r["documents"] if learns else 0, "documents_kept": r["documents"] if r["kind"] == KEPT else 0,
+        }
+
+
+#: One row per coarse bucket, stretch and fine bucket: the stretch's blocks that have n-grams there, how many, and these.
+REPACKED = "bucket int, stretch int, fine int, blocks binary, kinds binary, sizes binary, grams binary, counts binary, tokens binary, documents binary"
+STRETCH_ANSWER = "bucket int, stretch int, fine int, blocks binary, kinds binary, sizes binary, totals binary, kept binary, distinct long, distinct_kept long, tokens binary, documents binary"
+
+
+def _repacker(fine_bits: int, coarse_bits: int) -> Callable[[list[dict]], Iterator[dict]]:
+    def work(rows: list[dict]) -> Iterator[dict]:
+        found: dict[int, list[tuple]] = {}
+        for r in rows:
+            grams = _unpack(r["grams"], np.uint64)
+            counts = _unpack(r["counts"], np.uint32) if r["kind"] != HELD_OUT else np.zeros(len(grams), np.uint32)
+            fine = (grams << np.uint64(coarse_bits)) >> np.uint64(64 - fine_bits)
+            cuts = [0, *(np.flatnonzero(np.diff(fine)) + 1).tolist(), len(grams)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                once = (r["tokens"], r["documents"]) if k == 0 else (0, 0)
+                found.setdefault(int(fine[a]), []).append((r["block"], r["kind"], b - a, grams[a:b], counts[a:b], *once))
+        for fine, pieces in sorted(found.items()):
+            blocks, kinds, sizes, grams, counts, tokens, documents = zip(*pieces, strict=True)
+            yield {
+                "bucket": rows[0]["bucket"], "stretch": rows[0]["stretch"], "fine": fine,
+                "blocks": _pack(np.array(blocks, np.int64)), "kinds": _pack(np.array(kinds, np.int32)), "sizes": _pack(np.array(sizes, np.int64)),
+                "grams": _pack(np.concatenate(grams)), "counts": _pack(np.concatenate(counts)),
+                "tokens": _pack(np.array(tokens, np.int64)), "documents": _pack(np.array(documents, np.int64)),
+            }
+
+    return work
+
+
+def _answer_stretches(rows: list[dict]) -> Iterator[dict]:
+    grams = [_unpack(r["grams"], np.uint64) for r in rows]
+    counts = [_unpack(r["counts"], np.uint32).astype(np.uint64) for r in rows]
+    is_deleted = [np.repeat(_unpack(r["kinds"], np.int32) == DELETED, _unpack(r["sizes"], np.int64)) for r in rows]
+    places, inverse, keys, total, left = _totals(grams, counts, [np.where(d, c, np.uint64(0)) for c, d in zip(counts, is_deleted, strict=True)])
+    kept = total - left
+    distinct = _distinct(keys, total, kept)
+    for k, r in enumerate(rows):
+        own = inverse[places[k]]
+        yield {c: r[c] for c in ("bucket", "stretch", "fine", "blocks", "kinds", "sizes", "tokens", "documents")} | {
+            "totals": _pack(total[own]), "kept": _pack(kept[own]), "distinct": 0 if k else distinct[0], "distinct_kept": 0 if k else distinct[1],
+        }
+
+
+def _unpack_stretch(rows: list[dict]) -> Iterator[dict]:
+    """The answers of a stretch's blocks for one coarse bucket, its fine buckets put together in order."""
+    found: dict[int, list] = {}
+    for r in rows:
+        totals, kept = _unpack(r["totals"], np.uint64), _unpack(r["kept"], np.uint64)
+        columns = [_unpack(r[c], t).tolist() for c, t in (("blocks", np.int64), ("kinds", np.int32), ("sizes", np.int64), ("tokens", np.int64), ("documents", np.int64))]
+        at = 0
+        for block, kind, size, tokens, documents in zip(*columns, strict=True):
+            known = found.setdefault(block, [kind, [], [], 0, 0])
+            known[1].append(totals[at : at + size])
+            known[2].append(kept[at : at + size])
+            known[3], known[4], at = known[3] + tokens, known[4] + documents, at + size
+    first = {"distinct": sum(r["distinct"] for r in rows), "distinct_kept": sum(r["distinct_kept"] for r in rows)}
+    for k, (block, (kind, totals, kept, tokens, documents)) in enumerate(found.items()):
+        whole, learns = np.concatenate(totals), kind != HELD_OUT
+        yield {
+            "block": block, "kind": kind, "bucket": rows[0]["bucket"], "size": len(whole), "totals": _pack(whole),
+            "kept": _pack(np.concatenate(kept)) if kind == DELETED else b"",
+            "distinct": 0 if k else first["distinct"], "distinct_kept": 0 if k else first["distinct_kept"],
+            "tokens": tokens if learns else 0, "tokens_kept": tokens if kind == KEPT else 0,
+            "documents": documents if learns else 0, "documents_kept": documents if kind == KEPT else 0,
+        }
 
 
 def _events(texts: pa.Array, table: pa.Table, column: str, order: int, documents: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -216,7 +317,7 @@ def _events(texts: pa.Array, table: pa.Table, column: str, order: int, documents
     keys, starts = _ngrams(texts, order)
     own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     table = table.sort_by("bucket")
-    counts = np.concatenate([_unpack(x, np.uint32) for x in table[column].to_pylist()]) if table.num_rows else np.empty(0, np.uint32)
+    counts = np.concatenate([_unpack(x, np.uint64) for x in table[column].to_pylist()]) if table.num_rows else np.empty(0, np.uint64)
     if len(counts) != len(own):
         raise RuntimeError(f"A block was dealt differently by two scans of the input: {len(own)} and {len(counts)} n-grams.")
     per = np.split(counts[inverse].astype(np.int64), order)
@@ -238,7 +339,7 @@ def _mixture(per: list[np.ndarray], contexts: list[np.ndarray], totals: Totals)
     return bucket, np.stack(shares)
 
 
-def fit_weights(cells: list[tuple], order: int, rounds: int = 50) -> dict[int, list[float]]:
+def fit_weights(cells: list[tuple], order: int, rounds: int = ROUNDS) -> dict[int, list[float]]:
     """``cells``: (bucket, steps of each estimate but the uniform one, uniform, number of tokens)."""
     weights = {}
     for bucket in sorted({c[0] for c in cells}):
@@ -255,14 +356,15 @@ def fit_weights(cells: list[tuple], order: int, rounds: int = 50) -> dict[int, l
     return weights
 
 
-def scored(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", add: float = 0.1, block_chars: int = BLOCK_CHARS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+def scored(df: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", add: float = 0.1, block_chars: int = BLOCK_CHARS, bucket_entries: int = BUCKET_ENTRIES, coarse_bits: int = COARSE_BITS) -> DataFrame:
     """Per row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score, both as log10 of probabilities."""
     kind = dict(df.dtypes)[key]
     findable(df.sparkSession)
     placed = _placed(df, key, text)
     chars = placed.agg(F.sum(F.char_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 * (order - 1 + 0.3) / bucket_entries)))))
-    got = stored(answers(block_rows(placed, order, bits, block_chars)), "counts")
+    sent = block_rows(placed, order, min(bits, coarse_bits), block_chars)
+    got = stored(answers(sent, bits, 1 + chars // block_chars // STRETCH_BLOCKS, coarse_bits), "counts")
     sums = got.agg(*[F.sum(c).alias(c) for c in ("distinct", "distinct_kept", "tokens", "tokens_kept", "documents", "documents_kept")]).first()
     full = Totals(*[int(sums[c] or 0) for c in ("tokens", "distinct", "documents")])
     kept = Totals(*[int(sums[f"{c}_kept"] or 0) for c in ("tokens", "distinct", "documents")])
