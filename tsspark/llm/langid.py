@@ -170,7 +170,8 @@ def calibrated(logits: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tup
     p = _softmax(logits * np.exp(sharp + slope * np.log(sizes))[:, None])
     top, right = p.max(1), p.argmax(1) == labels
     order = np.argsort(-top, kind="stable")
-    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION
+    last = np.append(np.diff(top[order]) != 0, True)  # equal scores are accepted together
+    good = last & (np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION)
     threshold = float(top[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
     return sharp, slope, max(threshold, 0.5)
 
