@@ -2,6 +2,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tsspark.operators.forecast import seasonal_naive
 from tsspark.plans import jobs
@@ -82,3 +83,69 @@ def test_percent_settings_and_bad_cells(spark, tmp_path):
     spark.createDataFrame([("entity,date,target",), ("A,2024-01-01,abc",), ("A,2024-01-02,",)], "value string").coalesce(1).write.text(path)
     with pytest.raises(ValueError, match="target"):
         jobs.main(["clean", "--mode", "retail", "--input", path, "--output", "unused"], spark)
+
+
+def test_forecasts_replay_the_features_of_the_training_run(spark, raw, tmp_path):
+    """Other feature settings at forecast time change nothing: the saved pipeline knows its own."""
+    from tsspark.operators.features import add_features, split_stages, stage_config
+    from tsspark.config import FeatureConfig
+    from tsspark.operators.registry import REGISTRY_SCHEMA
+    from tsspark.sources import files
+
+    def settings(name, features):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({"columns": {"target": "target_cleaned"}, "trees": {"n_trees": 2, "max_depth": 2}, "features": features}))
+        return ["--settings", str(path)]
+
+    processed, model, out = (scratch_path(spark, n) for n in ("processed", "model", "out"))
+    trained, other = settings("a", {"lags": [1, 3], "windows": [4], "min_periods": 2}), settings("b", {"lags": [2], "windows": [9]})
+    jobs.main(["clean", "--mode", "retail", "--input", raw, "--output", processed], spark)
+    jobs.main(["train", "--input", processed, "--model", model, *trained], spark)
+    made = []
+    for k, asked in enumerate((trained, other)):
+        jobs.main(["forecast", "--input", processed, "--model", model, "--output", f"{out}{k}", "--horizon", "6", *asked], spark)
+        made.append(sorted(spark.read.parquet(f"{out}{k}").collect()))
+    assert made[0] == made[1] and len(made[0]) == 12
+
+    pipeline, _ = files.load_model(spark.newSession(), model, REGISTRY_SCHEMA)
+    stages, scoring = split_stages(pipeline)
+    config = stage_config(stages)
+    assert config == FeatureConfig((1, 3), (4,), 2)
+    panel = spark.read.parquet(processed)
+    want = add_features(panel, "target_cleaned", config=config)
+    assert sorted(stages.transform(panel).select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+    assert pipeline.transform(panel.dropna()).where("prediction is null").isEmpty()
+    assert stage_config(split_stages(scoring)[0]) == FeatureConfig()
+
+
+def test_runs_at_once_get_a_version_each(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tsspark.operators import registry as R
+
+    path = scratch_path(spark, "registry")
+    record = spark.createDataFrame([("draft", "2024-01-01T00:00:00Z")], "model_version string, trained_at string")
+    record = record.select(*[record[f.name] if f.name in record.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in R.REGISTRY_SCHEMA.fields])
+    with ThreadPoolExecutor(8) as pool:
+        got = sorted(r.first()["model_version"] for r in pool.map(lambda _: R.append_run(record, path), range(8)))
+    assert got == [f"v{k}" for k in range(1, 9)]
+    assert sorted(r["model_version"] for r in spark.read.parquet(path).collect()) == got
+    assert R.append_run(record, path).first()["model_version"] == "v9"
+
+
+def test_early_stopping_keeps_the_best_rounds(spark, days):
+    import random
+
+    from tsspark.config import Settings, overlay
+    from tsspark.operators.trees import best_round, rounds
+    from tsspark.plans import training
+
+    assert [best_round(e, 2) for e in ([5, 4, 3], [5, 4, 6, 7, 1], [5, 4, 6, 3, 9, 9], [1.0])] == [3, 2, 4, 1]
+    rng = random.Random(2)
+    rows = [(e, d, 10.0 + rng.gauss(0, 3) + (i % 7) * (e == "A")) for e in "AB" for i, d in enumerate(days("2024-01-01", 90))]
+    df = spark.createDataFrame(rows, "entity string, date string, target double").withColumn("date", F.col("date").cast("date"))
+    settings = overlay(Settings(), {"trees": {"n_trees": 25, "max_depth": 3, "learning_rate": 0.5, "inner_share": 0.3, "patience": 3}})
+    early, _ = training.fit_on_history(df, settings)
+    assert 0 < rounds(early) < 25
+    whole, _ = training.fit_on_history(df, overlay(settings, {"trees": {"n_trees": rounds(early)}}))
+    assert early.stages[-1].toDebugString.split("\n", 1)[1] == whole.stages[-1].toDebugString.split("\n", 1)[1]

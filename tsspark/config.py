@@ -37,6 +37,10 @@ class TreeConfig:
     max_depth: int = 5
     seed: int = 42
     max_bins: int = 64
+    #: Share of the last training dates kept to choose the number of trees; 0 fits all trees to all of them.
+    inner_share: float = 0.0
+    #: Trees without a smaller error on these dates after which the search ends.
+    patience: int = 10
 
 
 @dataclass(frozen=True)

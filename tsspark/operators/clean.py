@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tsspark.operators.long_series import BLOCK_ROWS, LongSeries
 from tsspark.operators.ordered import exact_quantiles
+from tsspark.operators.sketches import daily_sketches, sketch_quantiles
 from tsspark.sources.files import require_columns
 
 
@@ -21,6 +23,8 @@ class ClipRule:
     upper: float | None = None
     by_quartiles: bool = False
     multiplier: float = 1.5
+    #: Quartiles from a sketch (one pass, bounded rank error) in place of exact ones.
+    approximate: bool = False
 
 
 def clean_dates(df: DataFrame, date: str = "date", timezone: str | None = None) -> DataFrame:
@@ -80,14 +84,17 @@ def _bounded(value: Column, lower: float | Column | None, upper: float | Column
 
 
 def reindex_daily(
-    df: DataFrame, entity: str = "entity", date: str = "date", target: str = "target", span: str = "per_entity"
+    df: DataFrame, entity: str | None = "entity", date: str = "date", target: str = "target", span: str = "per_entity", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Every day between the first and last date of each entity (or of the whole panel).
 
     Only entity, date and target survive; the target of an added day is NULL. Each row looks up the next
     date of its series and unfolds the days up to it, so the calendar is neither joined nor shuffled: one
     exchange on the entity, which a later window over the series reuses. Needs unique (entity, date).
+    Without an entity the table is one series, unfolded block by block (``long_series``, which runs jobs).
     """
+    if entity is None:
+        return LongSeries.of(df.select(date, target), date, block_rows).unfold(target).frame()
     series = W.partitionBy(entity).orderBy(date)
     narrow = df.select(entity, date, target).dropna(subset=[entity, date])
     first, last = F.col(date), F.col(date)
@@ -105,12 +112,20 @@ def reindex_daily(
 def fill_missing(
     df: DataFrame,
     strategy: str = "forward_fill",
-    entity: str = "entity",
+    entity: str | None = "entity",
     date: str = "date",
     target: str = "target",
     filled: str = "target_cleaned",
+    ties: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Carry the last value forward (a leading gap stays NULL), or put zero."""
+    """Carry the last value forward (a leading gap stays NULL), or put zero.
+
+    Without an entity the table is one series in the order of date and ``ties``, carried block by block
+    (``long_series``, which runs jobs).
+    """
+    if strategy == "forward_fill" and entity is None:
+        return LongSeries.of(df, (date, *ties), block_rows).carry_forward(target, filled).frame()
     if strategy == "forward_fill":
         past = W.partitionBy(entity).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(filled, F.last(F.col(target).cast("double"), ignorenulls=True).over(past))
@@ -119,11 +134,19 @@ def fill_missing(
     raise ValueError(f"Unknown fill strategy: {strategy}")
 
 
-def clip_outliers(df: DataFrame, rule: ClipRule, column: str = "target_cleaned") -> DataFrame:
-    """Clip to absolute bounds, or to quartile fences over the whole column; given bounds win."""
+def clip_outliers(df: DataFrame, rule: ClipRule, column: str = "target_cleaned", sketches: DataFrame | None = None) -> DataFrame:
+    """Clip to absolute bounds, or to quartile fences over the whole column; given bounds win.
+
+    Exact quartiles run a job while the plan is built. Approximate ones don't; with ``sketches``, a table of day sketches
+    (see ``sketches``), ``df`` isn't read for them at all, so fences of a growing panel cost its new days only.
+    """
     lower, upper = rule.lower, rule.upper
     if rule.by_quartiles:
-        quartiles = exact_quantiles(df, column, (0.25, 0.75)).scalar()
+        if rule.approximate or sketches is not None:
+            found = sketch_quantiles(daily_sketches(df, column, None) if sketches is None else sketches, (0.25, 0.75))
+        else:
+            found = exact_quantiles(df, column, (0.25, 0.75))
+        quartiles = found.scalar()
         reach = F.lit(rule.multiplier) * (quartiles[1] - quartiles[0])
         lower = quartiles[0] - reach if lower is None else lower
         upper = quartiles[1] + reach if upper is None else upper

@@ -1,12 +1,13 @@
 """Past-only features per entity: row lags, rolling statistics and calendar fields.
 
 All window expressions use the same (entity, date) specification, so one exchange and one sort serve
-them all. A panel has one row per entity and day, which bounds a window group by the calendar.
+them all. A panel has one row per entity and day, which bounds a window group by the calendar. A series
+without an entity is windowed in blocks (``long_series``), whatever its length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
@@ -17,15 +18,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig
+from tsspark.operators.long_series import BLOCK_ROWS, LongSeries
 
 # Names of the calendar fields, and columns that would leak the answer.
 CALENDAR_COLUMNS = ("day_of_week", "day_of_month", "week_of_year", "month", "is_weekend")
 NEVER_FEATURES = frozenset({"target", "target_raw", "target_original", "target_augmented", "augmentation_type"})
 
 
-def series_window(entity: str | None, date: str) -> WindowSpec:
-    """Rows of one series in date order; without an entity the whole panel is one series."""
-    return W.partitionBy(F.col(entity) if entity else F.lit(0)).orderBy(date)
+def series_window(entity: str, date: str) -> WindowSpec:
+    """Rows of one entity in date order."""
+    return W.partitionBy(entity).orderBy(date)
 
 
 def _steps(values: int | float | Iterable[int]) -> list[int]:
@@ -69,19 +71,27 @@ def add_features(
     entity: str | None = "entity",
     date: str = "date",
     config: FeatureConfig = FeatureConfig(),
+    ties: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Input rows and columns, plus every feature."""
-    for column in filter(None, (target, date, entity)):
+    """Input rows and columns, plus every feature.
+
+    Without an entity the whole table is one series, in the order of date and ``ties``; then jobs run while the plan is built.
+    """
+    for column in filter(None, (target, date, entity, *ties)):
         if column not in df.columns:
             raise ValueError(f"Feature input requires column '{column}'. Found: {df.columns}.")
-    series = series_window(entity, date)
-    return df.withColumns(
-        {
+
+    def columns(series: WindowSpec) -> dict[str, Column]:
+        return {
             **lag_columns(target, config.lags, series),
             **rolling_columns(target, config.windows, config.min_periods, series),
             **calendar_columns(F.col(date)),
         }
-    )
+
+    if entity is None:
+        return LongSeries.of(df, (date, *ties), block_rows).windowed(config.lookback, columns).frame()
+    return df.withColumns(columns(series_window(entity, date)))
 
 
 class _SeriesParams(Params):
@@ -93,8 +103,11 @@ class _SeriesParams(Params):
         super().__init__()
         self._setDefault(target="target", entity="entity", date="date")
 
-    def _series(self) -> WindowSpec:
-        return series_window(self.getOrDefault("entity") or None, self.getOrDefault("date"))
+    def _add(self, df: DataFrame, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+        entity, date = self.getOrDefault("entity"), self.getOrDefault("date")
+        if entity:
+            return df.withColumns(columns(series_window(entity, date)))
+        return LongSeries.of(df, date).windowed(reach, columns).frame()
 
     def _require(self, df: DataFrame, *names: str) -> None:
         for name in filter(None, (self.getOrDefault(n) for n in names)):
@@ -112,9 +125,8 @@ class LagFeatures(Transformer, _SeriesParams, DefaultParamsReadable, DefaultPara
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         self._require(dataset, "target", "entity", "date")
-        return dataset.withColumns(
-            lag_columns(self.getOrDefault("target"), self.getOrDefault("lags"), self._series())
-        )
+        target, lags = self.getOrDefault("target"), self.getOrDefault("lags")
+        return self._add(dataset, max(lags, default=0), lambda series: lag_columns(target, lags, series))
 
 
 class RollingFeatures(Transformer, _SeriesParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -129,14 +141,8 @@ class RollingFeatures(Transformer, _SeriesParams, DefaultParamsReadable, Default
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         self._require(dataset, "target", "entity", "date")
-        return dataset.withColumns(
-            rolling_columns(
-                self.getOrDefault("target"),
-                self.getOrDefault("windows"),
-                self.getOrDefault("minPeriods"),
-                self._series(),
-            )
-        )
+        target, windows, least = (self.getOrDefault(p) for p in ("target", "windows", "minPeriods"))
+        return self._add(dataset, max(windows, default=0), lambda series: rolling_columns(target, windows, least, series))
 
 
 class CalendarFeatures(Transformer, _SeriesParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -164,6 +170,27 @@ def feature_stages(
     )
 
 
+def with_stages(stages: PipelineModel, model: PipelineModel) -> PipelineModel:
+    """One pipeline that adds the features to a raw panel and scores it; what is saved."""
+    return PipelineModel([*stages.stages, *model.stages])
+
+
+def split_stages(pipeline: PipelineModel) -> tuple[PipelineModel, PipelineModel]:
+    """The feature steps at the front of a pipeline, and the rest, which scores rows that have features."""
+    n = next((k for k, stage in enumerate(pipeline.stages) if not isinstance(stage, _SeriesParams)), len(pipeline.stages))
+    return PipelineModel(pipeline.stages[:n]), PipelineModel(pipeline.stages[n:])
+
+
+def stage_config(stages: PipelineModel, default: FeatureConfig = FeatureConfig()) -> FeatureConfig:
+    """The settings that feature steps were made with; ``default`` where there are none."""
+    if not stages.stages:
+        return default
+    lags = [k for s in stages.stages if isinstance(s, LagFeatures) for k in s.getOrDefault("lags")]
+    rolling = [s for s in stages.stages if isinstance(s, RollingFeatures)]
+    windows = [w for s in rolling for w in s.getOrDefault("windows")]
+    return FeatureConfig(tuple(lags), tuple(windows), max([s.getOrDefault("minPeriods") for s in rolling], default=default.min_periods))
+
+
 def engineered(name: str) -> bool:
     return name.startswith(("lag_", "rolling_")) or name in CALENDAR_COLUMNS
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tsspark.functions.offsets import advance
 from tsspark.functions.rounding import round_stored
 
 NAIVE_NAME = "seasonal_naive"
@@ -35,16 +36,22 @@ def label_split(df: DataFrame, share: float = 0.2, date: str = "date") -> DataFr
 
 
 def last_rows(
-    df: DataFrame, k: int, entity: str = "entity", date: str = "date", target: str = "target", extra: tuple[str, ...] = ()
+    df: DataFrame, k: int, entity: str | None = "entity", date: str = "date", target: str = "target", extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per entity: its last ``k`` values in date order, with the last date and last ``extra``.
 
-    Map tasks keep k rows per entity before the shuffle, so what moves is entities x k.
+    Map tasks keep k rows per entity before the shuffle, so what moves is entities x k. Without an entity the table is
+    one series and gives one row, from a top-k in which each task hands over k rows.
     """
-    newest = F.row_number().over(W.partitionBy(entity).orderBy(F.col(date).desc()))
-    tail = df.select(entity, date, target, *extra).withColumn("_back", newest).where(F.col("_back") <= k)
+    keys = [entity] if entity else []
+    narrow = df.select(*keys, date, target, *extra)
+    if entity:
+        newest = F.row_number().over(W.partitionBy(entity).orderBy(F.col(date).desc()))
+        tail = narrow.withColumn("_back", newest).where(F.col("_back") <= k)
+    else:
+        tail = narrow.orderBy(F.col(date).desc()).limit(k)
     rows = F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(target).cast("double").alias("y"))))
-    return tail.groupBy(entity).agg(
+    return tail.groupBy(*keys).agg(
         F.transform(rows, lambda r: r["y"]).alias("hist"),
         F.max(date).alias("last_date"),
         *[F.max_by(c, date).alias(c) for c in extra],
@@ -55,25 +62,33 @@ def seasonal_naive(
     df: DataFrame,
     horizon: int,
     k: int = 7,
-    entity: str = "entity",
+    entity: str | None = "entity",
     date: str = "date",
     target: str = "target",
     step_days: int = 1,
+    offset: str | None = None,
+    report_short: bool = False,
 ) -> DataFrame:
-    """Repeat the last ``k`` rows forward from the last date; entities with fewer rows give no row.
+    """Repeat the last ``k`` rows forward from the last date; forecast dates are ``step_days`` or an ``offset`` apart.
 
-    Use ``short_series`` to report those. Forecast dates are ``step_days`` apart.
+    Entities with fewer rows give no row, or with ``report_short`` one row without a forecast (step 0) and, as for all
+    rows, a ``status``. Without an entity the table is one series and ``entity_id`` is NULL.
     """
     if horizon < 1 or k < 1 or step_days < 1:
         raise ValueError("horizon, seasonality and step_days must be >= 1")
-    seed = last_rows(df, k, entity, date, target).where(F.size("hist") == k)
-    steps = seed.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    last = last_rows(df, k, entity, date, target).where(F.size("hist") > 0)
+    enough = F.size("hist") == k
+    ahead = F.when(enough, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(0)))
+    steps = (last if report_short else last.where(enough)).select("*", F.explode(ahead).alias("step"))
+    status = F.when(F.col("step") > 0, F.lit("ok")).otherwise(F.lit("insufficient_history"))
+    made = F.col("step") > 0
     return steps.select(
-        F.col(entity).alias("entity_id"),
-        F.date_add("last_date", F.col("step") * step_days).alias("date"),
-        F.get("hist", (F.col("step") - 1) % k).alias("y_pred"),
+        (F.col(entity) if entity else F.lit(None).cast("string")).alias("entity_id"),
+        F.when(made, advance(F.col("last_date"), F.col("step"), offset or f"{step_days}D")).alias("date"),
+        F.when(made, F.get("hist", (F.col("step") - 1) % k)).alias("y_pred"),
         F.lit(NAIVE_NAME).alias("model_name"),
         "step",
+        *([status.alias("status")] if report_short else []),
     )
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsspark.config import FeatureConfig
+from tsspark.sources.commits import Versions
 
 _TEXT, _WHOLE, _NUMBER = T.StringType(), T.LongType(), T.DoubleType()
 REGISTRY_SCHEMA = (
@@ -37,6 +40,31 @@ def next_version(registry: DataFrame | None) -> Column:
     return F.concat(F.lit("v"), F.coalesce(highest, F.lit(0)) + 1)
 
 
+def append_run(record: DataFrame, path: str) -> DataFrame:
+    """Append a run record to the Parquet table at ``path`` under the next version, and return it with that version.
+
+    A version is taken by creating its file, which only one of several writers can do; the others take the one after. The
+    row is written aside and enters the table as one file. A version whose writer stopped before that stays unused.
+    """
+    spark = record.sparkSession
+    taken = Versions(spark, path, "_versions")  # tables leave out folders with an underscore
+    try:
+        written = spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+        highest = spark.range(1).select(next_version(written)).first()[0]
+    except AnalysisException:  # the first run: there is no table yet
+        highest = "v1"
+    number = max([int(highest.removeprefix("v")), *[n + 1 for n in taken.numbers()]])
+    while not taken.commit(number, {"version": f"v{number}"}):
+        number += 1
+    named = record.withColumn("model_version", F.lit(f"v{number}"))
+    aside = f"_staged/{uuid.uuid4().hex}"
+    named.coalesce(1).write.parquet(f"{path}/{aside}")
+    part = next(n for n in taken.files.names(aside) if n.startswith("part-"))
+    taken.files.move(f"{aside}/{part}", f"v{number}.parquet")
+    taken.files.remove(aside)
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{path}/v{number}.parquet")
+
+
 def run_record(
     train: DataFrame,
     features: Sequence[str],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsspark.operators.clean import clean_dates, keep_first
 from tsspark.operators.ordered import exact_quantiles
+from tsspark.operators.sketches import daily_sketches, sketch_quantiles
 from tsspark.operators.validate import monotonic_check
 from tsspark.sources.files import MASTER_COLUMNS, SALES_COLUMNS, require_columns
 
@@ -73,9 +74,16 @@ def drop_missing_keys(df: DataFrame, keys: Sequence[str] = ("date", "store_id"))
     return df.dropna(subset=list(keys))
 
 
-def median_fill(df: DataFrame, column: str = "competition_distance", median: Column | None = None) -> DataFrame:
-    """Missing values become the median over all rows, or 0 if there is no value at all."""
-    if median is None:
+def median_fill(
+    df: DataFrame, column: str = "competition_distance", median: Column | None = None, approximate: bool = False, sketches: DataFrame | None = None
+) -> DataFrame:
+    """Missing values become the median over all rows, or 0 if there is no value at all.
+
+    The exact median runs a job while the plan is built; ``approximate`` takes it from a sketch, or from ``sketches`` of days.
+    """
+    if median is None and (approximate or sketches is not None):
+        median = sketch_quantiles(daily_sketches(df, column, None) if sketches is None else sketches, (0.5,)).scalar()[0]
+    elif median is None:
         median = exact_quantiles(df, column, (0.5,)).scalar()[0]
     return df.withColumn(column, F.coalesce(F.col(column).cast("double"), median, F.lit(0.0)))
 

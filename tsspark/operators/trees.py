@@ -8,10 +8,11 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig, TreeConfig
+from tsspark.functions.offsets import advance
 from tsspark.operators.backtest import DEFAULTS, cutoff_rows, score_splits
 from tsspark.operators.features import calendar_columns, drop_warmup, engineered
 from tsspark.operators.forecast import last_rows
@@ -19,6 +20,8 @@ from tsspark.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
 STEPS_PER_CUT = 5
+#: Rows of a partition during a fit.
+ROWS_PER_PART = 64_000
 HISTORY_MARGIN = 5
 
 
@@ -30,7 +33,7 @@ def fit_trees(
     featured: DataFrame,
     features: Sequence[str],
     target: str = "target",
-    entity: str = "entity",
+    entity: str | None = "entity",
     date: str = "date",
     config: TreeConfig = TreeConfig(),
     categorical: Sequence[str] = (),
@@ -38,42 +41,67 @@ def fit_trees(
 ) -> PipelineModel:
     """Fit indexers and boosted trees; runs jobs.
 
-    Rows are range-partitioned and sorted by (entity, date), so split candidates and therefore trees do
-    not depend on how the input happened to be partitioned. ``validation`` names a boolean column whose
-    true rows steer early stopping instead of being fitted.
+    Split candidates of large tables come from a sample per partition. Rows are hashed into a number of partitions that
+    follows from the number of rows only, and sorted inside, so trees don't depend on how the input was partitioned.
+    ``validation`` names a boolean column; its true rows are not fitted but choose the number of trees: the round of the
+    least mean absolute error, the search ending after ``config.patience`` rounds without a better one. The trees up to
+    that round are those of the whole fit, as each round only builds on the rounds before.
     """
     ensure_checkpoint_dir(featured.sparkSession)
-    columns = list(dict.fromkeys([entity, date, *features, target] + ([validation] if validation else [])))
+    keys = [entity, date] if entity else [date]
+    columns = list(dict.fromkeys([*keys, *features, target] + ([validation] if validation else [])))
     rows = drop_warmup(featured.select(*columns), features, target)
-    rows = rows.repartitionByRange(F.col(entity), F.col(date)).sortWithinPartitions(entity, date)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = rows.where(~F.col(validation)) if validation else rows
+    indexers = [
+        StringIndexer(inputCol=c, outputCol=_indexed(c), handleInvalid="keep", stringOrderType="alphabetAsc").fit(fitted)
+        for c in categorical
+    ]
+    inputs = [_indexed(c) if c in categorical else c for c in features]
+    stages = [*indexers, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+    trees = GBTRegressor(
+        labelCol=target,
+        predictionCol="prediction",
+        lossType="squared",
+        maxIter=config.n_trees,
+        stepSize=config.learning_rate,
+        maxDepth=config.max_depth,
+        maxBins=max([config.max_bins, *[len(i.labels) + 1 for i in indexers]]),
+        seed=config.seed,
+    )
+    prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, ["features", target])
     try:
-        indexers = [
-            StringIndexer(inputCol=c, outputCol=_indexed(c), handleInvalid="keep", stringOrderType="alphabetAsc").fit(rows)
-            for c in categorical
-        ]
-        levels = max([len(i.labels) + 1 for i in indexers], default=0)
-        inputs = [_indexed(c) if c in categorical else c for c in features]
-        assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-        trees = GBTRegressor(
-            featuresCol="features",
-            labelCol=target,
-            predictionCol="prediction",
-            lossType="squared",
-            maxIter=config.n_trees,
-            stepSize=config.learning_rate,
-            maxDepth=config.max_depth,
-            maxBins=max(config.max_bins, levels),
-            seed=config.seed,
-        )
+        model = trees.fit(prepared)
         if validation:
-            trees = trees.setValidationIndicatorCol(validation)
-        prepared = rows
-        for stage in [*indexers, assembler]:
-            prepared = stage.transform(prepared)
-        return PipelineModel([*indexers, assembler, trees.fit(prepared)])
+            held_out = PipelineModel(stages).transform(rows.where(validation)).select("features", target)
+            best = best_round(model.evaluateEachIteration(held_out, "absolute"), config.patience)
+            if best < config.n_trees:
+                model = trees.setMaxIter(best).fit(prepared)
+        return PipelineModel([*stages, model])
     finally:
-        rows.unpersist()
+        prepared.unpersist()
+
+
+def _laid_out(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``columns`` in partitions and an order that follow from the rows alone, kept for the passes of a fit."""
+    parts = max(1, -(-rows.count() // ROWS_PER_PART))
+    laid = rows.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys)
+    return laid.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Number of trees with the least error, looking no further than ``patience`` rounds past the best so far."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
+def rounds(model: PipelineModel) -> int:
+    """Trees of a fitted tree model, 0 for any other."""
+    return getattr(model.stages[-1], "getNumTrees", 0)
 
 
 def model_features(model: PipelineModel) -> list[str]:
@@ -92,15 +120,15 @@ _MOMENTS = """aggregate(
         'm2', a.m2 + (v - a.mean) * (v - a.mean) * a.n / (a.n + 1))))"""
 
 
-def _with_next_features(state: DataFrame, features: Sequence[str], config: FeatureConfig, days: int) -> DataFrame:
-    """``state`` plus the engineered features of the next day; what is unknown becomes 0."""
+def _with_next_features(state: DataFrame, features: Sequence[str], config: FeatureConfig, day: Column) -> DataFrame:
+    """``state`` plus the engineered features of the next row, dated ``day``; what is unknown becomes 0."""
     moments = {f"_moments_{w}": F.expr(_MOMENTS.format(w=w)) for w in config.windows}
     out = {f"lag_{k}": F.expr(f"coalesce(get(hist, size(hist) - {k}), 0D)") for k in config.lags}
     for w in config.windows:
         m, least = f"_moments_{w}", config.min_periods
         out[f"rolling_mean_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 1), {m}.mean, 0D)")
         out[f"rolling_std_{w}"] = F.expr(f"if({m}.n >= greatest({least}, 2), sqrt({m}.m2 / ({m}.n - 1)), 0D)")
-    out |= calendar_columns(F.date_add("last_date", days))
+    out |= calendar_columns(day)
     wanted = [out[f].alias(f) for f in features if f in out]
     return state.withColumns(moments).select(*state.columns, *wanted)
 
@@ -112,47 +140,50 @@ def roll_forward(
     keys: Sequence[str],
     config: FeatureConfig = FeatureConfig(),
     step_days: int = 1,
+    offset: str | None = None,
 ) -> DataFrame:
     """Forecast ``horizon`` steps for every row of ``state`` (keys, last_date, hist, exogenous columns).
 
+    Steps are ``step_days`` or an ``offset`` apart.
+
     Each step scores all rows at once and appends the prediction to ``hist``; the loop is over steps,
     never over entities. Every few steps the small state table is checkpointed, which bounds the plan
     and survives lost executors. Returns keys with (step, date, y_pred).
     """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
-    features = model_features(model)
+    features, offset = model_features(model), offset or f"{step_days}D"
     constant = [c for c in state.columns if c not in {*keys, "last_date", "hist"}]
-    numeric = {f.name for f in state.schema.fields if f.dataType.typeName() not in ("string", "array", "date")}
+    numeric = {f.name for f in state.schema.fields if f.dataType.typeName() not in ("string", "array", "date", "timestamp", "timestamp_ntz")}
     fixed = {c: F.coalesce(F.col(c), F.lit(0)) for c in constant if c in numeric and not engineered(c)}
     state = state.withColumns(fixed) if fixed else state
     for step in range(1, horizon + 1):
-        scored = model.transform(_with_next_features(state, features, config, step * step_days))
+        scored = model.transform(_with_next_features(state, features, config, advance(F.col("last_date"), step, offset)))
         state = scored.select(*keys, "last_date", *constant, F.concat("hist", F.array("prediction")).alias("hist"))
         if step % STEPS_PER_CUT == 0 and step < horizon:
             state = cut_lineage(state)
     made = F.slice("hist", -horizon, horizon)
     steps = state.select(*keys, "last_date", F.posexplode(made).alias("at", "y_pred"))
-    return steps.select(
-        *keys, (F.col("at") + 1).alias("step"), F.date_add("last_date", (F.col("at") + 1) * step_days).alias("date"), "y_pred"
-    )
+    at = F.col("at") + 1
+    return steps.select(*keys, at.alias("step"), advance(F.col("last_date"), at, offset).alias("date"), "y_pred")
 
 
 def recursive_forecast(
     df: DataFrame,
     model: PipelineModel,
     horizon: int,
-    entity: str = "entity",
+    entity: str | None = "entity",
     date: str = "date",
     target: str = "target",
     config: FeatureConfig = FeatureConfig(),
     step_days: int = 1,
+    offset: str | None = None,
 ) -> DataFrame:
-    """Forecast table for all entities; non-engineered features keep their last value."""
+    """Forecast table for all entities, or for the one series of a table without; other features keep their last value."""
     exogenous = tuple(f for f in model_features(model) if not engineered(f))
-    seed = last_rows(df, config.lookback + HISTORY_MARGIN, entity, date, target, exogenous)
-    made = roll_forward(seed, model, horizon, [entity], config, step_days)
-    return made.select(F.col(entity).alias("entity_id"), "date", "y_pred", F.lit(MODEL_NAME).alias("model_name"), "step")
+    seed = last_rows(df, config.lookback + HISTORY_MARGIN, entity, date, target, exogenous).where(F.size("hist") > 0)
+    made = roll_forward(seed, model, horizon, [entity] if entity else [], config, step_days, offset)
+    return made.select((F.col(entity) if entity else F.lit(None).cast("string")).alias("entity_id"), "date", "y_pred", F.lit(MODEL_NAME).alias("model_name"), "step")
 
 
 def backtest_trees(

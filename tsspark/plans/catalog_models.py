@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
-from tsspark.config import FeatureConfig, Settings
+from tsspark.config import FeatureConfig, Settings, TreeConfig
 from tsspark.operators import features as FE
 from tsspark.operators import forecast as FC
 from tsspark.operators import registry as R
@@ -447,3 +449,73 @@ def model_round_trip(spark, sf_dir):
     after = TR.recursive_forecast(tree_panel(spark, sf_dir), loaded, 7).select(*keys, F.col("y_pred").alias("after"))
     both = before.join(after, keys, "full")
     return both.agg(F.count(F.lit(1)).alias("n_forecasts"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"))
+
+
+# ---- what SQL can follow of the fit and the comparison -----------------------------------------------
+
+STUMP = ("day_of_week", "day_of_month", "month")
+STUMP_CTES = (
+    SALES, features_cte("sales"), cutoff_cte("sales"),
+    "train AS (SELECT featured.* FROM featured, cut WHERE date < cutoff)",
+    "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {k} AS place, {f} AS value, target FROM train" for k, f in enumerate(STUMP)) + ")",
+    "per_value AS (SELECT feature, place, value, count(*) AS n, sum(target) AS s, sum(target * target) AS q FROM long GROUP BY 1, 2, 3)",
+    """sides AS (SELECT feature, place, value, sum(n) OVER upto AS n, sum(s) OVER upto AS s, sum(q) OVER upto AS q,
+                        sum(n) OVER everything AS n_all, sum(s) OVER everything AS s_all, sum(q) OVER everything AS q_all
+                 FROM per_value WINDOW upto AS (PARTITION BY feature ORDER BY value), everything AS (PARTITION BY feature))""",
+    """best AS (SELECT feature, value, s / n AS below, (s_all - s) / (n_all - n) AS above FROM sides WHERE n < n_all
+                ORDER BY s * s / n + (s_all - s) * (s_all - s) / (n_all - n) DESC, place, value LIMIT 1)""",
+)
+
+
+def stump(spark, sf_dir):
+    """One tree of one split over calendar fields; the split with the least squared error."""
+    train, held_out = FC.time_split(FE.add_features(_sales(spark, sf_dir)))
+    return TR.fit_trees(train, STUMP, config=TreeConfig(n_trees=1, max_depth=1)), held_out
+
+
+@query(
+    "fit_stump",
+    with_(*STUMP_CTES, f"""SELECT {KEYS}, target AS y_true,
+          CASE WHEN CASE best.feature {' '.join(f"WHEN '{f}' THEN {f}" for f in STUMP)} END <= best.value THEN below ELSE above END AS y_pred
+          FROM featured, cut, best WHERE date >= cutoff"""),
+)
+def fit_stump(spark, sf_dir):
+    model, held_out = stump(spark, sf_dir)
+    return model.transform(held_out).select("entity", "date", F.col("target").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
+@query(
+    "stump_importance",
+    with_(*STUMP_CTES, "SELECT f.feature, CASE WHEN f.feature = best.feature THEN 1.0 ELSE 0.0 END AS importance FROM (SELECT DISTINCT feature FROM long) f, best"),
+)
+def stump_importance(spark, sf_dir):
+    return TR.feature_importance(spark, stump(spark, sf_dir)[0])
+
+
+SHORT_SHARE = 0.02
+BOTH_SCORES = " UNION ALL ".join(
+    f"""SELECT '{role}' AS role, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, (SELECT count(*) FROM met) AS n_pairs
+        FROM (SELECT entity, {MAE_SQL} AS mae, {RMSE_SQL} AS rmse, {MAPE_SQL} AS mape FROM (SELECT entity, y_true, {column} AS y_pred FROM met) GROUP BY entity)"""
+    for role, column in (("baseline", "base_pred"), ("primary", "main_pred"))
+)
+
+
+@query(
+    "train_and_compare_linear",
+    "WITH RECURSIVE " + with_(
+        SALES, cutoff_cte("sales", 1 - SHORT_SHARE),
+        "train AS (SELECT sales.* FROM sales, cut WHERE date < cutoff)",
+        "held_out AS (SELECT sales.* FROM sales, cut WHERE date >= cutoff)",
+        "span AS (SELECT count(DISTINCT date) AS hz FROM held_out)",
+        naive_cte("train", 400),
+        roll_cte(0).replace("FROM sales", "FROM train").replace("step < 0", "step < (SELECT hz FROM span)"),
+        """met AS (SELECT h.entity, h.target AS y_true, f.y_pred AS base_pred, r.hist[-1] AS main_pred
+                   FROM held_out h JOIN naive f ON f.entity_id = h.entity AND f.date = h.date JOIN span ON f.step <= hz
+                   JOIN roll r ON r.entity = h.entity AND CAST(r.last_date + r.step AS DATE) = h.date AND r.step > 0)""",
+        f"SELECT role, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, n_pairs FROM ({BOTH_SCORES})",
+    ).removeprefix("WITH "),
+)
+def train_and_compare_linear(spark, sf_dir):
+    """The whole comparison with a fixed linear model in place of the trees: both models on the points both forecast."""
+    settings = replace(SETTINGS, validation_share=SHORT_SHARE)
+    return training.train_and_compare(_sales(spark, sf_dir), settings, fit=lambda train, features: linear_model()).comparison

@@ -15,8 +15,9 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,9 @@ from tsspark.config import Settings, overlay
 from tsspark.operators.augment import MissingBlocks, NoiseShift, TrendChange, augment_timeseries
 from tsspark.operators.backtest import backtest_naive
 from tsspark.operators.clean import ClipRule
+from tsspark.operators.features import split_stages, stage_config, with_stages
 from tsspark.operators.forecast import check_bounds, history_guard, known_entities
-from tsspark.operators.registry import REGISTRY_SCHEMA, next_version
+from tsspark.operators.registry import REGISTRY_SCHEMA, append_run
 from tsspark.operators.trees import backtest_trees
 from tsspark.plans import etl, training
 from tsspark.sources import files
@@ -98,19 +100,23 @@ def clean_job(spark: SparkSession, args: argparse.Namespace, settings: Settings)
 
 def train_job(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> DataFrame:
     run = training.train_and_compare(files.read_processed(spark, args.input), settings)
-    record = run.record
-    if args.registry:
-        record = record.withColumn("model_version", next_version(_recorded_runs(spark, args.registry)))
-        record.write.mode("append").parquet(args.registry)
-    files.save_model(run.model, record, args.model)
+    record = append_run(run.record, args.registry) if args.registry else run.record
+    files.save_model(with_stages(run.stages, run.model), record, args.model)
     return run.comparison
 
 
+def _saved_model(spark: SparkSession, path: str, settings: Settings) -> tuple[PipelineModel, DataFrame, Settings]:
+    """The scoring part of a saved pipeline, its run record, and settings with the features it was trained on."""
+    pipeline, record = files.load_model(spark, path, REGISTRY_SCHEMA)
+    stages, model = split_stages(pipeline)
+    return model, record, replace(settings, features=stage_config(stages, settings.features))
+
+
 def forecast_job(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> DataFrame:
     horizon = args.horizon or settings.forecast.horizon
     check_bounds(horizon, max_horizon=settings.forecast.max_horizon)
     names = settings.columns
-    model, record = files.load_model(spark, args.model, REGISTRY_SCHEMA)
+    model, record, settings = _saved_model(spark, args.model, settings)
     run = record.select("residual_std", "max_lag").first()
     panel, unknown = _asked(files.read_processed(spark, args.input), args, names.entity)
     status = history_guard(panel, run["max_lag"], settings.forecast.min_history, names.entity)
@@ -127,12 +133,13 @@ def backtest_job(spark: SparkSession, args: argparse.Namespace, settings: Settin
     names = settings.columns
     columns = {"entity": names.entity, "date": names.date, "target": names.target}
     panel, unknown = _asked(files.read_processed(spark, args.input), args, names.entity)
+    if args.model:
+        model, _, settings = _saved_model(spark, args.model, settings)
     max_lag = max(settings.features.lags, default=0) if args.model else 0
     status = history_guard(panel, max(max_lag, settings.forecast.min_history) + horizon, 0, names.entity)
     unknown.unionByName(_short(status, names.entity)).write.mode("overwrite").parquet(f"{args.output}-rejects")
     panel = panel.join(status.where(F.col("status") == "ok").select(names.entity), names.entity, "left_semi")
     if args.model:
-        model, _ = files.load_model(spark, args.model, REGISTRY_SCHEMA)
         splits = backtest_trees(panel, model, horizon, args.splits, config=settings.features, **columns)
     else:
         splits = backtest_naive(panel, horizon, args.splits, settings.forecast.seasonality, **columns)
@@ -140,13 +147,6 @@ def backtest_job(spark: SparkSession, args: argparse.Namespace, settings: Settin
     return spark.read.parquet(args.output).agg(F.count(F.lit(1)).alias("splits"), F.avg("mae").alias("mae"))
 
 
-def _recorded_runs(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return files.read_processed(spark, path)
-    except AnalysisException:  # the first run: there is no table yet
-        return None
-
-
 JOBS = {"clean": clean_job, "train": train_job, "forecast": forecast_job, "backtest": backtest_job}
 
 

@@ -7,6 +7,7 @@ from tsspark.plans import (  # noqa: F401  (importing registers)
     catalog_insights,
     catalog_models,
     catalog_monitoring,
+    catalog_series,
     catalog_streaming,
 )
 from tsspark.plans.catalog import ORACLES, QUERIES

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,15 +48,49 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
+#: What this process has put below the shared folder, by process: workers are forks and must not clean up for the driver.
+_MADE: dict[int, list[str]] = {}
+
+
+def _remember(path: str) -> None:
+    if os.getpid() not in _MADE:
+        atexit.register(remove_scratch)
+    _MADE.setdefault(os.getpid(), []).append(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it is removed when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remember(path)
+    return path
+
+
+def remove_scratch() -> None:
+    """Remove what this process has put below the shared folder: intermediate tables, cut lineages, checkpoints of fits.
+
+    Results that are not computed yet read these files, so this is for the end of a job; it runs by itself at the exit.
+    """
+    made, gateway = _MADE.pop(os.getpid(), []), SparkContext._gateway
+    if not made or gateway is None:
+        return
+    hadoop = gateway.jvm.org.apache.hadoop
+    active = SparkContext._active_spark_context
+    settings = active._jsc.hadoopConfiguration() if active is not None and active._jsc is not None else hadoop.conf.Configuration()
+    for path in made:
+        where = hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints, also those of iterative fits, to the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    """Point checkpoints, also those of iterative fits, to a folder of their own below the shared one.
+
+    A folder that was set before may hold others' checkpoints and is left; Spark clears those it no longer needs where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+        _remember(context.getCheckpointDir())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
