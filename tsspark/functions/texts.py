@@ -161,3 +161,13 @@ DEFAULT_ANSWER = (
     "Ask about trend, error, drift, or anomalies for a focused answer."
 )
 REASONING_TITLE = "### Reasoning (signals used)\n\n"
+
+# What an evaluation without scores says, by reason; %s is the entity.
+EVALUATION_MESSAGES = {
+    "no_forecast_record": "No forecast has been recorded yet; run POST /api/v1/forecast/store or POST /api/v1/predict first.",
+    "no_rows_for_store": "No rows in processed data for store_id=%s.",
+    "no_overlapping_dates": "Forecast dates do not overlap finite actuals in processed data for this store.",
+    "metrics_computation_failed": "Could not compute MAE/RMSE/MAPE from aligned pairs (no valid samples).",
+}
+#: Characters of such a message that a reply quotes.
+QUOTED_MESSAGE = 240

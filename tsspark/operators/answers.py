@@ -39,10 +39,12 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
     n_change_points, change_point_indices (of the forecast; n_points NULL if there is none), mae, rmse,
     mape, overall_score, threshold, overall_status, the alerts alert_mae, alert_mape, alert_drift with the
     values (monitored_mae, monitored_mape) and limits (mae_alert, mape_alert, drift_alert) they are about,
-    and horizon, recorded_at, eval_status, eval_reason.
+    and horizon, recorded_at, eval_status, eval_reason, eval_message (may be absent).
 
     The reply leads with the first intent and adds the others' signals, each sentence once.
     """
+    if "eval_message" not in context.columns:
+        context = context.withColumn("eval_message", F.lit(None).cast("string"))
     joined = questions.withColumn("intents", intent_tags(F.col("query"))).join(context, entity, "left")
     c = F.col
     primary = F.get("intents", 0)
@@ -159,7 +161,10 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
     )
     unscored = F.when(
         (c("eval_status") != "ok") & (c("eval_reason") != "no_forecast_record"),
-        F.concat(F.lit("- **Forecast vs actuals**: `"), c("eval_reason"), F.lit("`")),
+        F.concat(
+            F.lit("- **Forecast vs actuals**: `"), c("eval_reason"), F.lit("`"),
+            F.coalesce(F.concat(F.lit(" — "), F.substring("eval_message", 1, texts.QUOTED_MESSAGE)), F.lit("")),
+        ),
     )
     answer = F.when(F.size("says") == 0, F.lit(texts.DEFAULT_ANSWER)).otherwise(F.array_join("says", " "))
     lines = F.concat("why", F.array_compact(F.array(record, unscored)))

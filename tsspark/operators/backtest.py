@@ -1,8 +1,8 @@
 """Rolling-origin backtests for all entities at once.
 
-The panel is sorted once per entity. Two bounded window frames give every row the last k values up to it
-and the next H rows after it; the rows that are cutoffs then score themselves. No history is replicated
-per split and there is no join.
+The panel is numbered once per entity. A row near a cutoff joins that split's group, as one of the last k
+values up to it or of the next H rows after it; all other rows are dropped before anything is collected.
+There is no join.
 """
 
 from __future__ import annotations
@@ -69,26 +69,34 @@ def cutoff_rows(
     strict: bool = False,
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per (entity, split) with ``hist`` (last values) and ``ahead`` (next rows as date, y)."""
+    """One row per (entity, split) with ``hist`` (last values) and ``ahead`` (next rows as date, y).
+
+    A row takes part in the splits whose cutoff is near it, mostly none, so that only such rows are collected. The groups
+    are parts of an entity, which the window has brought together already.
+    """
     series = W.partitionBy(entity)
-    order = series.orderBy(date)
-    y = F.col(target).cast("double")
+    at, cut = F.col("_at"), F.col("_hit.cut")
     placed = df.select(
         entity,
         date,
         *extra,
-        (F.row_number().over(order) - 1).alias("_at"),
+        F.col(target).cast("double").alias("_y"),
+        (F.row_number().over(series.orderBy(date)) - 1).alias("_at"),
         F.count(F.lit(1)).over(series).cast("int").alias("_n"),
-        F.collect_list(F.struct(y.alias("y"))).over(order.rowsBetween(-(tail - 1), 0)).alias("_tail"),
-        F.collect_list(F.struct(F.col(date).alias("d"), y.alias("y"))).over(order.rowsBetween(1, horizon)).alias("ahead"),
     )
     positions = _cutoff_positions(F.col("_n"), horizon, n_splits, first, strict)
-    split = F.array_position(positions, F.col("_at"))
-    return (
-        placed.withColumn("split", split.cast("int"))
-        .where(F.col("split") > 0)
-        .select(entity, "split", F.col(date).alias("last_date"), *extra, F.col("_tail.y").alias("hist"), "ahead")
+    splits = F.transform(positions, lambda p, i: F.struct((i + 1).alias("split"), p.alias("cut")))
+    near = F.filter(splits, lambda s: (at > s["cut"] - tail) & (at <= s["cut"] + horizon))
+    rows = placed.withColumn("_hit", F.explode(near))
+    here = [F.max(F.when(at == cut, F.struct(F.col(c).alias("v"))))["v"].alias(c) for c in extra]
+    groups = rows.groupBy(entity, F.col("_hit.split").alias("split")).agg(
+        F.max(F.when(at == cut, F.col(date))).alias("last_date"),
+        *here,
+        F.sort_array(F.collect_list(F.when(at <= cut, F.struct("_at", F.col("_y").alias("y"))))).alias("_tail"),
+        F.sort_array(F.collect_list(F.when(at > cut, F.struct("_at", F.col(date).alias("d"), F.col("_y").alias("y"))))).alias("_ahead"),
     )
+    ahead = F.transform("_ahead", lambda r: F.struct(r["d"].alias("d"), r["y"].alias("y")))
+    return groups.select(entity, "split", "last_date", *extra, F.col("_tail.y").alias("hist"), ahead.alias("ahead"))
 
 
 def score_splits(scored: DataFrame, entity: str = "entity") -> DataFrame:

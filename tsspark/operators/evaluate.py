@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsspark.config import PromotionConfig
+from tsspark.functions.texts import EVALUATION_MESSAGES
 from tsspark.functions import errors
 from tsspark.functions.missing import is_finite
 
@@ -62,7 +63,7 @@ def evaluate_forecast(
     date: str = "date",
     target: str = "target",
 ) -> DataFrame:
-    """One row per requested entity: its scores, or the first reason why there are none.
+    """One row per requested entity: its scores, or the first reason why there are none, as a code and a message.
 
     ``forecasts`` holds the latest forecast per entity. Actuals meet the (short) forecasts on
     (entity, date); whether an entity has actuals at all comes from a grouped side.
@@ -82,10 +83,15 @@ def evaluate_forecast(
         .when(F.col("n_samples") == 0, F.lit("no_overlapping_dates"))
         .when(F.col("mae").isNull(), F.lit("metrics_computation_failed"))
     )
+    message = F.lit(None).cast("string")
+    for code, text in EVALUATION_MESSAGES.items():
+        said = F.format_string(text, F.col(entity).cast("string")) if "%s" in text else F.lit(text)
+        message = F.when(reason == code, said).otherwise(message)
     return out.select(
         entity,
         F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("no_ground_truth")).alias("status"),
         reason.alias("reason"),
+        message.alias("message"),
         F.coalesce("horizon", F.lit(0)).alias("horizon"),
         F.coalesce("n_samples", F.lit(0)).alias("n_samples"),
         "mae",

@@ -251,7 +251,7 @@ def insight_context(
         F.count(F.lit(1)).alias("n_points"), F.max("recorded_at").alias("recorded_at"), F.max("step").alias("horizon")
     )
     scored = evaluations.select(
-        entity, F.col("status").alias("eval_status"), F.col("reason").alias("eval_reason"),
+        entity, F.col("status").alias("eval_status"), F.col("reason").alias("eval_reason"), F.col("message").alias("eval_message"),
         *[F.col(c).alias(f"eval_{c}") for c in ("mae", "rmse", "mape", "n_samples")],
     )
     joined = monitoring.join(meta, entity, "left").join(scored, entity, "left")
@@ -267,6 +267,7 @@ def insight_context(
         "recorded_at",
         "eval_status",
         "eval_reason",
+        "eval_message",
         pick("mae", "mae").alias("mae"),
         pick("rmse", "rmse").alias("rmse"),
         pick("mape", "mape").alias("mape"),

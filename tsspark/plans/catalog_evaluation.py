@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsspark.config import PromotionConfig
+from tsspark.functions.texts import EVALUATION_MESSAGES
 from tsspark.operators import backtest as B
 from tsspark.operators import evaluate as E
 from tsspark.operators import forecast as FC
@@ -70,6 +71,12 @@ def aligned_metrics(spark, sf_dir):
     return E.aligned_metrics(padded)
 
 
+def message_sql(reason: str, entity: str) -> str:
+    """The message of a reason code; %s stands for the entity."""
+    cases = " ".join(f"WHEN '{code}' THEN replace('{text}', '%s', CAST({entity} AS VARCHAR))" for code, text in EVALUATION_MESSAGES.items())
+    return f"CASE {reason} {cases} END"
+
+
 @query(
     "evaluate_forecast",
     with_(
@@ -82,8 +89,8 @@ def aligned_metrics(spark, sf_dir):
                 WHEN c_custkey NOT IN (SELECT entity FROM known) THEN 'no_rows_for_store'
                 WHEN n_samples = 0 THEN 'no_overlapping_dates' END AS reason
              FROM customer LEFT JOIN scored s ON s.entity = c_custkey)""",
-        """SELECT entity, CASE WHEN reason IS NULL THEN 'ok' ELSE 'no_ground_truth' END AS status, reason, coalesce(horizon, 0) AS horizon,
-                  coalesce(n_samples, 0) AS n_samples, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape FROM judged""",
+        f"""SELECT entity, CASE WHEN reason IS NULL THEN 'ok' ELSE 'no_ground_truth' END AS status, reason, {message_sql('reason', 'entity')} AS message,
+                  coalesce(horizon, 0) AS horizon, coalesce(n_samples, 0) AS n_samples, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape FROM judged""",
     ),
 )
 def evaluate_forecast(spark, sf_dir):

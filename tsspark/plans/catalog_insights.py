@@ -11,7 +11,7 @@ from tsspark.operators import forecast as FC
 from tsspark.operators import insights as I
 from tsspark.plans.catalog import MAE_SQL, MAPE_SQL, RMSE_SQL, SALES, cutoff_cte, naive_cte, pairs_cte, query, with_
 from tsspark.plans.catalog_drift import DRIFT, OVERALL
-from tsspark.plans.catalog_evaluation import AVERAGES, HELD_OUT, SALES_SPLITS, TRAIN
+from tsspark.plans.catalog_evaluation import AVERAGES, HELD_OUT, SALES_SPLITS, TRAIN, message_sql
 from tsspark.plans.catalog_models import USER_DAYS, _sales, _user_days
 from tsspark.plans.catalog_monitoring import CONFIG, _from_backtest
 from tsspark.sources import panels
@@ -249,8 +249,8 @@ CONTEXT = (
 
 @query(
     "insight_context",
-    with_(*CONTEXT, """SELECT entity, n_points, horizon, CAST(recorded_at AS VARCHAR) AS recorded_at, eval_status, eval_reason, round(mae, 6) AS mae,
-          round(rmse, 6) AS rmse, round(mape, 6) AS mape, sample_size, source, monitored_mae, monitored_mape, drift_detected, round(overall_score, 6) AS overall_score, threshold FROM context"""),
+    with_(*CONTEXT, """SELECT entity, n_points, horizon, CAST(recorded_at AS VARCHAR) AS recorded_at, eval_status, eval_reason, """ + message_sql("eval_reason", "entity") + """ AS eval_message,
+          round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, sample_size, source, monitored_mae, monitored_mape, drift_detected, round(overall_score, 6) AS overall_score, threshold FROM context"""),
 )
 def insight_context(spark, sf_dir):
     _, context = _context(spark, sf_dir)
@@ -358,7 +358,7 @@ def _answers_sql() -> str:
                    concat('### Reasoning (signals used)', chr(10), chr(10), concat_ws(chr(10), array_to_string(reasons, chr(10)),
                        CASE WHEN len(said) < 2 AND mae IS NOT NULL THEN concat('- **MAE**: **', {mae}, '**.') END,
                        CASE WHEN known THEN concat('- **Latest forecast (API)**: store `', entity, '`, horizon `', horizon, '`, `', n_points, '` points, recorded `', CAST(recorded_at AS VARCHAR), '`.') END,
-                       CASE WHEN eval_status <> 'ok' AND eval_reason <> 'no_forecast_record' THEN concat('- **Forecast vs actuals**: `', eval_reason, '`') END)) AS reasoning,
+                       CASE WHEN eval_status <> 'ok' AND eval_reason <> 'no_forecast_record' THEN concat('- **Forecast vs actuals**: `', eval_reason, '` — ', left({message_sql('eval_reason', 'entity')}, {texts.QUOTED_MESSAGE})) END)) AS reasoning,
                    round(least(0.92, greatest(0.35, 0.45 + CASE WHEN coalesce(n_points, 0) >= 7 THEN 0.12 ELSE 0 END + CASE WHEN mae IS NOT NULL OR mape IS NOT NULL THEN 0.1 ELSE 0 END
                        + CASE WHEN overall_score IS NOT NULL THEN 0.08 ELSE 0 END + least(0.15, 0.03 * len(intents)))), 2) AS confidence FROM once)""",
         "SELECT *, concat('## Answer', chr(10), chr(10), answer, chr(10), chr(10), reasoning) AS explanation FROM replied",

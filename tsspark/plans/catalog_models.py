@@ -475,8 +475,8 @@ def stump(spark, sf_dir):
 
 @query(
     "fit_stump",
-    with_(*STUMP_CTES, f"""SELECT {KEYS}, target AS y_true,
-          CASE WHEN CASE best.feature {' '.join(f"WHEN '{f}' THEN {f}" for f in STUMP)} END <= best.value THEN below ELSE above END AS y_pred
+    with_(*STUMP_CTES, f"""SELECT {KEYS}, target AS y_true, round(
+          CASE WHEN CASE best.feature {' '.join(f"WHEN '{f}' THEN {f}" for f in STUMP)} END <= best.value THEN below ELSE above END, 6) AS y_pred
           FROM featured, cut, best WHERE date >= cutoff"""),
 )
 def fit_stump(spark, sf_dir):

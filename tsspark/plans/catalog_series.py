@@ -38,17 +38,17 @@ _PAST = "OVER (ORDER BY ts, event_id ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)
     "features_one_series",
     with_(
         ONE,
-        "SELECT event_id, CAST(ts AS VARCHAR) AS ts, target, "
+        "SELECT event_id, CAST(date_trunc('second', ts) AS VARCHAR) AS ts, target, "
         + ", ".join(f"lag(target, {k}) OVER (ORDER BY ts, event_id) AS lag_{k}" for k in (1, 7, 14))
         + ", "
-        + ", ".join(f"avg(target) {_PAST.format(w=w)} AS rolling_mean_{w}, stddev_samp(target) {_PAST.format(w=w)} AS rolling_std_{w}" for w in (7, 14))
+        + ", ".join(f"round(avg(target) {_PAST.format(w=w)}, 6) AS rolling_mean_{w}, round(stddev_samp(target) {_PAST.format(w=w)}, 6) AS rolling_std_{w}" for w in (7, 14))
         + ", isodow(ts) - 1 AS day_of_week, day(ts) AS day_of_month, weekofyear(ts) AS week_of_year, month(ts) AS month, "
         "CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM one",
     ),
 )
 def features_one_series(spark, sf_dir):
     made = add_features(_events(spark, sf_dir), entity=None, date="ts", ties=("event_id",), block_rows=BLOCK_ROWS)
-    return made.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return made.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
@@ -82,20 +82,20 @@ def reindex_one_series(spark, sf_dir):
 @query(
     "minutes_one_series",
     with_(
-        "minutes AS (SELECT date_trunc('minute', ts) AS at, CAST(count(*) AS DOUBLE) AS target FROM events GROUP BY 1)",
-        "grid AS (SELECT unnest(generate_series(min(at), max(at), INTERVAL 1 MINUTE)) AS at FROM minutes)",
-        "filled AS (SELECT at, target, last_value(target IGNORE NULLS) OVER (ORDER BY at) AS target_cleaned FROM grid LEFT JOIN minutes USING (at))",
-        """SELECT CAST(at AS VARCHAR) AS at, target, target_cleaned, lag(target_cleaned, 60) OVER (ORDER BY at) AS lag_60,
-                  sum(target) OVER (ORDER BY at ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING) AS last_day FROM filled""",
+        "minutes AS (SELECT date_trunc('minute', ts) AS moment, CAST(count(*) AS DOUBLE) AS target FROM events GROUP BY 1)",
+        "grid AS (SELECT unnest(generate_series(min(moment), max(moment), INTERVAL 1 MINUTE)) AS moment FROM minutes)",
+        "filled AS (SELECT moment, target, last_value(target IGNORE NULLS) OVER (ORDER BY moment) AS target_cleaned FROM grid LEFT JOIN minutes USING (moment))",
+        """SELECT CAST(moment AS VARCHAR) AS moment, target, target_cleaned, lag(target_cleaned, 60) OVER (ORDER BY moment) AS lag_60,
+                  sum(target) OVER (ORDER BY moment ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING) AS last_day FROM filled""",
     ),
 )
 def minutes_one_series(spark, sf_dir):
     """A calendar of minutes: gaps, carried values, a lag and a day's sum in one chain over the same blocks."""
-    minutes = panels.table(spark, sf_dir, "events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at"))
-    series = LongSeries.of(minutes.agg(F.count(F.lit(1)).cast("double").alias("target")), "at", BLOCK_ROWS)
+    minutes = panels.table(spark, sf_dir, "events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("moment"))
+    series = LongSeries.of(minutes.agg(F.count(F.lit(1)).cast("double").alias("target")), "moment", BLOCK_ROWS)
     chain = series.unfold("target", F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1))).carry_forward("target", "target_cleaned")
     chain = chain.windowed(1440, lambda w: {"lag_60": F.lag("target_cleaned", 60).over(w), "last_day": F.sum("target").over(w.rowsBetween(-1440, -1))})
-    return chain.frame().withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+    return chain.frame().withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss"))
 
 
 # ---- other calendars ---------------------------------------------------------------------------------
@@ -261,7 +261,6 @@ def windows_sql(w: int) -> str:
     with_(
         SEGMENTS, pairs_cte("segments"), f"points AS ({points_sql('pairs')})", windows_sql(14),
     ),
-    digits=4,
 )
 def rolling_errors_stream(spark, sf_dir):
     """Even days first, then odd ones: every window is emitted again as the points between arrive."""

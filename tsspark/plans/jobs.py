@@ -94,7 +94,8 @@ def clean_job(spark: SparkSession, args: argparse.Namespace, settings: Settings)
             cleaning |= {"unique_by": [names.entity, names.date], "order": ["row_order"]}
         out = etl.run_generic(raw, checks, cleaning, _augmentation(settings, names.target), check=not args.no_validate).drop("row_order")
         keys = {"entity": names.entity, "date": names.date}
-    files.write_processed(out, args.output, **keys)
+    if files.write_processed(out, args.output, **keys):
+        out = files.read_processed(spark, args.output)  # the summary of what was written, without cleaning again
     return files.etl_summary(out, keys["date"], keys["entity"])
 
 

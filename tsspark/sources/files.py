@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,13 +149,18 @@ def write_processed(df: DataFrame, path: str, entity: str = "entity", date: str
     """Parquet clustered by (entity, date), so row-group statistics prune a filter on the entity.
 
     Range partitions cut through an entity where it is large, and there is no folder per entity.
-    Nothing is written, and False returned, if there is no row.
+    Nothing is written, and False returned, if there is no row. The rows are kept while they are counted, sampled for the
+    ranges and written, so what leads to them is computed once.
     """
-    if df.isEmpty():
-        return False
-    clustered = df.repartitionByRange(F.col(entity), F.col(date)).sortWithinPartitions(entity, date)
-    clustered.write.mode("overwrite").parquet(path)
-    return True
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if df.isEmpty():
+            return False
+        clustered = df.repartitionByRange(F.col(entity), F.col(date)).sortWithinPartitions(entity, date)
+        clustered.write.mode("overwrite").parquet(path)
+        return True
+    finally:
+        df.unpersist()
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
