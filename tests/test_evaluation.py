@@ -276,3 +276,24 @@ def test_summary_mirrors_backtest(spark, frame):
     asked = spark.createDataFrame([("A",), ("Z",)], "entity string")
     neutral = M.empty_summary(asked, rows).where("entity = 'Z'").first()
     assert (neutral["overall_status"], neutral["evaluated_points"], neutral["note"]) == ("unknown", 0, "no run recorded")
+
+
+def test_reasons_come_with_a_message(frame, spark):
+    forecasts = frame([("A", "2024-06-01", 100.0), ("B", "2024-06-01", 1.0), ("C", "2024-06-01", 1.0)], "entity_id string, date date, y_pred double")
+    actuals = frame([("2024-06-01", "A", 105.0), ("2023-01-01", "B", 1.0)], PANEL)
+    asked = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "entity string")
+    got = {r["entity"]: r["message"] for r in E.evaluate_forecast(asked, forecasts, actuals).collect()}
+    assert got["A"] is None and got["C"] == "No rows in processed data for store_id=C."
+    assert got["B"].startswith("Forecast dates do not overlap") and got["D"].startswith("No forecast has been recorded yet")
+
+
+def test_backtest_groups_hold_the_rows_near_a_cutoff(frame, days):
+    from tsspark.operators.backtest import cutoff_rows
+
+    values = [None if i == 24 else float(i) for i in range(40)]
+    rows = [(d, "A", v) for d, v in zip(days("2024-01-01", 40), values, strict=True)] + [("2024-01-01", "B", 1.0)]
+    got = cutoff_rows(frame(rows, PANEL), horizon=5, n_splits=3, tail=4).orderBy("split").collect()
+    cuts = [15, 25, 35]
+    assert [(r["entity"], r["split"], str(r["last_date"])) for r in got] == [("A", k + 1, days("2024-01-01", 40)[c]) for k, c in enumerate(cuts)]
+    assert [list(r["hist"]) for r in got] == [values[c - 3 : c + 1] for c in cuts]
+    assert [[x["y"] for x in r["ahead"]] for r in got] == [values[c + 1 : c + 6] for c in cuts]

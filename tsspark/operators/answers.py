@@ -1,6 +1,7 @@
 """Answers to questions about an entity, composed from its forecast description and monitoring row.
 
-Every question meets its entity's context row in one join; all wording is column expressions.
+What can be said about an entity is worded once per entity; every question then meets its entity's row in one join and
+chooses. All wording is column expressions.
 """
 
 from __future__ import annotations
@@ -32,29 +33,11 @@ def _line(title: str, text: Column) -> Column:
     return F.concat(F.lit(f"- **{title}**: "), text)
 
 
-def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entity") -> DataFrame:
-    """``questions`` (id columns, entity, query) answered against ``context``, one row per entity.
-
-    Context columns: n_points, trend, slope_normalized, coefficient_of_variation, volatility,
-    n_change_points, change_point_indices (of the forecast; n_points NULL if there is none), mae, rmse,
-    mape, overall_score, threshold, overall_status, the alerts alert_mae, alert_mape, alert_drift with the
-    values (monitored_mae, monitored_mape) and limits (mae_alert, mape_alert, drift_alert) they are about,
-    and horizon, recorded_at, eval_status, eval_reason, eval_message (may be absent).
-
-    The reply leads with the first intent and adds the others' signals, each sentence once.
-    """
+def _worded(context: DataFrame, entity: str) -> DataFrame:
+    """``context`` with everything there is to say about an entity, worded once, whatever the number of questions."""
+    c = F.col
     if "eval_message" not in context.columns:
         context = context.withColumn("eval_message", F.lit(None).cast("string"))
-    joined = questions.withColumn("intents", intent_tags(F.col("query"))).join(context, entity, "left")
-    c = F.col
-    primary = F.get("intents", 0)
-
-    def is_first(name: str) -> Column:
-        return primary == name
-
-    def has(name: str) -> Column:
-        return F.array_contains("intents", name)
-
     described = c("n_points").isNotNull()
     direction = (
         F.when(c("trend").isin("upward", "moderate_up"), F.lit("up"))
@@ -96,11 +79,59 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
             ]
         )
     )
-    alerted = is_first("alert") & (F.size(raised) > 0)
-    alerts_text = F.array_join(raised, "; ")
+    record = F.when(
+        described & c("recorded_at").isNotNull(),
+        F.concat(
+            F.lit("- **Latest forecast (API)**: store `"), c(entity).cast("string"), F.lit("`, horizon `"), c("horizon").cast("string"),
+            F.lit("`, `"), c("n_points").cast("string"), F.lit("` points, recorded `"), c("recorded_at").cast("string"), F.lit("`."),
+        ),
+    )
+    unscored = F.when(
+        (c("eval_status") != "ok") & (c("eval_reason") != "no_forecast_record"),
+        F.concat(
+            F.lit("- **Forecast vs actuals**: `"), c("eval_reason"), F.lit("`"),
+            F.coalesce(F.concat(F.lit(" — "), F.substring("eval_message", 1, texts.QUOTED_MESSAGE)), F.lit("")),
+        ),
+    )
+    return context.select(
+        "*",
+        trend_says.alias("_trend_says"), trend_why.alias("_trend_why"), swing_says.alias("_swing_says"), swing_why.alias("_swing_why"),
+        steps_says.alias("_steps_says"), steps_why.alias("_steps_why"), error_says.alias("_error_says"), error_why.alias("_error_why"),
+        drift_says.alias("_drift_says"), drift_why.alias("_drift_why"), F.array_join(raised, "; ").alias("_alerts"),
+        texts.general(c("mae")).alias("_mae"), texts.general(c("rmse")).alias("_rmse"), record.alias("_record"), unscored.alias("_unscored"),
+    )
+
+
+def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entity") -> DataFrame:
+    """``questions`` (id columns, entity, query) answered against ``context``, one row per entity.
+
+    Context columns: n_points, trend, slope_normalized, coefficient_of_variation, volatility,
+    n_change_points, change_point_indices (of the forecast; n_points NULL if there is none), mae, rmse,
+    mape, overall_score, threshold, overall_status, the alerts alert_mae, alert_mape, alert_drift with the
+    values (monitored_mae, monitored_mape) and limits (mae_alert, mape_alert, drift_alert) they are about,
+    and horizon, recorded_at, eval_status, eval_reason, eval_message (may be absent).
+
+    The reply leads with the first intent and adds the others' signals, each sentence once.
+    """
+    c = F.col
+    asked = questions.withColumn("intents", intent_tags(F.col("query")))
+    joined = asked.join(_worded(context, entity), entity, "left")
+    primary = F.get("intents", 0)
+
+    def is_first(name: str) -> Column:
+        return primary == name
+
+    def has(name: str) -> Column:
+        return F.array_contains("intents", name)
+
+    described = c("n_points").isNotNull()
+    trend_says, trend_why, swing_says, swing_why = c("_trend_says"), c("_trend_why"), c("_swing_says"), c("_swing_why")
+    steps_says, steps_why, error_says, error_why = c("_steps_says"), c("_steps_why"), c("_error_says"), c("_error_why")
+    drift_says, drift_why, mae, rmse = c("_drift_says"), c("_drift_why"), c("_mae"), c("_rmse")
+    alerted = is_first("alert") & F.coalesce(c("_alerts") != "", F.lit(False))
+    alerts_text = F.coalesce("_alerts", F.lit(""))
     status = F.coalesce("overall_status", F.lit("unknown"))
     asks_mae = F.lower("query").contains("mae")
-    mae = texts.general(c("mae"))
 
     general = is_first("general")
     trend_second = described & has("trend") & ~is_first("trend") & ~is_first("forecast")
@@ -133,7 +164,7 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
         F.when(is_first("drift") & drift_why.isNotNull(), _line("Drift", drift_why)),
         F.when(is_first("error") & error_why.isNotNull(), _line("Error (MAPE)", error_why)),
         F.when(is_first("error") & c("mae").isNotNull(), F.format_string("- **MAE**: **%s**.", mae)),
-        F.when(is_first("error") & c("rmse").isNotNull(), F.format_string("- **RMSE**: **%s**.", texts.general(c("rmse")))),
+        F.when(is_first("error") & c("rmse").isNotNull(), F.format_string("- **RMSE**: **%s**.", rmse)),
         F.when(is_first("forecast") & described, _line("Trend", trend_why)),
         F.when(is_first("forecast") & described, _line("Volatility", swing_why)),
         F.when(is_first("health"), F.concat(F.lit("- **Overall status**: `"), status, F.lit("`."))),
@@ -152,22 +183,8 @@ def batch_answers(questions: DataFrame, context: DataFrame, entity: str = "entit
             "why": F.when(thin, F.array_append("why", F.format_string("- **MAE**: **%s**.", mae))).otherwise(c("why")),
         }
     )
-    record = F.when(
-        described & c("recorded_at").isNotNull(),
-        F.concat(
-            F.lit("- **Latest forecast (API)**: store `"), c(entity).cast("string"), F.lit("`, horizon `"), c("horizon").cast("string"),
-            F.lit("`, `"), c("n_points").cast("string"), F.lit("` points, recorded `"), c("recorded_at").cast("string"), F.lit("`."),
-        ),
-    )
-    unscored = F.when(
-        (c("eval_status") != "ok") & (c("eval_reason") != "no_forecast_record"),
-        F.concat(
-            F.lit("- **Forecast vs actuals**: `"), c("eval_reason"), F.lit("`"),
-            F.coalesce(F.concat(F.lit(" — "), F.substring("eval_message", 1, texts.QUOTED_MESSAGE)), F.lit("")),
-        ),
-    )
     answer = F.when(F.size("says") == 0, F.lit(texts.DEFAULT_ANSWER)).otherwise(F.array_join("says", " "))
-    lines = F.concat("why", F.array_compact(F.array(record, unscored)))
+    lines = F.concat("why", F.array_compact(F.array("_record", "_unscored")))
     reasoning = F.concat(F.lit(texts.REASONING_TITLE), F.array_join(lines, "\n"))
     metric_known = c("mae").isNotNull() | c("mape").isNotNull()
     confidence = (
