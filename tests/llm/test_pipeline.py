@@ -56,3 +56,28 @@ def test_empty_documents(world, spark):
 def test_order_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "byte_bpe"]
     assert corpus_pipeline.ORACLE_SQL is None and secrets.BASE and bpe.PART_CHARS
+
+
+def test_odd_rows_empty_labels_and_empty_benchmark(spark, clashing, tables):
+    """Without labels or a benchmark those stages keep all; odd rows get through with their texts and columns."""
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000))
+    rows = [(None, "a text without an id that stays"), (None, None), (1, "same words in both rows of this id"), (1, "same words in both rows of this id")]
+    rows += [(2, long), (3, ""), (4, None), (5, "tie one two three four five six"), (6, "tie one two three four five six")]
+    docs = clashing(rows)
+    folder = tables(
+        documents=docs,
+        labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert kept.columns == docs.columns, name
+        ids = sorted((r["doc_id"] or 0) for r in kept.select("doc_id").collect())
+        if name == "near_duplicates":
+            assert set(ids) == {0, 1, 2, 3, 4, 5} and 6 not in ids
+        else:
+            assert ids == sorted((i or 0) for i, _ in rows), name
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in got} == {None, 1, 2, 3, 4, 5}
+    sizes = {r["doc_id"]: r["decoded_sha256"] for r in got if r["doc_id"]}
+    assert sizes[2] == hashlib.sha256(long.encode()).hexdigest() and sizes[4] == hashlib.sha256(b"").hexdigest()
