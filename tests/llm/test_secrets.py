@@ -93,3 +93,11 @@ def test_private_keys_go_with_their_bodies(documents, tmp_path):
 
 def test_empty_table(documents, tmp_path):
     assert secrets.digest(secrets.scan(documents([]), str(tmp_path / "ledger"))).count() == 0
+
+
+def test_long_logins_in_urls(documents, tmp_path):
+    long = "tok" + "aB3-" * 3000
+    texts = [f"see https://user:{long}@host.example/x end", f"ftp://{long}:pw@h z", "a://" * 50_000 + "b", "https://" + "c:" * 100_000 + " no login"]
+    got = dict((r["doc_id"], r["text"]) for r in secrets.redact(documents(list(enumerate(texts))), str(tmp_path / "ledger")).collect())
+    assert got[0] == "see [secret]/x end" and got[1] == "[secret] z"
+    assert got[2] == texts[2] and got[3] == texts[3]

@@ -133,3 +133,48 @@ def test_length_and_marks_hide_nothing(chars):
     for n in (9, 10, 40, 200):  # spaced out: no word is lost at a cut
         assert times(" ".join("m o r o n" for _ in range(n)), "moron") == n
     assert times("the i d i o t, on", "idiot") == times("the 'i d i o t' on", "idiot") == times("m o r o n, i d i o t!", "idiot") == 1
+
+
+def least_cost(model, raw):
+    """The least cost over all readings, by trying every one."""
+    t = toxicity
+    best = {}
+
+    def walk(k, p, q, last, cost):
+        if k == len(raw):
+            best["cost"] = min(best.get("cost", float("inf")), cost + model.cost[p, q, 0])
+            return
+        char = raw[k]
+        if char.isalpha():
+            options = [(char, 0.0)]
+        else:
+            options = [(x, t.LOOK) for x in t.LOOKS.get(char, "")]
+            if char in t.BETWEEN or char in t.EDGES:
+                walk(k + 1, p, q, last, cost + t.DROP)
+            if char in t.BETWEEN and q:
+                walk(k + 1, q, 0, "", cost + t.BREAK + model.cost[p, q, 0])
+            if char not in t.BETWEEN:
+                options.append((char, t.STAY))
+        for letter, extra in options:
+            c = t._code(letter)
+            walk(k + 1, q, c, letter, cost + extra + model.cost[p, q, c])
+        if k and raw[k - 1] == char and last and (char == last or last in t.LOOKS.get(char, "")):
+            walk(k + 1, p, q, last, cost + t.REPEAT)
+
+    walk(0, 0, 0, "", 0.0)
+    return best["cost"]
+
+
+def test_search_is_exact():
+    rng = random.Random(12)
+    model = toxicity.CharModel(np.array([rng.randint(0, 9) ** 3 for _ in range(toxicity.LETTERS**3)]))
+    for _ in range(300):
+        raw = "".join(rng.choice("18!6|(.-+ab1@$") for _ in range(rng.randint(1, 9)))
+        assert model.search(raw)[0] == pytest.approx(least_cost(model, raw), rel=1e-12), raw
+
+
+def test_many_states_stay_bounded():
+    rng = random.Random(13)
+    model = toxicity.CharModel(np.ones(toxicity.LETTERS**3))
+    long = "".join(rng.choice("1!|68@4(+#%&^=~*") for _ in range(3000))
+    assert isinstance(model.restore(long), str)

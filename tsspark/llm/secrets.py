@@ -60,7 +60,7 @@ EXTRA = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"'<>]{1,256}:[^\x00-\x20/@\"'<>]{1,256}@[A-Za-z0-9.-]+"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"'<>]++:[^\x00-\x20/@\"'<>]++@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + EXTRA
 

@@ -73,7 +73,14 @@ class CharModel:
         return self.seen[raw]
 
     def _viterbi(self, raw: str) -> str:
-        """At most 40 states a character, each with its reading as (reading before, letter): linear in the length."""
+        return self.search(raw)[1]
+
+    def search(self, raw: str) -> tuple[float, str]:
+        """The least cost of all readings, and the first reading that has it.
+
+        A state is the classes of the last two letters and the last character, which bounds their number; each has its
+        reading as (reading before, letter), so the search is linear in the length.
+        """
         paths: dict[tuple, tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for k, char in enumerate(raw):
             nxt: dict[tuple, tuple[float, tuple | None]] = {}
@@ -99,10 +106,10 @@ class CharModel:
                     offer((q, c, letter), cost + extra + self.cost[p, q, c], (out, letter))
                 if again and last and (char == last or last in LOOKS.get(char, "")):
                     offer((p, q, last), cost + REPEAT, out)
-            paths = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:40]) if len(nxt) > 40 else nxt
+            paths = nxt
         ends = [(cost + self.cost[p, q, 0], out) for (p, q, _), (cost, out) in paths.items()]
-        least = min((cost for cost, _ in ends), default=0)
-        return min((_written(out) for cost, out in ends if cost == least), default=raw)
+        least = min((cost for cost, _ in ends), default=0.0)
+        return least, min((_written(out) for cost, out in ends if cost == least), default=raw)
 
 
 def _written(out: tuple | None) -> str:
