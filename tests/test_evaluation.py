@@ -297,3 +297,11 @@ def test_backtest_groups_hold_the_rows_near_a_cutoff(frame, days):
     assert [(r["entity"], r["split"], str(r["last_date"])) for r in got] == [("A", k + 1, days("2024-01-01", 40)[c]) for k, c in enumerate(cuts)]
     assert [list(r["hist"]) for r in got] == [values[c - 3 : c + 1] for c in cuts]
     assert [[x["y"] for x in r["ahead"]] for r in got] == [values[c + 1 : c + 6] for c in cuts]
+
+
+def test_short_halves_are_reported_when_asked(frame, days):
+    few = frame([(x, "A", float(i)) for i, x in enumerate(days("2024-01-01", 30))], PANEL)
+    enough = frame([(x, "A", 50 + (i % 5) - 2.0) for i, x in enumerate(days("2024-01-01", 80))], PANEL)
+    assert [(r["status"], r["drift_score"]) for r in D.distribution_drift(few, report_short=True).collect()] == [("not_enough_rows", None)]
+    assert [r["status"] for r in D.distribution_drift(few.limit(0), report_short=True).collect()] == ["not_enough_rows"]
+    assert [r["status"] for r in D.distribution_drift(enough, report_short=True).collect()] == ["low"]

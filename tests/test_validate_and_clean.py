@@ -167,3 +167,21 @@ def test_retail_run_checks_then_cleans(gaps):
     assert run_retail(gaps).count() == 6
     with pytest.raises(ValueError):
         run_retail(gaps.unionByName(gaps))
+
+
+@pytest.mark.parametrize("span", ["per_entity", "global"])
+@pytest.mark.parametrize("strategy", ["forward_fill", "zero"])
+def test_counts_of_filled_values_without_unfolding(frame, span, strategy):
+    from collections import Counter
+
+    from tsspark.operators.clean import fill_missing, filled_counts, reindex_daily
+
+    rows = [("2020-01-03", "A", 5.0), ("2020-01-04", "A", None), ("2020-01-09", "A", 7.0), ("2020-01-01", "B", None), ("2020-01-12", "B", 5.0), ("2020-01-05", "C", 1.0), (None, "C", 2.0)]
+    df = frame(rows, "date date, entity string, target double")
+    whole = fill_missing(reindex_daily(df, span=span), strategy)
+    want = Counter(r["target_cleaned"] for r in whole.collect() if r["target_cleaned"] is not None)
+    got = Counter()
+    for r in filled_counts(df, strategy, "entity", "date", "target", span).collect():
+        if r["value"] is not None:
+            got[r["value"]] += r["w"]
+    assert got == want

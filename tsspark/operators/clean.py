@@ -83,6 +83,32 @@ def _bounded(value: Column, lower: float | Column | None, upper: float | Column
     return bounded if bounded is value else F.when(value.isNotNull(), bounded)
 
 
+def _spans(df: DataFrame, entity: str, date: str, target: str, span: str) -> DataFrame:
+    """(entity, date, target) with the days that each row stands for: ``_first`` (its own, or earlier) to ``_upto``."""
+    series = W.partitionBy(entity).orderBy(date)
+    narrow = df.select(entity, date, target).dropna(subset=[entity, date])
+    first, last = F.col(date), F.col(date)
+    if span == "global":
+        ends = narrow.agg(F.struct(F.min(date).alias("first"), F.max(date).alias("last"))).scalar()
+        first = F.when(F.lag(date).over(series).isNull(), ends["first"]).otherwise(F.col(date))
+        last = ends["last"]
+    upto = F.greatest(F.coalesce(F.date_sub(F.lead(date).over(series), 1), last), F.col(date))
+    return narrow.withColumns({"_first": first, "_upto": upto})
+
+
+def filled_counts(df: DataFrame, strategy: str, entity: str, date: str, target: str, span: str) -> DataFrame:
+    """(value, w): what ``fill_missing`` puts after ``reindex_daily`` and on how many days, without unfolding the days."""
+    spans = _spans(df, entity, date, target, span)
+    after, before = F.datediff("_upto", date), F.datediff(date, "_first")
+    value = F.col(target).cast("double")
+    if strategy == "zero":
+        own = F.struct(F.coalesce(value, F.lit(0.0)).alias("value"), F.lit(1).alias("w"))
+        added = F.struct(F.lit(0.0).alias("value"), (before + after).alias("w"))
+        return spans.select(F.inline(F.array(own, added))).where(F.col("w") > 0)
+    past = W.partitionBy(entity).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    return spans.select(F.last(value, ignorenulls=True).over(past).alias("value"), (after + 1).alias("w"))
+
+
 def reindex_daily(
     df: DataFrame, entity: str | None = "entity", date: str = "date", target: str = "target", span: str = "per_entity", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -95,15 +121,7 @@ def reindex_daily(
     """
     if entity is None:
         return LongSeries.of(df.select(date, target), date, block_rows).unfold(target).frame()
-    series = W.partitionBy(entity).orderBy(date)
-    narrow = df.select(entity, date, target).dropna(subset=[entity, date])
-    first, last = F.col(date), F.col(date)
-    if span == "global":
-        ends = narrow.agg(F.struct(F.min(date).alias("first"), F.max(date).alias("last"))).scalar()
-        first = F.when(F.lag(date).over(series).isNull(), ends["first"]).otherwise(F.col(date))
-        last = ends["last"]
-    upto = F.greatest(F.coalesce(F.date_sub(F.lead(date).over(series), 1), last), F.col(date))
-    placed = narrow.withColumns({"_first": first, "_upto": upto})
+    placed = _spans(df, entity, date, target, span)
     days = F.sequence("_first", "_upto", F.make_dt_interval(F.lit(1)))
     unfolded = placed.select(entity, F.col(date).alias("_own"), F.col(target).alias("_value"), F.explode(days).alias(date))
     return unfolded.select(entity, date, F.when(F.col(date) == F.col("_own"), F.col("_value")).alias(target))
@@ -134,16 +152,21 @@ def fill_missing(
     raise ValueError(f"Unknown fill strategy: {strategy}")
 
 
-def clip_outliers(df: DataFrame, rule: ClipRule, column: str = "target_cleaned", sketches: DataFrame | None = None) -> DataFrame:
+def clip_outliers(
+    df: DataFrame, rule: ClipRule, column: str = "target_cleaned", sketches: DataFrame | None = None, weighted: DataFrame | None = None
+) -> DataFrame:
     """Clip to absolute bounds, or to quartile fences over the whole column; given bounds win.
 
     Exact quartiles run a job while the plan is built. Approximate ones don't; with ``sketches``, a table of day sketches
     (see ``sketches``), ``df`` isn't read for them at all, so fences of a growing panel cost its new days only.
+    ``weighted`` gives the same values as rows (value, w), for exact quartiles without ``df``.
     """
     lower, upper = rule.lower, rule.upper
     if rule.by_quartiles:
         if rule.approximate or sketches is not None:
             found = sketch_quantiles(daily_sketches(df, column, None) if sketches is None else sketches, (0.25, 0.75))
+        elif weighted is not None:
+            found = exact_quantiles(weighted, "value", (0.25, 0.75), weight="w")
         else:
             found = exact_quantiles(df, column, (0.25, 0.75))
         quartiles = found.scalar()
@@ -167,8 +190,11 @@ def clean_retail(
     """Gap fill and clip beside the raw target. Without reindexing all other columns are kept."""
     require_columns(df, (date, entity, target), "clean_retail input")
     days = clean_dates(df, date)
+    weighted = None
+    if reindex and clip and clip.by_quartiles and not clip.approximate:
+        weighted = filled_counts(days, strategy, entity, date, target, span)
     if reindex:
         out = fill_missing(reindex_daily(days, entity, date, target, span), strategy, entity, date, target, filled)
     else:
         out = days.withColumn(filled, F.col(target).cast("double"))
-    return clip_outliers(out, clip, filled) if clip else out
+    return clip_outliers(out, clip, filled, weighted=weighted) if clip else out

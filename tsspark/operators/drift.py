@@ -183,15 +183,27 @@ def _summarise(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def distribution_drift(df: DataFrame, target: str = "target", entity: str = "entity", date: str = "date") -> DataFrame:
-    """One row (drift_score, status, ks_used, n_features), or none below 20 rows a half."""
+def distribution_drift(
+    df: DataFrame, target: str = "target", entity: str = "entity", date: str = "date", report_short: bool = False
+) -> DataFrame:
+    """One row (drift_score, status, ks_used, n_features).
+
+    Below 20 rows a half there is none, or with ``report_short`` one without a score, its status ``not_enough_rows``.
+    """
     features = numeric_columns(df.schema, target, skip=(entity, date))
     counts = date_counts(df, date, entity)
     long = long_form(half_split(df, date, entity, counts=counts), features)
     n = counts.agg(F.sum("rows")).scalar()
     moved = every_feature(mean_std_drift(long), features, "mean_std") if features else mean_std_drift(long)
     parts = moved.join(ks_statistic(long), "feature", "left").where(F.floor(n / 2) >= MIN_HALF)
-    return _summarise(parts, ()).where(F.col("n_features") > 0)
+    found = _summarise(parts, ()).where(F.col("n_features") > 0)
+    if not report_short:
+        return found
+    few = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).where(F.floor(F.col("n") / 2) < MIN_HALF)
+    short = few.select(
+        F.lit(None).cast("double").alias("drift_score"), F.lit("not_enough_rows").alias("status"), F.lit(False).alias("ks_used"), F.lit(len(features)).alias("n_features")
+    )
+    return found.unionByName(short)
 
 
 def distribution_drift_by_entity(
