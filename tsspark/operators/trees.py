@@ -20,8 +20,10 @@ from tsspark.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAME = "gbt"
 STEPS_PER_CUT = 5
-#: Rows of a partition during a fit.
+#: Rows of a partition during a fit, until there are ``PARTS`` partitions; from there on partitions grow up to ``MOST_ROWS``.
 ROWS_PER_PART = 64_000
+PARTS = 48
+MOST_ROWS = 1_000_000
 HISTORY_MARGIN = 5
 
 
@@ -50,26 +52,27 @@ def fit_trees(
     ensure_checkpoint_dir(featured.sparkSession)
     keys = [entity, date] if entity else [date]
     columns = list(dict.fromkeys([*keys, *features, target] + ([validation] if validation else [])))
-    rows = drop_warmup(featured.select(*columns), features, target)
+    rows = drop_warmup(featured.select(*columns), features, target).persist(StorageLevel.DISK_ONLY)
     fitted = rows.where(~F.col(validation)) if validation else rows
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=_indexed(c), handleInvalid="keep", stringOrderType="alphabetAsc").fit(fitted)
-        for c in categorical
-    ]
-    inputs = [_indexed(c) if c in categorical else c for c in features]
-    stages = [*indexers, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
-    trees = GBTRegressor(
-        labelCol=target,
-        predictionCol="prediction",
-        lossType="squared",
-        maxIter=config.n_trees,
-        stepSize=config.learning_rate,
-        maxDepth=config.max_depth,
-        maxBins=max([config.max_bins, *[len(i.labels) + 1 for i in indexers]]),
-        seed=config.seed,
-    )
-    prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, ["features", target])
+    prepared = None
     try:
+        indexers = [
+            StringIndexer(inputCol=c, outputCol=_indexed(c), handleInvalid="keep", stringOrderType="alphabetAsc").fit(fitted)
+            for c in categorical
+        ]
+        inputs = [_indexed(c) if c in categorical else c for c in features]
+        stages = [*indexers, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+        trees = GBTRegressor(
+            labelCol=target,
+            predictionCol="prediction",
+            lossType="squared",
+            maxIter=config.n_trees,
+            stepSize=config.learning_rate,
+            maxDepth=config.max_depth,
+            maxBins=max([config.max_bins, *[len(i.labels) + 1 for i in indexers]]),
+            seed=config.seed,
+        )
+        prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, ["features", target])
         model = trees.fit(prepared)
         if validation:
             held_out = PipelineModel(stages).transform(rows.where(validation)).select("features", target)
@@ -78,14 +81,20 @@ def fit_trees(
                 model = trees.setMaxIter(best).fit(prepared)
         return PipelineModel([*stages, model])
     finally:
-        prepared.unpersist()
+        rows.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
+
+
+def fit_parts(n_rows: int) -> int:
+    """Partitions of a fit: every pass sends a histogram per partition and node, so their number is held down, not their rows."""
+    return max(1, min(-(-n_rows // ROWS_PER_PART), PARTS), -(-n_rows // MOST_ROWS))
 
 
 def _laid_out(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``columns`` in partitions and an order that follow from the rows alone, kept for the passes of a fit."""
-    parts = max(1, -(-rows.count() // ROWS_PER_PART))
-    laid = rows.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys)
-    return laid.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    laid = rows.select(*keys, *columns).repartition(fit_parts(rows.count()), *keys).sortWithinPartitions(*keys)
+    return laid.select(*columns).persist(StorageLevel.DISK_ONLY)  # the trees keep binned rows of their own in memory
 
 
 def best_round(errors: Sequence[float], patience: int) -> int:
