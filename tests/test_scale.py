@@ -38,3 +38,22 @@ def test_a_fit_computes_its_input_once(spark):
     )
     TR.fit_trees(rows, ["x", "kind"], config=TreeConfig(n_trees=2, max_depth=2), categorical=["kind"])
     assert read.value == 200
+
+
+@pytest.mark.parametrize("per_entity", [True, False])
+def test_a_rolling_mean_costs_the_same_for_any_window(spark, frame, days, per_entity):
+    rng, w = random.Random(3), 5
+    points = [(e, d, None if rng.random() < 0.1 else rng.randrange(10**6) / 10**6, rng.randrange(10**8) / 10**8) for e in "ab" for d in days("2024-01-01", 40)]
+    history = frame(points, "entity string, date date, abs_error double, ape double")
+    out = H.rolling_error_series(history, w, per_entity=per_entity, block=7)
+    assert f"RowFrame, -{w - 1}, currentrow$" not in plan(out)
+    order = sorted(points, key=(lambda p: (p[0], p[1])) if per_entity else (lambda p: (p[1], p[0])))
+    want = {}
+    for run in ([[p for p in order if p[0] == e] for e in "ab"] if per_entity else [order]):
+        for i in range(w - 1, len(run)):
+            held, ape = [p[2] for p in run[i - w + 1 : i + 1] if p[2] is not None], [p[3] for p in run[i - w + 1 : i + 1]]
+            if held:
+                want[run[i][:2]] = (sum(held) / len(held), 100 * sum(ape) / w)
+    got = {(r["entity"], str(r["date"])): (r["mae"], r["mape"]) for r in out.collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
