@@ -57,3 +57,19 @@ def test_a_rolling_mean_costs_the_same_for_any_window(spark, frame, days, per_en
     got = {(r["entity"], str(r["date"])): (r["mae"], r["mape"]) for r in out.collect()}
     assert set(got) == set(want)
     assert all(abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
+def test_blocks_grow_before_their_number_does():
+    assert L.block_rows(100_000, 250) == 250
+    assert L.block_rows(6_000_000, 250) == 12_000  # 24,000 blocks before
+    assert L.block_rows(10**10, 250) == L.BLOCK_ROWS
+    assert L.block_rows(10**10, 5 * L.BLOCK_ROWS) == 5 * L.BLOCK_ROWS
+
+
+def test_a_series_of_many_blocks_is_filled_alike(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BLOCKS", 4)
+    rows = spark.range(400).select(F.col("id").alias("date"), F.when(F.col("id") % 97 == 5, F.col("id")).cast("double").alias("target"))
+    series = L.LongSeries.of(rows, "date", 10)
+    assert len(series.sizes) <= 4
+    filled = {r["date"]: r["y"] for r in series.carry_forward("target", "y").frame().collect()}
+    assert filled == {i: None if i < 5 else float((i - 5) // 97 * 97 + 5) for i in range(400)}

@@ -26,6 +26,13 @@ from pyspark.sql import functions as F
 from tsspark.session import cut_lineage
 
 BLOCK_ROWS = 1_000_000
+#: Blocks of a series, as far as ``BLOCK_ROWS`` rows a block allow it: each is a task of every step, which reports to the driver.
+MOST_BLOCKS = 500
+
+
+def block_rows(n_rows: int, size: int) -> int:
+    """Rows of a block: ``size``, or as many more, up to ``BLOCK_ROWS``, as keep the number of blocks down."""
+    return max(size, min(BLOCK_ROWS, -(-n_rows // MOST_BLOCKS)))
 
 
 class LongSeries:
@@ -36,12 +43,16 @@ class LongSeries:
 
     @classmethod
     def of(cls, df: DataFrame, order: str | Sequence[str], size: int = BLOCK_ROWS) -> LongSeries:
-        """Deal ``df`` into blocks of about ``size`` rows by ``order`` (the date, and what tells equal dates apart)."""
+        """Deal ``df`` into blocks of about ``size`` rows by ``order`` (the date, and what tells equal dates apart).
+
+        A series of more than ``MOST_BLOCKS`` such blocks gets larger ones (``block_rows``).
+        """
         order = (order,) if isinstance(order, str) else tuple(order)
         absent = [c for c in order if c not in df.columns]
         if absent:
             raise ValueError(f"Series needs columns {absent}. Found: {df.columns}.")
-        parts = max(1, -(-df.count() // size))
+        n = df.count()
+        parts = max(1, -(-n // block_rows(n, size)))
         dealt = df.repartitionByRange(parts, *[F.asc_nulls_first(c) for c in order])
         return cls(cut_lineage(dealt.withColumn("_block", F.spark_partition_id())), order)
 
