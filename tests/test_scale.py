@@ -73,3 +73,10 @@ def test_a_series_of_many_blocks_is_filled_alike(spark, monkeypatch):
     assert len(series.sizes) <= 4
     filled = {r["date"]: r["y"] for r in series.carry_forward("target", "y").frame().collect()}
     assert filled == {i: None if i < 5 else float((i - 5) // 97 * 97 + 5) for i in range(400)}
+
+
+def test_newer_points_are_compared_without_a_second_copy(spark, frame):
+    rows = frame([("a", "2024-01-01", 1.0, 3.0, 1), ("a", "2024-01-01", 1.0, 2.0, 2)], "entity string, date date, y_true double, y_pred double, at int")
+    out = H.append_errors(None, rows, order="at")
+    assert "max_by(" not in plan(out)
+    assert [r["abs_error"] for r in out.collect()] == [1.0]

@@ -42,8 +42,8 @@ def append_errors(
     if history is not None:
         old = history.select(entity, date, "abs_error", "ape")
         both = both.unionByName(old.withColumns({"age": F.lit(0.0), "fresh": F.lit(0)}))
-    point = F.struct("abs_error", "ape")
-    newest = both.groupBy(entity, date).agg(F.max_by(point, F.struct("fresh", "age", "abs_error", "ape")).alias("point"))
+    point = F.struct("fresh", "age", "abs_error", "ape")
+    newest = both.groupBy(entity, date).agg(F.max(point).alias("point"))
     return newest.select(entity, date, "point.abs_error", "point.ape")
 
 
