@@ -80,3 +80,12 @@ def test_newer_points_are_compared_without_a_second_copy(spark, frame):
     out = H.append_errors(None, rows, order="at")
     assert "max_by(" not in plan(out)
     assert [r["abs_error"] for r in out.collect()] == [1.0]
+
+
+def test_a_large_bucket_gets_more_files(spark, frame, tmp_path):
+    schema = frame([("a", "2024-01-01", 1.0)], "entity string, date date, y double").schema
+    table = KeyedTable(spark, str(tmp_path), schema, ("entity", "date"), files=2)
+    assert [table._files_for(n, 14) for n in (0, 14 * ROWS_PER_FILE, 70 * ROWS_PER_FILE)] == [2, 2, 5]
+    for value in (1.0, 2.0):
+        table.upsert(frame([("a", "2024-01-01", value), ("b", "2024-01-02", value)], "entity string, date date, y double"), newest(("entity", "date"), ()))
+    assert [tuple(r)[2] for r in table.read().collect()] == [2.0, 2.0]

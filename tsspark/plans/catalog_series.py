@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date as Day
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,13 +205,14 @@ def sketch_quantiles(spark, sf_dir):
 def keyed_errors(spark, sf_dir):
     """Deliveries out of order: even months, then wrong scores for all, recorded earlier, then odd months."""
     arriving, progress = scratch_path(spark, "pairs"), scratch_path(spark, "progress")
-    pairs = sales_pairs(spark, sf_dir)
+    pairs = sales_pairs(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # three deliveries are taken from it
     table = feeds.errors_table(spark, scratch_path(spark, "errors"), entity_type=pairs.schema["entity"].dataType, bucket_days=180)
     right, wrong = pairs.withColumn("at", F.lit(2)), pairs.withColumns({"y_pred": F.col("y_pred") + 100, "at": F.lit(1)})
     for delivery in (right.where(F.month("date") % 2 == 0), wrong, right.where(F.month("date") % 2 == 1)):
         delivery.write.mode("append").parquet(arriving)
         stream = spark.readStream.schema(right.schema).parquet(arriving)
         feeds.errors_table_sink(stream, table, progress, "at").awaitTermination()
+    pairs.unpersist()
     return table.read().drop("age")
 
 

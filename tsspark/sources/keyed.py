@@ -10,8 +10,8 @@ batch that stopped half way is invisible, and a repeated batch is recognised by
 next version; the other starts again from that. After a commit, versions beyond the last ``keep`` are removed, then
 buckets that no remaining version names in folders older than these, which includes what lost or stopped writers left.
 
-Bounds: a batch reads and writes the buckets it has dates in; a bucket is rewritten into ``files`` files, so the table
-has at most buckets x ``files`` x ``keep`` files. The version record has one entry per bucket.
+Bounds: a batch reads and writes the buckets it has dates in; a bucket is rewritten into ``files`` files, or one per
+``ROWS_PER_FILE`` rows if that is more, so the table has at most buckets x ``files`` x ``keep`` files until it is large. The version record has one entry per bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 from tsspark.sources.commits import Versions
 
+ROWS_PER_FILE = 1_000_000
+
 #: (rows already there or None, rows of the batch) to the rows that take their place.
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -80,7 +82,8 @@ class KeyedTable:
         """
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # one number per bucket
+            held = dict(rows.groupBy(self._bucket().alias("bucket")).count().collect())  # one number per bucket
+            touched = list(held)
             if None in touched:
                 raise ValueError(f"Rows without '{self.date}' can't be kept by date.")
             while True:
@@ -91,9 +94,11 @@ class KeyedTable:
                 places = record["buckets"]
                 folder = f"{number + 1:012d}-{uuid.uuid4().hex}"
                 old = [str(b) for b in touched if str(b) in places]
-                merged = merge(self._open(places, old) if old else None, rows)
+                there = self._open(places, old) if old else None
+                merged = merge(there, rows)
                 try:
-                    self._write(merged, folder, len(touched))
+                    n_rows = sum(held.values()) + (there.count() if old else 0)
+                    self._write(merged, folder, len(touched), n_rows)
                 except Exception:
                     if self.version() < number + self._keep:
                         raise
@@ -106,10 +111,14 @@ class KeyedTable:
         finally:
             rows.unpersist()
 
-    def _write(self, merged: DataFrame, folder: str, buckets: int) -> None:
+    def _files_for(self, n_rows: int, buckets: int) -> int:
+        return max(self._files, -(-n_rows // (max(buckets, 1) * ROWS_PER_FILE)))
+
+    def _write(self, merged: DataFrame, folder: str, buckets: int, n_rows: int = 0) -> None:
         rows = merged.select(*self.schema.names).withColumn("bucket", self._bucket())
-        dealt = F.pmod(F.xxhash64(*self.keys), F.lit(self._files))
-        parts = max(1, buckets * self._files)
+        files = self._files_for(n_rows, buckets)
+        dealt = F.pmod(F.xxhash64(*self.keys), F.lit(files))
+        parts = max(1, buckets * files)
         rows.repartition(parts, "bucket", dealt).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
 
     def clean(self) -> None:
@@ -141,7 +150,7 @@ def newest(keys: Sequence[str], order: Sequence[str]) -> Merge:
         if old is not None:
             both = both.unionByName(old.withColumn("_fresh", F.lit(0)))
         rest = [c for c in new.columns if c not in order]
-        row = F.max_by(F.struct(*new.columns), F.struct(*order, "_fresh", *rest))
-        return both.groupBy(*keys).agg(row.alias("_row")).select("_row.*")
+        row = F.max(F.struct(*order, "_fresh", *rest))
+        return both.groupBy(*keys).agg(row.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in new.columns])
 
     return merge
