@@ -89,3 +89,15 @@ def test_a_large_bucket_gets_more_files(spark, frame, tmp_path):
     for value in (1.0, 2.0):
         table.upsert(frame([("a", "2024-01-01", value), ("b", "2024-01-02", value)], "entity string, date date, y double"), newest(("entity", "date"), ()))
     assert [tuple(r)[2] for r in table.read().collect()] == [2.0, 2.0]
+
+
+@pytest.mark.parametrize("span", ["per_entity", "global"])
+@pytest.mark.parametrize("strategy", ["forward_fill", "zero"])
+def test_unfolded_days_are_not_sorted(spark, frame, days, span, strategy):
+    rng = random.Random(7)
+    rows = [(e, d, rng.choice([None, 1.0, 2.5, 4.0])) for e in "abc" for d in days("2024-01-01", 60) if rng.random() < 0.3]
+    panel = frame(rows, "entity string, date date, target double")
+    out = C.clean_retail(panel, span=span, strategy=strategy)
+    assert plan(out).count("Sort [") == 1
+    apart = C.fill_missing(C.reindex_daily(panel, span=span), strategy)
+    assert sorted(out.collect(), key=str) == sorted(apart.select(*out.columns).collect(), key=str)

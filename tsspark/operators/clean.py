@@ -110,7 +110,8 @@ def filled_counts(df: DataFrame, strategy: str, entity: str, date: str, target:
 
 
 def reindex_daily(
-    df: DataFrame, entity: str | None = "entity", date: str = "date", target: str = "target", span: str = "per_entity", block_rows: int = BLOCK_ROWS
+    df: DataFrame, entity: str | None = "entity", date: str = "date", target: str = "target", span: str = "per_entity", block_rows: int = BLOCK_ROWS,
+    strategy: str | None = None, filled: str = "target_cleaned",
 ) -> DataFrame:
     """Every day between the first and last date of each entity (or of the whole panel).
 
@@ -118,13 +119,24 @@ def reindex_daily(
     date of its series and unfolds the days up to it, so the calendar is neither joined nor shuffled: one
     exchange on the entity, which a later window over the series reuses. Needs unique (entity, date).
     Without an entity the table is one series, unfolded block by block (``long_series``, which runs jobs).
+    With a ``strategy`` the result also has ``filled``, as ``fill_missing`` makes it: the given rows are filled, and each
+    day of a gap takes what its row carries, so the unfolded days are never sorted.
     """
+    if strategy and entity is None:
+        return fill_missing(reindex_daily(df, None, date, target, span, block_rows), strategy, None, date, target, filled, block_rows=block_rows)
     if entity is None:
         return LongSeries.of(df.select(date, target), date, block_rows).unfold(target).frame()
     placed = _spans(df, entity, date, target, span)
+    carried = [filled] if strategy else []
+    if strategy:
+        placed = fill_missing(placed, strategy, entity, date, target, filled)
     days = F.sequence("_first", "_upto", F.make_dt_interval(F.lit(1)))
-    unfolded = placed.select(entity, F.col(date).alias("_own"), F.col(target).alias("_value"), F.explode(days).alias(date))
-    return unfolded.select(entity, date, F.when(F.col(date) == F.col("_own"), F.col("_value")).alias(target))
+    unfolded = placed.select(entity, F.col(date).alias("_own"), F.col(target).alias("_value"), *carried, F.explode(days).alias(date))
+    own = F.col(date) == F.col("_own")
+    added = F.lit(0.0) if strategy == "zero" else F.when(F.col(date) > F.col("_own"), F.col(filled))
+    return unfolded.select(
+        entity, date, F.when(own, F.col("_value")).alias(target), *[F.when(own, F.col(c)).otherwise(added).alias(c) for c in carried]
+    )
 
 
 def fill_missing(
@@ -194,7 +206,7 @@ def clean_retail(
     if reindex and clip and clip.by_quartiles and not clip.approximate:
         weighted = filled_counts(days, strategy, entity, date, target, span)
     if reindex:
-        out = fill_missing(reindex_daily(days, entity, date, target, span), strategy, entity, date, target, filled)
+        out = reindex_daily(days, entity, date, target, span, strategy=strategy, filled=filled)
     else:
         out = days.withColumn(filled, F.col(target).cast("double"))
     return clip_outliers(out, clip, filled, weighted=weighted) if clip else out
