@@ -101,3 +101,21 @@ def test_unfolded_days_are_not_sorted(spark, frame, days, span, strategy):
     assert plan(out).count("Sort [") == 1
     apart = C.fill_missing(C.reindex_daily(panel, span=span), strategy)
     assert sorted(out.collect(), key=str) == sorted(apart.select(*out.columns).collect(), key=str)
+
+
+def test_rows_near_a_cutoff_pass_the_first_test(spark):
+    base = spark.range(1, 60).select(F.col("id").cast("int").alias("n")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at, n, lost, may_all = F.col("at"), F.col("n"), F.lit(0), []
+
+    def hit(tail, horizon):
+        return lambda p: (at > p - tail) & (at <= p + horizon)
+
+    for splits, horizon, tail, first, strict in ((1, 7, 7, 15, False), (2, 1, 19, 0, True), (3, 14, 7, 14, False), (5, 7, 7, 15, False), (20, 3, 2, 15, True)):
+        cuts = F.coalesce(B._cutoff_positions(n, horizon, splits, first, strict), F.array().cast("array<int>"))
+        near = F.exists(cuts, hit(tail, horizon))
+        may = F.coalesce(B._maybe_near(at, n, horizon, splits, tail, first, strict), F.lit(False))
+        lost = lost + F.when(near & ~may, 1).otherwise(0)
+        may_all.append(F.count_if(may & ~near).alias(f"more_{splits}"))
+    found = base.agg(F.sum(lost).alias("lost"), *may_all, F.count(F.lit(1)).alias("rows")).first()
+    assert found["lost"] == 0
+    assert found["more_5"] < found["rows"] / 4

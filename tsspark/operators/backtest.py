@@ -35,6 +35,17 @@ def _cutoff_positions(n: Column, horizon: int, n_splits: int, first: int, strict
     return F.when(room > 0, F.when(splits == 1, F.array(last.cast("int"))).otherwise(spread))
 
 
+def _maybe_near(at: Column, n: Column, horizon: int, n_splits: int, tail: int, first: int, strict: bool) -> Column:
+    """Whether a row may be near one of the cutoffs, give or take a position: plain arithmetic that spares most rows the arrays."""
+    last, room = _ranges(n, horizon, first, strict)
+    splits = F.least(F.lit(n_splits), room)
+    step = room / F.nullif(splits - 1, F.lit(0))  # at least 1
+    lowest, highest = F.ceil((at - (horizon + 2 + first)) / step), F.floor((at + (tail + 2 - first)) / step)
+    some = F.greatest(lowest, F.lit(0)) <= F.least(highest, splits - 1)
+    one = (at >= last - (tail + 1)) & (at <= last + (horizon + 1))
+    return (room > 0) & F.when(splits == 1, one).otherwise(some)
+
+
 def backtest_cutoffs(
     df: DataFrame,
     horizon: int,
@@ -84,6 +95,7 @@ def cutoff_rows(
         (F.row_number().over(series.orderBy(date)) - 1).alias("_at"),
         F.count(F.lit(1)).over(series).cast("int").alias("_n"),
     )
+    placed = placed.where(_maybe_near(at, F.col("_n"), horizon, n_splits, tail, first, strict))
     positions = _cutoff_positions(F.col("_n"), horizon, n_splits, first, strict)
     splits = F.transform(positions, lambda p, i: F.struct((i + 1).alias("split"), p.alias("cut")))
     near = F.filter(splits, lambda s: (at > s["cut"] - tail) & (at <= s["cut"] + horizon))
