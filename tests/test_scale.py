@@ -91,6 +91,12 @@ def test_a_large_bucket_gets_more_files(spark, frame, tmp_path):
     assert [tuple(r)[2] for r in table.read().collect()] == [2.0, 2.0]
 
 
+def test_a_rolling_mean_just_below_a_rounding_edge_stays_there(spark, frame, days):
+    points = [("a", d, 0.5, 0.00018249 if k == 3 else 0.0) for k, d in enumerate(days("2024-01-01", 365))]
+    out = H.rolling_error_series(frame(points, "entity string, date date, abs_error double, ape double"), 365, bounds=(2, None))
+    assert [r["mape"] for r in out.collect()] == [0.0]  # 0.0000499973
+
+
 @pytest.mark.parametrize("span", ["per_entity", "global"])
 @pytest.mark.parametrize("strategy", ["forward_fill", "zero"])
 def test_unfolded_days_are_not_sorted(spark, frame, days, span, strategy):

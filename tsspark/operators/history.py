@@ -105,7 +105,8 @@ def rolling_error_series(
         A window's sum is the difference of two running sums, which decimals keep exact, so a row costs the same whatever ``w``.
         """
         held, n = (F.col(t) - F.coalesce(F.lag(t, w).over(order), F.lit(0).cast(k)) for t, k in ((f"_sum_{c}", "decimal(36,8)"), (f"_n_{c}", "long")))
-        return held.cast("decimal(34,8)") / F.nullif(n, F.lit(0)).cast("decimal(10,0)")  # 12 digits, as an average has
+        mean = held.cast("decimal(34,8)") / F.nullif(n, F.lit(0)).cast("decimal(10,0)")
+        return mean.cast("decimal(32,12)")  # an average's type: a wider one loses digits when it is multiplied
 
     rolled = points.select(
         entity,
