@@ -24,6 +24,19 @@ def test_partitions_of_a_fit_stay_few():
     assert TR.fit_parts(156_000_000) == 156  # no partition beyond a million rows
 
 
+def test_a_fit_writes_few_checkpoints(spark):
+    """Every 20 trees, not every 10; a fit that is cut off once on its way has the trees of one that is cut off never."""
+    days = [F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit("a").alias("entity")]
+    rows = spark.range(120).select(*days, (F.col("id") * 7 % 31).cast("double").alias("x"), (F.col("id") * 11 % 17).cast("double").alias("target"))
+    config = TreeConfig(n_trees=23, max_depth=2)
+    fit = TR.fit_trees(rows, ["x"], config=config).stages[-1]
+    assert fit.getCheckpointInterval() == 20  # 10 before
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(TR, "TREES_PER_CHECKPOINT", -1)
+        never = TR.fit_trees(rows, ["x"], config=config).stages[-1]
+    assert never.toDebugString.split("\n", 1)[1] == fit.toDebugString.split("\n", 1)[1]
+
+
 def test_a_fit_computes_its_input_once(spark):
     read = spark.sparkContext.accumulator(0)
 

@@ -24,6 +24,8 @@ STEPS_PER_CUT = 5
 ROWS_PER_PART = 64_000
 PARTS = 48
 MOST_ROWS = 1_000_000
+#: Trees between two checkpoints of a fit; each writes a prediction and an error per training row to the shared folder.
+TREES_PER_CHECKPOINT = 20
 HISTORY_MARGIN = 5
 
 
@@ -71,6 +73,7 @@ def fit_trees(
             maxDepth=config.max_depth,
             maxBins=max([config.max_bins, *[len(i.labels) + 1 for i in indexers]]),
             seed=config.seed,
+            checkpointInterval=TREES_PER_CHECKPOINT,
         )
         prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, ["features", target])
         model = trees.fit(prepared)
