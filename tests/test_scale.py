@@ -11,6 +11,8 @@ from tsspark.operators import clean as C
 from tsspark.operators import history as H
 from tsspark.operators import long_series as L
 from tsspark.operators import trees as TR
+from tsspark.operators.forecast import label_split
+from tsspark.plans import training
 from tsspark.sources.keyed import ROWS_PER_FILE, KeyedTable, newest
 
 
@@ -53,6 +55,19 @@ def test_a_fit_computes_its_input_once(spark):
     assert read.value == 200
 
 
+def test_validation_rows_are_left_out_before_their_features_are_made(frame, days, monkeypatch):
+    rows = [(e, d, float(i * k % 11)) for e, k in (("a", 3), ("b", 7)) for i, d in enumerate(days("2024-01-01", 50)) if (i + k) % 9]
+    panel, seen = frame(rows, "entity string, date date, target double"), []
+    monkeypatch.setattr(training, "_tree_fit", lambda train, *rest: seen.append(train))
+    _, features = training.fit_on_history(panel)
+    optimized = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in optimized[optimized.rindex("Window [") :]  # above the windows before
+    labelled = label_split(training.featured_panel(panel))
+    want = labelled.where(F.col("split") == "train").drop("split")
+    assert sorted(map(tuple, seen[0].collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "split" not in seen[0].columns and len(features) == 12
+
+
 @pytest.mark.parametrize("per_entity", [True, False])
 def test_a_rolling_mean_costs_the_same_for_any_window(spark, frame, days, per_entity):
     rng, w = random.Random(3), 5

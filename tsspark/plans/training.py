@@ -41,11 +41,14 @@ def featured_panel(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def fit_on_history(
     df: DataFrame, settings: Settings = Settings(), exogenous: Sequence[str] = (), categorical: Sequence[str] = ()
 ) -> tuple[PipelineModel, list[str]]:
-    """Fit the tree model on everything before the validation dates."""
+    """Fit the tree model on everything before the validation dates.
+
+    Features look back only, so the rows of the validation dates are left out before the features are made.
+    """
     names = settings.columns
-    featured = label_split(featured_panel(df, settings), settings.validation_share, names.date)
-    features = feature_names(featured.columns, names.target, names.entity, names.date, [*exogenous, *categorical])
-    train = featured.where(F.col("split") == "train")
+    held_out = F.col(names.date) >= split_date(df, settings.validation_share, names.date)
+    train = featured_panel(df.where(~F.coalesce(held_out, F.lit(False))), settings)
+    features = feature_names(train.columns, names.target, names.entity, names.date, [*exogenous, *categorical])
     return _tree_fit(train, features, settings, categorical), features
 
 
