@@ -5,13 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tsspark.config import TreeConfig
+from tsspark.config import Settings, TreeConfig, overlay
 from tsspark.operators import backtest as B
 from tsspark.operators import clean as C
 from tsspark.operators import history as H
 from tsspark.operators import long_series as L
 from tsspark.operators import trees as TR
 from tsspark.operators.forecast import label_split
+from tsspark.plans import catalog_models as CM
 from tsspark.plans import training
 from tsspark.sources.keyed import ROWS_PER_FILE, KeyedTable, newest
 
@@ -68,6 +69,40 @@ def test_validation_rows_are_left_out_before_their_features_are_made(frame, days
     assert "split" not in seen[0].columns and len(features) == 12
 
 
+@pytest.mark.parametrize("query", ["recursive_forecast", "batch_forecast", "save_and_load_model", "model_round_trip"])
+def test_a_query_adds_up_its_daily_sales_once(spark, tmp_path, monkeypatch, query):
+    days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-03-10").cast("date")))
+    lines = spark.range(3).select((F.col("id") + 1).alias("l_suppkey"), days.alias("l_shipdate"))
+    lines.withColumn("l_quantity", (F.dayofyear("l_shipdate") * 7 % 31 + F.col("l_suppkey")).cast("double")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 4).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).alias("s_nationkey"), F.lit(1.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(2).select(F.col("id").alias("n_nationkey"), F.col("id").cast("string").alias("n_name"), F.lit(0).alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    read, sales = spark.sparkContext.accumulator(0), CM._sales
+
+    def count(v):
+        read.add(1)
+        return v
+
+    seen = F.udf(count, "double").asNondeterministic()
+    monkeypatch.setattr(CM, "_sales", lambda *at: sales(*at).withColumn("target", seen("target")))
+    monkeypatch.setattr(CM, "SETTINGS", overlay(Settings(), {"trees": {"n_trees": 2, "max_depth": 2}}))
+    others = set(spark.sparkContext._jsc.getPersistentRDDs())
+    made = getattr(CM, query)(spark, str(tmp_path))
+    n = {"recursive_forecast": 42, "batch_forecast": 90, "save_and_load_model": 21, "model_round_trip": 1}[query]
+    assert made.count() == n
+    assert read.value == 210  # every panel, fit and record read the lines again before
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= others
+
+
+def test_the_state_of_a_forecast_has_few_tasks(spark, frame, days, monkeypatch):
+    rows = [(e, d, float(i)) for e in "abcdefgh" for i, d in enumerate(days("2024-01-01", 40))]
+    panel = frame(rows, "entity string, date date, target double").repartition(64, "entity")
+    seen, roll = [], TR.roll_forward
+    monkeypatch.setattr(TR, "roll_forward", lambda state, *rest: (seen.append(state), roll(state, *rest))[1])
+    forecast = TR.recursive_forecast(panel, CM.linear_model(), 3)
+    assert seen[0].rdd.getNumPartitions() <= 8  # 64 before
+    assert forecast.count() == 24
+
+
 @pytest.mark.parametrize("per_entity", [True, False])
 def test_a_rolling_mean_costs_the_same_for_any_window(spark, frame, days, per_entity):
     rng, w = random.Random(3), 5

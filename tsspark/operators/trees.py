@@ -194,6 +194,8 @@ def recursive_forecast(
     """Forecast table for all entities, or for the one series of a table without; other features keep their last value."""
     exogenous = tuple(f for f in model_features(model) if not engineered(f))
     seed = last_rows(df, config.lookback + HISTORY_MARGIN, entity, date, target, exogenous).where(F.size("hist") > 0)
+    if entity:  # one row per entity from here on: into few tasks, however many ``df`` has, as each reads the model for every step
+        seed = seed.repartition(F.xxhash64(entity))  # by ``entity`` itself, a layout that ``df`` may have already would stay
     made = roll_forward(seed, model, horizon, [entity] if entity else [], config, step_days, offset)
     return made.select((F.col(entity) if entity else F.lit(None).cast("string")).alias("entity_id"), "date", "y_pred", F.lit(MODEL_NAME).alias("model_name"), "step")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsspark.config import FeatureConfig, Settings, TreeConfig
@@ -49,6 +53,19 @@ def _sales(spark, sf_dir):
     return panels.sales_daily(spark, sf_dir)
 
 
+@contextmanager
+def _kept_sales(spark, sf_dir) -> Iterator[DataFrame]:
+    """Daily sales for the jobs of one query: added up and laid out by series once, kept on disk, released at the end.
+
+    What is made from it must be computed inside; a forecast is, up to its last cut of the lineage.
+    """
+    sales = _sales(spark, sf_dir).repartition("entity").sortWithinPartitions("entity", "date").persist(StorageLevel.DISK_ONLY)
+    try:
+        yield sales
+    finally:
+        sales.unpersist()
+
+
 def _segments(spark, sf_dir):
     return panels.segment_daily(spark, sf_dir)
 
@@ -130,9 +147,9 @@ def seasonal_naive_forecast(spark, sf_dir):
 
 
 # the residuals of the naive forecasts on both sides of the split date
-def _split_pairs(spark, sf_dir):
-    pairs = panels.forecast_pairs(_sales(spark, sf_dir))
-    cutoff = FC.split_date(_sales(spark, sf_dir), 0.2)
+def _split_pairs(sales):
+    pairs = panels.forecast_pairs(sales)
+    cutoff = FC.split_date(sales, 0.2)
     return pairs.where(F.col("date") >= cutoff), pairs.where(F.col("date") < cutoff)
 
 
@@ -142,11 +159,11 @@ SPREAD_CTES = (SALES, cutoff_cte("sales"), pairs_cte("sales"), SPREAD)
 
 @query("residual_std", with_(*SPREAD_CTES, "SELECT round(residual_std, 6) AS residual_std, 'validation' AS source FROM spread"))
 def residual_std(spark, sf_dir):
-    return FC.residual_std(*_split_pairs(spark, sf_dir))
+    return FC.residual_std(*_split_pairs(_sales(spark, sf_dir)))
 
 
 def _naive_with_bounds(spark, sf_dir):
-    spread = FC.residual_std(*_split_pairs(spark, sf_dir)).select("residual_std").scalar()
+    spread = FC.residual_std(*_split_pairs(_sales(spark, sf_dir))).select("residual_std").scalar()
     return FC.with_interval(FC.seasonal_naive(_sales(spark, sf_dir), HORIZON), spread)
 
 
@@ -214,9 +231,9 @@ def last_observed_date(spark, sf_dir):
 # ---- run records -----------------------------------------------------------------------------------
 
 
-def _naive_record(spark, sf_dir, registry=None):
+def _naive_record(spark, sf_dir, registry=None, sales=None):
     """The record of a naive run: its model has no trees, so SQL can follow every field."""
-    panel = _sales(spark, sf_dir)
+    panel = _sales(spark, sf_dir) if sales is None else sales
     table = FE.add_features(panel)
     train, held_out = FC.time_split(table)
     made = FC.seasonal_naive(train, 30)
@@ -224,7 +241,7 @@ def _naive_record(spark, sf_dir, registry=None):
         train,
         FE.feature_names(table.columns),
         metrics_entity_mean(align(made, held_out)),
-        FC.residual_std(*_split_pairs(spark, sf_dir)),
+        FC.residual_std(*_split_pairs(panel)),
         hyperparameters={"seasonality": 7},
         registry=registry,
         trained_at=F.lit("2024-01-01T00:00:00Z"),
@@ -308,17 +325,18 @@ SETTINGS = Settings()
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 
-def tree_panel(spark, sf_dir):
+def tree_panel(spark, sf_dir, sales=None):
     """Daily sales with the supplier's nation as a category."""
     kinds = panels.store_master(spark, sf_dir).select(F.col("Store").alias("entity"), F.col("StoreType").alias("store_type"))
-    return _sales(spark, sf_dir).join(kinds, "entity", "left")
+    return (_sales(spark, sf_dir) if sales is None else sales).join(kinds, "entity", "left")
 
 
-def fitted(spark, sf_dir):
-    """The model of this session's tables; several queries share one fit."""
+def fitted(spark, sf_dir, panel=None):
+    """The model of this session's tables; several queries share one fit. ``panel`` is the tree panel where a query keeps it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
-        _FITTED[key] = training.fit_on_history(tree_panel(spark, sf_dir), SETTINGS, categorical=["store_type"])
+        panel = tree_panel(spark, sf_dir) if panel is None else panel
+        _FITTED[key] = training.fit_on_history(panel, SETTINGS, categorical=["store_type"])
     return _FITTED[key]
 
 
@@ -333,8 +351,10 @@ def fit_gbt(spark, sf_dir):
 
 @query("recursive_forecast")
 def recursive_forecast(spark, sf_dir):
-    model, _ = fitted(spark, sf_dir)
-    return TR.recursive_forecast(tree_panel(spark, sf_dir), model, HORIZON)
+    with _kept_sales(spark, sf_dir) as sales:
+        panel = tree_panel(spark, sf_dir, sales)
+        model, _ = fitted(spark, sf_dir, panel)
+        return TR.recursive_forecast(panel, model, HORIZON)
 
 
 @query(
@@ -372,9 +392,11 @@ def feature_importance_topk(spark, sf_dir):
 
 @query("batch_forecast")
 def batch_forecast(spark, sf_dir):
-    model, _ = fitted(spark, sf_dir)
-    spread = FC.residual_std(*_split_pairs(spark, sf_dir)).first()["residual_std"]
-    return training.batch_forecast(tree_panel(spark, sf_dir), model, SETTINGS, spread)
+    with _kept_sales(spark, sf_dir) as sales:
+        panel = tree_panel(spark, sf_dir, sales)
+        model, _ = fitted(spark, sf_dir, panel)
+        spread = FC.residual_std(*_split_pairs(sales)).first()["residual_std"]
+        return training.batch_forecast(panel, model, SETTINGS, spread)
 
 
 @query("train_and_compare")
@@ -386,12 +408,14 @@ def train_and_compare(spark, sf_dir):
 @query("save_and_load_model")
 def save_and_load_model(spark, sf_dir):
     """Forecasts of the model after a round trip through storage, with the loaded record's version."""
-    model, _ = fitted(spark, sf_dir)
-    path = scratch_path(spark, "model")
-    files.save_model(model, _naive_record(spark, sf_dir), path)
-    loaded, record = files.load_model(spark, path, R.REGISTRY_SCHEMA)
-    made = TR.recursive_forecast(tree_panel(spark, sf_dir), loaded, 7)
-    return made.withColumn("model_version", record.select("model_version").scalar())
+    with _kept_sales(spark, sf_dir) as sales:
+        panel = tree_panel(spark, sf_dir, sales)
+        model, _ = fitted(spark, sf_dir, panel)
+        path = scratch_path(spark, "model")
+        files.save_model(model, _naive_record(spark, sf_dir, sales=sales), path)
+        loaded, record = files.load_model(spark, path, R.REGISTRY_SCHEMA)
+        made = TR.recursive_forecast(panel, loaded, 7)
+        return made.withColumn("model_version", record.select("model_version").scalar())
 
 
 @query("backtest_gbt")
@@ -440,13 +464,15 @@ def batch_forecast_linear(spark, sf_dir):
 @query("model_round_trip", with_(SALES, "SELECT count(DISTINCT entity) * 7 AS n_forecasts, CAST(0 AS BIGINT) AS n_different FROM sales"))
 def model_round_trip(spark, sf_dir):
     """Forecasts that differ after the fitted model went through storage: none."""
-    model, _ = fitted(spark, sf_dir)
-    path = scratch_path(spark, "model")
-    files.save_model(model, _naive_record(spark, sf_dir), path)
-    loaded, _ = files.load_model(spark, path, R.REGISTRY_SCHEMA)
-    keys = ["entity_id", "date", "step"]
-    before = TR.recursive_forecast(tree_panel(spark, sf_dir), model, 7).select(*keys, F.col("y_pred").alias("before"))
-    after = TR.recursive_forecast(tree_panel(spark, sf_dir), loaded, 7).select(*keys, F.col("y_pred").alias("after"))
+    with _kept_sales(spark, sf_dir) as sales:
+        panel = tree_panel(spark, sf_dir, sales)
+        model, _ = fitted(spark, sf_dir, panel)
+        path = scratch_path(spark, "model")
+        files.save_model(model, _naive_record(spark, sf_dir, sales=sales), path)
+        loaded, _ = files.load_model(spark, path, R.REGISTRY_SCHEMA)
+        keys = ["entity_id", "date", "step"]
+        before = TR.recursive_forecast(panel, model, 7).select(*keys, F.col("y_pred").alias("before"))
+        after = TR.recursive_forecast(panel, loaded, 7).select(*keys, F.col("y_pred").alias("after"))
     both = before.join(after, keys, "full")
     return both.agg(F.count(F.lit(1)).alias("n_forecasts"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"))
 
