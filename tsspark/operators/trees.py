@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tsspark.config import FeatureConfig, TreeConfig
 from tsspark.functions.offsets import advance
 from tsspark.operators.backtest import DEFAULTS, cutoff_rows, score_splits
+from tsspark.operators.boosting import as_model, grow_trees
 from tsspark.operators.features import calendar_columns, drop_warmup, engineered
 from tsspark.operators.forecast import last_rows
 from tsspark.session import cut_lineage, ensure_checkpoint_dir
@@ -24,7 +25,7 @@ STEPS_PER_CUT = 5
 ROWS_PER_PART = 64_000
 PARTS = 48
 MOST_ROWS = 1_000_000
-#: Trees between two checkpoints of a fit; each writes a prediction and an error per training row to the shared folder.
+#: Noted on the model as Spark ML's setting; the fit itself keeps no state that needs a checkpoint (``boosting``).
 TREES_PER_CHECKPOINT = 20
 HISTORY_MARGIN = 5
 
@@ -43,7 +44,7 @@ def fit_trees(
     categorical: Sequence[str] = (),
     validation: str | None = None,
 ) -> PipelineModel:
-    """Fit indexers and boosted trees; runs jobs.
+    """Fit indexers and boosted trees; runs jobs. The trees are grown by ``boosting``, the model is Spark ML's.
 
     Split candidates of large tables come from a sample per partition. Rows are hashed into a number of partitions that
     follows from the number of rows only, and sorted inside, so trees don't depend on how the input was partitioned.
@@ -63,6 +64,7 @@ def fit_trees(
             for c in categorical
         ]
         inputs = [_indexed(c) if c in categorical else c for c in features]
+        levels = {_indexed(c): len(i.labels) + 1 for c, i in zip(categorical, indexers, strict=True)}
         stages = [*indexers, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
         trees = GBTRegressor(
             labelCol=target,
@@ -75,13 +77,14 @@ def fit_trees(
             seed=config.seed,
             checkpointInterval=TREES_PER_CHECKPOINT,
         )
-        prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, ["features", target])
-        model = trees.fit(prepared)
+        prepared = _laid_out(PipelineModel(stages).transform(fitted), keys, [*inputs, target])
+        grown = grow_trees(prepared, inputs, target, levels, trees)
+        model = as_model(featured.sparkSession, grown, trees)
         if validation:
             held_out = PipelineModel(stages).transform(rows.where(validation)).select("features", target)
             best = best_round(model.evaluateEachIteration(held_out, "absolute"), config.patience)
             if best < config.n_trees:
-                model = trees.setMaxIter(best).fit(prepared)
+                model = as_model(featured.sparkSession, grown, trees.setMaxIter(best))
         return PipelineModel([*stages, model])
     finally:
         rows.unpersist()
@@ -90,14 +93,15 @@ def fit_trees(
 
 
 def fit_parts(n_rows: int) -> int:
-    """Partitions of a fit: every pass sends a histogram per partition and node, so their number is held down, not their rows."""
+    """Partitions in which a fit reads its rows; the split candidates' sample follows from them. A pass may join some of them to a task."""
     return max(1, min(-(-n_rows // ROWS_PER_PART), PARTS), -(-n_rows // MOST_ROWS))
 
 
 def _laid_out(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``columns`` in partitions and an order that follow from the rows alone, kept for the passes of a fit."""
-    laid = rows.select(*keys, *columns).repartition(fit_parts(rows.count()), *keys).sortWithinPartitions(*keys)
-    return laid.select(*columns).persist(StorageLevel.DISK_ONLY)  # the trees keep binned rows of their own in memory
+    """``columns`` as doubles in partitions and an order that follow from the rows alone, kept until they are binned."""
+    doubles = {f"_{k}": F.col(c).cast("double") for k, c in enumerate(columns)}
+    laid = rows.withColumns(doubles).select(*keys, *doubles).repartition(fit_parts(rows.count()), *keys).sortWithinPartitions(*keys)
+    return laid.select(*[F.col(k).alias(c) for k, c in zip(doubles, columns, strict=True)]).persist(StorageLevel.DISK_ONLY)
 
 
 def best_round(errors: Sequence[float], patience: int) -> int:

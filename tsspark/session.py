@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,17 @@ def remove_scratch() -> None:
         where.getFileSystem(settings).delete(where, True)
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it was found here, whatever folder they start in.
+
+    On a cluster the package is installed, or sent along with ``--py-files``; then this changes nothing.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints, also those of iterative fits, to a folder of their own below the shared one.
 
