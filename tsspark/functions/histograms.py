@@ -6,6 +6,7 @@ A row holds codes, each the bins of one column or of a few columns together, a b
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager, suppress
@@ -14,13 +15,25 @@ from typing import BinaryIO
 
 import numpy as np
 
-#: A tree as tasks read it: per node its bundle (-1: a leaf), which codes go left, both children, value.
-Flat = list[tuple[int, "np.ndarray | None", int, int, float]]
+#: A tree as it travels: per node its bundle (-1: a leaf), its column's place there, which bins go left, both children, value.
+Flat = list[tuple[int, int, "np.ndarray | None", int, int, float]]
+#: The same with the codes that go left, in place of the bins.
+Ready = list[tuple[int, "np.ndarray | None", int, int, float]]
 #: Codes by bundle, and labels.
 Chunk = tuple[np.ndarray, np.ndarray]
 
 
-def leaves(codes: np.ndarray, tree: Flat) -> Iterator[tuple[int, np.ndarray | None]]:
+def ready(tree: Flat, bundles: Sequence[Sequence[int]]) -> Ready:
+    out = []
+    for bundle, at, lefts, left, right, value in tree:
+        if bundle >= 0:
+            own = [-1 if k == at else 1 for k in range(len(bundles[bundle]))]
+            lefts = np.broadcast_to(lefts.reshape(own), bundles[bundle]).ravel()
+        out.append((bundle, lefts, left, right, value))
+    return out
+
+
+def leaves(codes: np.ndarray, tree: Ready) -> Iterator[tuple[int, np.ndarray | None]]:
     """The leaves of a tree, each with the places of its rows; None stands for all rows."""
     todo = [(0, None)]
     while todo:
@@ -34,7 +47,7 @@ def leaves(codes: np.ndarray, tree: Flat) -> Iterator[tuple[int, np.ndarray | No
             todo.append((child, side if rows is None else rows.take(side)))
 
 
-def add_trees(made: np.ndarray, codes: np.ndarray, trees: Sequence[Flat], weights: Sequence[float]) -> None:
+def add_trees(made: np.ndarray, codes: np.ndarray, trees: Sequence[Ready], weights: Sequence[float]) -> None:
     for tree, weight in zip(trees, weights, strict=True):
         for node, rows in leaves(codes, tree):
             if rows is None:
@@ -119,11 +132,12 @@ def keep(fit: str, part: int, chunks: Iterator[Chunk]) -> list[int]:
 
 @dataclass(frozen=True)
 class Pass:
-    """What the tasks of one pass need: all finished trees, the growing one, and which of its leaves are added up."""
+    """What the tasks of one pass need: all finished trees, pickled as mostly the last one is read only, the growing one, and
+    which of its leaves are added up."""
 
     fit: str
     bundles: list[list[int]]
-    trees: list[Flat]
+    trees: list[bytes]
     weights: list[float]
     growing: Flat
     wanted: dict[int, int]
@@ -152,17 +166,19 @@ class Pass:
         now, known = len(self.trees), self._known(part)
         sizes = [int(np.prod(b)) for b in self.bundles]
         total = np.zeros((3, len(self.wanted), sum(sizes)))
+        newer = [ready(pickle.loads(tree), self.bundles) for tree in self.trees[known:]]
+        growing = ready(self.growing, self.bundles)
 
         def add(old: BinaryIO, new: BinaryIO | None) -> None:
             for codes, labels in chunks:
                 residual = labels
                 if now:
                     made = np.fromfile(old, count=len(labels)) if known else np.zeros(len(labels))
-                    add_trees(made, codes, self.trees[known:], self.weights[known:])
+                    add_trees(made, codes, newer, self.weights[known:])
                     residual = 2.0 * (labels - made)
                     if new:
                         made.tofile(new)
-                groups = [(self.wanted[node], rows) for node, rows in leaves(codes, self.growing) if node in self.wanted]
+                groups = [(self.wanted[node], rows) for node, rows in leaves(codes, growing) if node in self.wanted]
                 add_up(total, codes, sizes, residual, groups)
 
         with open(os.path.join(own_folder(), self._name(part, known)) if known else os.devnull, "rb") as old:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -208,22 +209,19 @@ def choose(node: Node, total: np.ndarray, bins: Sequence[Bins]) -> None:
         node.children = [Node(s, float(_impurity(s))) for s in best[3:]]
 
 
-def flattened(root: Node, sizes: Sequence[int], bundles: Sequence[Sequence[int]]) -> tuple[Flat, dict[int, int]]:
+def flattened(root: Node, bundles: Sequence[Sequence[int]]) -> tuple[Flat, dict[int, int]]:
     """A tree as tasks read it, and the place of each node by identity."""
     flat, place, todo = [], {}, [root]
-    home = {c: (k, bundle) for k, bundle in enumerate(bundles) for c in bundle}
+    home = {c: (k, at) for k, bundle in enumerate(bundles) for at, c in enumerate(bundle)}
     for node in todo:
         place[id(node)] = len(place)
         todo.extend(node.children)
     for node in todo:
         value = 0.0 if node.stats is None else node.prediction
         if node.children:
-            k, bundle = home[node.column]
-            own = [-1 if c == node.column else 1 for c in bundle]
-            codes = np.broadcast_to(node.lefts.reshape(own), [sizes[c] for c in bundle]).ravel()
-            flat.append((k, codes, *(place[id(c)] for c in node.children), value))
+            flat.append((*home[node.column], node.lefts, *(place[id(c)] for c in node.children), value))
         else:
-            flat.append((-1, None, -1, -1, value))
+            flat.append((-1, -1, None, -1, -1, value))
     return flat, place
 
 
@@ -304,7 +302,7 @@ def grow_trees(laid: DataFrame, columns: Sequence[str], target: str, levels: dic
     roots, trees, weights = [], [], []
 
     def sums(root: Node, asked: Sequence[Node]) -> np.ndarray:
-        growing, place = flattened(root, sizes, bundles)
+        growing, place = flattened(root, bundles)
         wanted = {place[id(node)]: g for g, node in enumerate(asked)}
         one = Pass(fit, [[sizes[c] for c in bundle] for bundle in bundles], trees, weights, growing, wanted)
         found = dict(kept.mapPartitions(one.run).collect())
@@ -319,7 +317,7 @@ def grow_trees(laid: DataFrame, columns: Sequence[str], target: str, levels: dic
     try:
         for k in range(settings.getMaxIter()):
             roots.append(_pruned(_grow(sums, settings.getMaxDepth(), bins, apart)))
-            trees.append(flattened(roots[-1], sizes, bundles)[0])
+            trees.append(pickle.dumps(flattened(roots[-1], bundles)[0]))
             weights.append(settings.getStepSize() if k else 1.0)
     finally:
         kept.unpersist()
